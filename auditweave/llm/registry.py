@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, lines, packing, simhash, token_files, toxicity
+from . import bpe, common, lines, packing, secrets, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def found(query: Query) -> Query:
 
 _OWN: dict[str, Query] = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_secrets": secrets.op3_secrets,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
