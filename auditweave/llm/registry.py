@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, lines, packing, secrets, simhash, token_files, toxicity
+from . import bpe, common, lines, metric_join, packing, secret_scan, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,8 @@ def found(query: Query) -> Query:
 
 _OWN: dict[str, Query] = {
     "op2_toxicity": toxicity.op2_toxicity,
-    "op3_secrets": secrets.op3_secrets,
+    "op3_secrets": secret_scan.op3_secrets,
+    "op5_metric_join": metric_join.op5_metric_join,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
@@ -32,5 +33,6 @@ _OWN: dict[str, Query] = {
 QUERIES: dict[str, Query] = {name: found(query) for name, query in _OWN.items()}
 
 ORACLES: dict[str, str] = {
+    "op5_metric_join": metric_join.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
 }
