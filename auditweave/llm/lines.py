@@ -70,6 +70,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     return joined.select(*columns, n.cast("long").alias(_P + "lines"), F.when(at.isNull(), 0).otherwise(dropped_n).cast("long").alias(_P + "dropped"))
 
 
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with frequent lines dropped from ``text``, and n_chars, if there, counted anew."""
+    out = dedup_lines(docs, min_docs, min_chars)
+    size = F.char_length("text")
+    return out.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, common, lines, metric_join, packing, secret_scan, simhash, token_files, toxicity
+from . import ann, bpe, common, lines, metric_join, packing, quality, secret_scan, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ _OWN: dict[str, Query] = {
     "op1_ann": ann.op1_ann,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_secrets": secret_scan.op3_secrets,
+    "op4_quality": quality.op4_quality,
     "op5_metric_join": metric_join.op5_metric_join,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,

@@ -1,15 +1,63 @@
-"""Placeholder of the corpus pipeline: stages are added with their operators."""
+"""The corpus pipeline: five stages over the documents, each on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir).  All but the last return the columns of documents; the last
+returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from auditweave.llm import common, lines, packing, secret_scan, simhash, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    common.findable(spark)
+    return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go; every document stays."""
+    common.findable(spark)
+    return lines.drop_lines(docs)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    common.findable(spark)
+    return simhash.keep_one(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    common.findable(spark)
+    return secret_scan.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in sequences of one length."""
+    common.findable(spark)
+    return packing.piece_digests(packing.pack(docs))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("simhash", simhash_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: Learned decisions can't be said in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Every stage but the last is written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.written(docs, name)
     return docs
