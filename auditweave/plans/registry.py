@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import graph_queries, project_queries, text_queries
+from .roles import Roles, with_roles
 
-def oracle_sql() -> dict:
-    return {}
+_ALL = {**graph_queries.QUERIES, **project_queries.QUERIES, **text_queries.QUERIES}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def over(make):
+        return lambda spark, sf_dir: make(Roles(spark, sf_dir))
+
+    return {name: over(make) for name, (make, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_roles(sql) for name, (_, sql) in _ALL.items() if sql}
