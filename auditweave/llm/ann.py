@@ -204,6 +204,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             own = index.value
             right = right.assign(key=[e["entry"] for e in right["entry"]]).sort_values("key", kind="stable").reset_index(drop=True)
             at = right["cell"].to_numpy()
+            keys = np.array([(e["entry"], e["h1"], e["h2"]) for e in right["entry"]], np.int64)
             codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
             for a in range(0, len(left), 128):
                 q = left.iloc[a : a + 128]
@@ -213,10 +214,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 order = np.argsort(-score, axis=1, kind="stable")[:, :short]
                 got = np.take_along_axis(score, order, 1)
                 i, j = np.nonzero(got > -np.inf)
-                out.append(pd.DataFrame({"query_id": q["vec_id"].to_numpy()[i], "entry": right["entry"].to_numpy()[order[i, j]], "near": got[i, j].astype(float)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "entry": [], "near": []}).astype({"query_id": "int64", "near": float})
+                own_keys = keys[order[i, j]]
+                out.append(pd.DataFrame({"query_id": q["vec_id"].to_numpy()[i], "e": own_keys[:, 0], "h1": own_keys[:, 1], "h2": own_keys[:, 2], "near": got[i, j].astype(float)}))
+        none = pd.DataFrame({"query_id": [], "e": [], "h1": [], "h2": [], "near": []}).astype({"query_id": "int64", "e": "int64", "h1": "int64", "h2": "int64", "near": float})
+        return pd.concat(out) if out else none
 
-    found = to_parts.groupBy("part", "block").cogroup(placed.groupBy("part", "block")).applyInPandas(look, f"query_id long, entry {entry}, near double")
+    found = to_parts.groupBy("part", "block").cogroup(placed.groupBy("part", "block")).applyInPandas(look, "query_id long, e long, h1 long, h2 long, near double")
+    found = found.select("query_id", F.struct(F.col("e").alias("entry"), "h1", "h2").alias("entry"), "near")
     best = W.partitionBy("query_id").orderBy(F.desc("near"), "entry")
     listed = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= short).select("query_id", "entry")
     exact = F.aggregate(
