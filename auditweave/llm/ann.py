@@ -3,10 +3,11 @@
 Coarse centroids and the code books of the residuals are fitted on a bounded sample (``SAMPLE`` rows of
 smallest id hash); every row is indexed.  Equal vectors are one entry that carries its ``k`` + 1
 smallest ids, which is all that a list of ``k`` neighbours can use.  A query looks up the cells whose
-centroids have the largest product with it.  Cells lie together in parts of about ``PART`` entries (a
-larger cell is split over several); a block of queries meets a part, adds up table look-ups
-(asymmetric distances: the query isn't quantised) and keeps its best ``short`` entries.  The best of
-all parts are scored exactly, in double precision, on the original vectors.  How many cells are
+centroids have the largest product with it.  Queries are dealt in blocks, entries in shares; a task
+streams one share's entries in order of cell past one block, adds up table look-ups (asymmetric
+distances: the query isn't quantised) and holds the best ``short`` entries of each query, whatever
+the share's size.  The best of all shares are scored exactly, in double precision, on the original
+vectors.  How many cells are
 looked up and how long the short list is follows from the recall that the sample shows.
 
 Rows: vectors that are null or zero, hold null or non-finite components, have no id, or are of
@@ -33,8 +34,8 @@ SAMPLE = 12_000
 #: Components of one code.
 SUB = 2
 CODES = 256
-#: Entries of a part, queries of a block.
-PART, QUERIES = 8192, 2048
+#: Queries of a block, and shares of the entries that a block meets apart.
+QUERIES, SHARES = 1024, 8
 #: Recall that cells and short list are chosen for, each, on the sample.
 RECALL = 0.985
 
@@ -65,7 +66,7 @@ class Index:
         at = nearest(x, self.centroids)
         rest = self._padded(x - self.centroids[at])
         self.books = [k_means(rest[:, s : s + SUB], CODES, 6) for s in range(0, rest.shape[1], SUB)]
-        self.looked, self.short = len(self.centroids), max(4 * k, 100)
+        self.looked, self.short = len(self.centroids), 10 * k
         self._calibrate(x, at, k, recall)
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
@@ -110,6 +111,60 @@ class Index:
         self.short = int(max(self.short, 2 * needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))
 
 
+class Best:
+    """The best entries so far of a block of queries."""
+
+    def __init__(self, index: Index, short: int):
+        self.index, self.short = index, short
+        self.ids: list[np.ndarray] = []
+        self.asked: list[np.ndarray] = []
+        self.ready = False
+
+    def ask(self, ids: np.ndarray, v: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.asked.append(v)
+
+    def _prepare(self) -> None:
+        self.query_ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int64)
+        self.v = np.concatenate(self.asked) if self.asked else np.zeros((0, self.index.dim))
+        self.looked = self.index.cells(self.v) if len(self.v) else np.zeros((0, len(self.index.centroids)), bool)
+        self.near = np.full((len(self.v), self.short), -np.inf, np.float32)
+        self.keys = np.zeros((len(self.v), self.short, 3), np.int64)
+        self.ready = True
+
+    def meet(self, cells: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> None:
+        """Entries in order of cell against the queries that look their cells up."""
+        if not self.ready:
+            self._prepare()
+        edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            asking = np.flatnonzero(self.looked[:, cells[a]])
+            for at in range(a, b, 2048):
+                rows = slice(at, min(b, at + 2048))
+                for q in range(0, len(asking), 256):
+                    self._merge(asking[q : q + 256], cells[rows], codes[rows], keys[rows])
+
+    def _merge(self, q: np.ndarray, cells: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> None:
+        score = self.index.approximate(self.v[q], cells, codes)
+        better = (score > self.near[q].min(axis=1)[:, None]).any(axis=1)
+        q, score = q[better], score[better]
+        if not len(q):
+            return
+        both = np.concatenate([self.near[q], score], axis=1)
+        top = np.argpartition(-both, self.short - 1, axis=1)[:, : self.short]
+        all_keys = np.concatenate([self.keys[q], np.broadcast_to(keys, (len(q), *keys.shape))], axis=1)
+        self.near[q] = np.take_along_axis(both, top, 1)
+        self.keys[q] = np.take_along_axis(all_keys, top[:, :, None], 1)
+
+    def told(self) -> Iterator[pd.DataFrame]:
+        if not self.ready:
+            self._prepare()
+        for a in range(0, len(self.v), 64):
+            i, j = np.nonzero(self.near[a : a + 64] > -np.inf)
+            k = self.keys[a : a + 64][i, j]
+            yield pd.DataFrame({"query_id": self.query_ids[a + i], "e": k[:, 0], "h1": k[:, 1], "h2": k[:, 2], "near": self.near[a : a + 64][i, j].astype(float)})
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -156,70 +211,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             yield pd.DataFrame({"entry": f["entry"], "cell": at.astype(np.int32), "code": [c.tobytes() for c in codes]})
 
     coded = entries.select("entry", "embedding").mapInPandas(encode, f"entry {entry}, cell int, code binary").checkpoint()
-    sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row for each centroid
-    parts, number, held = {}, 0, 0
-    for cell, size in sorted(sizes.items()):
-        if held and held + size > PART:
-            number, held = number + 1, 0
-        split = -(-size // PART)
-        parts[cell] = (number, split)
-        held += size
-        if split > 1:
-            number, held = number + split, 0
-    plan = spark.sparkContext.broadcast(parts)
-
     asked = clean(queries).where(F.col("dim") == dim).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding")).checkpoint()
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            looked = index.value.cells(_stack(f["embedding"]))
-            out = {}
-            for c, (first, split) in plan.value.items():
-                for p in range(first, first + split):
-                    out[p] = out.get(p, False) | looked[:, c]
-            for p, hit in out.items():
-                if hit.any():
-                    yield f[hit].assign(part=p)
-
-    asked_kind = f"vec_id long, embedding {kind['embedding']}, block int, part int"
-    to_parts = asked.mapInPandas(ask, asked_kind)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            first = np.array([plan.value[c][0] for c in f["cell"]], np.int32)
-            split = np.array([plan.value[c][1] for c in f["cell"]], np.int64)
-            number = np.array([e["h1"] & 0x7FFFFFFF for e in f["entry"]], np.int64)
-            own = f.assign(part=(first + number % split).astype(np.int32))
-            for b in range(blocks):
-                yield own.assign(block=np.int32(b))
-
-    placed = coded.mapInPandas(place, f"entry {entry}, cell int, code binary, part int, block int")
     short = index.value.short
 
-    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            own = index.value
-            right = right.assign(key=[e["entry"] for e in right["entry"]]).sort_values("key", kind="stable").reset_index(drop=True)
-            at = right["cell"].to_numpy()
-            keys = np.array([(e["entry"], e["h1"], e["h2"]) for e in right["entry"]], np.int64)
-            codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-            for a in range(0, len(left), 128):
-                q = left.iloc[a : a + 128]
-                v = _stack(q["embedding"])
-                score = np.where(own.cells(v)[:, at], own.approximate(v, at, codes), -np.inf)
-                # rows are in order of id, so a stable sort gives ties to the smaller
-                order = np.argsort(-score, axis=1, kind="stable")[:, :short]
-                got = np.take_along_axis(score, order, 1)
-                i, j = np.nonzero(got > -np.inf)
-                own_keys = keys[order[i, j]]
-                out.append(pd.DataFrame({"query_id": q["vec_id"].to_numpy()[i], "e": own_keys[:, 0], "h1": own_keys[:, 1], "h2": own_keys[:, 2], "near": got[i, j].astype(float)}))
-        none = pd.DataFrame({"query_id": [], "e": [], "h1": [], "h2": [], "near": []}).astype({"query_id": "int64", "e": "int64", "h1": "int64", "h2": "int64", "near": float})
-        return pd.concat(out) if out else none
-
-    found = to_parts.groupBy("part", "block").cogroup(placed.groupBy("part", "block")).applyInPandas(look, "query_id long, e long, h1 long, h2 long, near double")
+    # A block of queries meets a share of the entries: queries first, then entries in order of cell.
+    none = F.lit(None)
+    from_queries = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.lit(-1).alias("cell"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), none.cast("binary").alias("code"), "embedding")
+    from_entries = coded.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("entry"), F.lit(SHARES)).cast("int").alias("share"), "cell",
+        F.col("entry.entry").alias("id"), F.col("entry.h1").alias("h1"), F.col("entry.h2").alias("h2"), "code", none.cast(kind["embedding"]).alias("embedding"),
+    )
+    met = from_queries.unionByName(from_entries).repartition(common.partitions(spark), "block", "share").sortWithinPartitions("block", "share", "cell", "id", "h1", "h2")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, best = None, None
+        for f in frames:
+            for key, own in f.groupby(["block", "share"], sort=True):
+                if key != task:
+                    if best is not None:
+                        yield from best.told()
+                    task, best = key, Best(index.value, short)
+                asks = own["cell"].to_numpy() < 0
+                if asks.any():
+                    best.ask(own["id"].to_numpy()[asks], _stack(own["embedding"][asks]))
+                if not asks.all():
+                    own = own[~asks]
+                    best.meet(own["cell"].to_numpy(), np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), own[["id", "h1", "h2"]].to_numpy(np.int64))
+        if best is not None:
+            yield from best.told()
+
+    found = met.mapInPandas(look, "query_id long, e long, h1 long, h2 long, near double")
     found = found.select("query_id", F.struct(F.col("e").alias("entry"), "h1", "h2").alias("entry"), "near")
     best = W.partitionBy("query_id").orderBy(F.desc("near"), "entry")
     listed = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= short).select("query_id", "entry")

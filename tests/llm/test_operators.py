@@ -266,7 +266,7 @@ def test_metric_join(spark, monkeypatch, cell):
 
 
 def test_ann(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART", 64)
+    monkeypatch.setattr(ann, "SHARES", 3)
     monkeypatch.setattr(ann, "QUERIES", 8)
     rows = vectors(400)
     df = spark.createDataFrame(rows, VECTORS)
