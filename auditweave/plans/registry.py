@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, project_queries, text_queries
+from . import graph_queries, more_queries, project_queries, text_queries
 from .roles import Roles, with_roles
 
-_ALL = {**graph_queries.QUERIES, **project_queries.QUERIES, **text_queries.QUERIES}
+_ALL = {**graph_queries.QUERIES, **project_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
