@@ -118,7 +118,7 @@ def wrap_label(c: Column, width: int) -> Column:
 def line_column(text: Column, offset: Column) -> Column:
     """1-based line and column of a byte offset."""
     head = F.substring(F.encode(text, "UTF-8"), F.lit(1), offset)
-    before = F.decode(head, "UTF-8")
+    before = F.make_valid_utf8(head.cast("string"))
     line = F.size(F.split(before, "\n"))
     last = F.element_at(F.split(before, "\n"), -1)
     return F.struct(line.alias("line"), (F.char_length(last) + 1).alias("column"))
@@ -127,7 +127,7 @@ def line_column(text: Column, offset: Column) -> Column:
 def head_bytes(c: Column, n: int) -> Column:
     """At most n bytes from the front, cut between characters, with a note of what was dropped."""
     size = F.octet_length(c)
-    kept = F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, n), "UTF-8"), "�+$", "")
+    kept = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, n).cast("string")), "�+$", "")
     return F.when(size <= n, c).otherwise(F.concat(kept, F.lit("\n… ["), (size - F.octet_length(kept)).cast("string"), F.lit(" bytes dropped]")))
 
 

@@ -13,8 +13,12 @@ from ..functions.enums import STRENGTHS
 LINKS = "semantic_node_id int, audit_finding_id int, strength string"
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = _timed(events, late) if events.isStreaming else events
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users") if not events.isStreaming else F.approx_count_distinct("user_id").alias("users")).select(
         F.col("w.start").alias("start"), "event_type", "n", "users"
     )
@@ -22,7 +26,7 @@ def window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours
 
 def first_events(events: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
     """Each key once within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _timed(events, late).dropDuplicatesWithinWatermark(keys)
 
 
 def _keep(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
