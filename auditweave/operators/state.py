@@ -85,3 +85,68 @@ def usage(calls: DataFrame, group: str) -> DataFrame:
     """Tokens added without overflow, money as decimals."""
     cap = F.lit((1 << 63) - 1).cast("decimal(38,0)")
     return calls.groupBy(group).agg(F.least(F.sum(F.col("tokens").cast("decimal(38,0)")), cap).cast("long").alias("tokens"), F.sum(F.col("usd").cast("decimal(38,18)")).alias("usd"))
+
+
+def write_items(nodes: DataFrame, merges: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concepts of a finished project into the graph: (nodes, merge edges).
+
+    ``items``: ord, name, definition, description, category, targets, new_description.  Every item becomes
+    a node of a new id; an item with targets also becomes an edge to each of them.  Of a target only the
+    description is replaced, by the new one of the last item where that isn't blank."""
+    fresh = with_new_ids(nodes, items, "ord")
+    edges = fresh.select(F.col("id").alias("from_id"), F.explode("targets").alias("to_id"))
+    told = items.select(F.explode("targets").alias("id"), "ord", "new_description").where(F.char_length(trim_all("new_description")) > 0)
+    last = told.groupBy("id").agg(F.max_by("new_description", "ord").alias("new_description"))
+    kept = nodes.join(last, "id", "left").withColumn("description", F.coalesce("new_description", "description")).select(*nodes.columns)
+    return kept.unionByName(fresh.select(*nodes.columns)), merges.unionByName(edges.select(*merges.columns))
+
+
+def import_canonicals(nodes: DataFrame, merges: DataFrame, links: DataFrame, incoming: DataFrame, incoming_links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Canonical concepts of another graph: (nodes, merge edges, links).  ``incoming`` has id (of the other
+    graph), name, category and targets; each gets a new id, folds one level into its targets, and its
+    links follow it to its smallest target, where the first to arrive stays."""
+    fresh = with_new_ids(nodes, incoming.withColumnRenamed("id", "old_id"), "old_id")
+    edges = fresh.select(F.col("id").alias("from_id"), F.explode("targets").alias("to_id"))
+    at = fresh.select(F.col("old_id").alias("node"), F.coalesce(F.array_min("targets"), F.col("id")).alias("canonical"))
+    return (
+        nodes.unionByName(fresh.select(*nodes.columns)),
+        merges.unionByName(edges.select(*merges.columns)),
+        carry_links(links, incoming_links, at),
+    )
+
+
+def upsert_projects(projects: DataFrame, platforms: DataFrame, incoming: DataFrame) -> DataFrame:
+    """incoming (name, platform_id) with the id that is there by platform, else by name, else a new one."""
+    by_platform = platforms.select("platform_id", F.col("project_id").alias("p_id"))
+    by_name = projects.groupBy("name").agg(F.min("id").alias("n_id"))
+    known = incoming.join(by_platform, "platform_id", "left").join(by_name, "name", "left").withColumn("known", F.coalesce("p_id", "n_id"))
+    fresh = with_new_ids(projects, known.where("known IS NULL").select("name", "platform_id"), "name")
+    return known.where("known IS NOT NULL").select("name", "platform_id", F.col("known").alias("id"), F.lit(False).alias("new")).unionByName(fresh.select("name", "platform_id", "id", F.lit(True).alias("new")))
+
+
+def unique_or_raise(rows: DataFrame, key: list[str]) -> DataFrame:
+    if not rows.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{', '.join(key)}: not unique")
+    return rows
+
+
+def write_runs(code_gens: DataFrame, runs: DataFrame, new_code: DataFrame, new_runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Code generations and their runs with shared new ids; a run names its code by ``code_ord``."""
+    code = with_new_ids(code_gens, new_code, "ord")
+    own = new_runs.join(code.select(F.col("ord").alias("code_ord"), F.col("id").alias("code_id")), "code_ord")
+    made = with_new_ids(runs, own, "run_ord")
+    return code_gens.unionByName(code.select(*code_gens.columns)), runs.unionByName(made.select(*runs.columns))
+
+
+def add_columns(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Columns that aren't there yet, with their default."""
+    for c, v in defaults.items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(v))
+    return rows
+
+
+def completed(progress: DataFrame, expected: DataFrame) -> DataFrame:
+    """Findings of which every expected context has a result and none failed."""
+    done = progress.groupBy("finding_id").agg(F.countDistinct("context").alias("n"), F.bool_or("failed").alias("failed"))
+    return done.join(expected, "finding_id").where("n = contexts AND NOT failed").select("finding_id")

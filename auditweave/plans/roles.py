@@ -41,7 +41,7 @@ ROLES = {
     "specification_regen": "SELECT CAST(o_orderkey AS INT) AS child_id, CAST(FLOOR(o_orderkey/3) AS INT) AS parent_id FROM {orders} WHERE o_orderkey>2 AND o_orderkey%4<>1",
     "harness_run": "SELECT CAST(o_orderkey AS INT) AS id, CAST(o_custkey AS INT) AS code_id, CAST(o_orderstatus='F' AS BOOLEAN) AS violated, CAST(o_custkey % 50 AS BIGINT) AS calls, CAST(FLOOR((o_custkey % 50) * (o_orderkey % 11) / 10) AS BIGINT) AS reverts, CASE WHEN o_orderkey % 17 = 0 THEN 'setUp() failed' ELSE 'assertion' END AS reason FROM {orders}",
     "reflection": "SELECT CAST(o_orderkey AS INT) AS id, CAST(o_orderkey AS INT) AS run_id, CASE o_orderkey % 6 WHEN 0 THEN 'ValidFinding' WHEN 1 THEN 'IncompleteStep' WHEN 2 THEN 'WrongHarness' WHEN 3 THEN 'WrongSpec' WHEN 4 THEN 'IntendedBehavior' ELSE 'NotReproducible' END AS result, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN '  ' ELSE CONCAT('claim ',CAST(o_custkey AS STRING)) END AS claim FROM {orders} WHERE o_orderkey % 3 <> 2",
-    "finding_review": "SELECT id AS reflection_id, CASE id % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' WHEN 3 THEN 'Informational' ELSE 'ReviewedOutOfScope' END AS severity, CONCAT('review text ',claim) AS body FROM {reflection} WHERE result='ValidFinding' AND id % 12 <> 0",
+    "finding_review": "SELECT id AS reflection_id, CASE id % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' WHEN 3 THEN 'Informational' ELSE 'ReviewedOutOfScope' END AS severity, CONCAT('review text ',COALESCE(claim,'')) AS body FROM {reflection} WHERE result='ValidFinding' AND id % 12 <> 0",
     "report_merge": "SELECT reflection_id AS from_id, CAST(reflection_id - reflection_id % 60 + 6 AS INT) AS to_id FROM {finding_review} WHERE reflection_id % 18 <> 0",
     "ruled_out_merge": "SELECT id AS from_id, CAST(id - id % 48 + 4 AS INT) AS to_id FROM {reflection} WHERE result IN ('IntendedBehavior','NotReproducible') AND claim IS NOT NULL AND id % 10 <> 4",
     # code
