@@ -38,6 +38,7 @@ def line_keys(text: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs`` with frequent lines dropped from ``text``, and two more columns:
     ``__aw_lines`` (lines before) and ``__aw_dropped``."""
+    common.shared_folder(docs.sparkSession)
     text = common.text_of()
     a, b = two_hashes(text)
     keys = docs.select(a.alias("ta"), b.alias("tb"), line_keys(text).alias("keys"))
@@ -50,6 +51,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         .count()
         .where(F.col("count") >= min_docs)
         .select("ka", "kb")
+        .checkpoint()  # a plain side of the join below: only then can Spark split a hot line's rows
     )
     dropped = (
         keys.select("ta", "tb", F.posexplode("keys").alias("at", "key"))
