@@ -170,8 +170,9 @@ def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") ->
     links = made.select(F.struct("h1", "h2").alias("a"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2")).alias("b"))
     found = components(links.where("a <> b"))
     state = nodes.join(found, "node", "left").select("node", "least_id", F.coalesce("least", "node").alias("root"))
-    ids = state.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    state = state.join(ids, "root").select("node.h1", "node.h2", "component_id").join(counts, ["h1", "h2"])
+    # plain sides of joins, so that Spark can split the rows of a large component or of one vector
+    ids = state.groupBy("root").agg(F.min("least_id").alias("component_id")).checkpoint()
+    state = state.join(ids, "root").select("node.h1", "node.h2", "component_id").join(counts, ["h1", "h2"]).checkpoint()
     out = rows.select("vec_id", "ok", "h1", "h2").join(state, ["h1", "h2"], "left")
     alone = ~F.col("ok")
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
