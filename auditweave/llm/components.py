@@ -14,8 +14,9 @@ from . import common
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """(u, v) with v a neighbour of u -> the same with least neighbour m of u, u itself included."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    """(u, v) with v a neighbour of u -> the same with least neighbour m of u, u itself included.  The
+    least neighbours are a plain side of the join, so that Spark can split the rows of a hub."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).checkpoint()
     return pairs.join(least, "u")
 
 

@@ -298,7 +298,7 @@ def group_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")).checkpoint()
     found = components(near_links(nodes.select("fp"), radius))
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("least", "fp").alias("root"))
-    ids = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    ids = labelled.groupBy("root").agg(F.min("least_id").alias("component_id")).checkpoint()
     return labelled.join(ids, "root").select("fp", "component_id")
 
 
