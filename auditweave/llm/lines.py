@@ -61,6 +61,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         .groupBy("ta", "tb")
         .agg(F.collect_set("at").alias(_P + "at"))
         .select(F.col("ta").alias(_P + "a"), F.col("tb").alias(_P + "b"), _P + "at")
+        .checkpoint()  # likewise for the copies of one text
     )
     lines = F.split(common.text_of(), "\n", -1)
     joined = docs.withColumn(_P + "a", a).withColumn(_P + "b", b).join(dropped, [_P + "a", _P + "b"], "left")
