@@ -190,3 +190,36 @@ def is_vendored(path: Column, include_lib: bool = False) -> Column:
 
 def is_not_audited(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, NOT_AUDITED)))
+
+
+def without_comments(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?s)/\*.*?\*/|//[^\n]*", " ")
+
+
+def function_signature(source: Column) -> Column:
+    """A function's text up to its body, without comments, white space collapsed."""
+    return collapse(F.regexp_extract(without_comments(source), r"(?s)^([^{;]*)", 1))
+
+
+def source_header(source: Column) -> Column:
+    """What stands before the first contract, interface or library."""
+    head = F.regexp_extract(source, r"(?sm)\A(.*?)^\s*(?:abstract\s+)?(?:contract|interface|library)\s+\w", 1)
+    found = source.rlike(r"(?m)^\s*(?:abstract\s+)?(?:contract|interface|library)\s+\w")
+    return F.when(found, head).otherwise(source)
+
+
+def move_package(toml: Column) -> Column:
+    """The name in the section of the package; null if there is none."""
+    name = F.regexp_extract(toml, r'(?ms)^\s*\[package\][^\[]*?^\s*name\s*=\s*"([^"]*)"', 1)
+    return F.when(name != "", name)
+
+
+def is_deterministic_violation(reason: Column) -> Column:
+    return F.coalesce(reason.contains("deterministic"), F.lit(False))
+
+
+def first_children(names: Column, n: int) -> Column:
+    """The first n entries, one a line, and how many more there are."""
+    more = F.size(names) - n
+    body = F.array_join(F.transform(F.slice(names, 1, n), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return F.when(more > 0, F.concat(body, F.lit("\n- +"), more.cast("string"), F.lit(" more"))).otherwise(body)

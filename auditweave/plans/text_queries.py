@@ -114,4 +114,20 @@ QUERIES = {
         """SELECT title, arg_max(severity, struct_pack(r := CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END, o := -id)) AS severity, arg_max(root_cause, struct_pack(n := strlen(root_cause), o := -id)) AS root_cause,
         arg_max(description, struct_pack(n := strlen(description), o := -id)) AS description, 'c' AS category, concat('s', arg_max(id, struct_pack(n := strlen(description), o := -id))) AS subcategory FROM audit_finding GROUP BY title""",
     ),
+    "x06_children_block": (
+        lambda r: r["semantic_merge"].join(r["semantic_node"].select(F.col("id").alias("from_id"), "name"), "from_id").groupBy("to_id").agg(F.array_sort(F.collect_list("name")).alias("names")).select("to_id", t.first_children(F.col("names"), 1).alias("block")),
+        """SELECT to_id, CASE WHEN count(*) > 1 THEN concat('- ', min(name), chr(10), '- +', count(*) - 1, ' more') ELSE concat('- ', min(name)) END AS block FROM semantic_merge JOIN semantic_node ON id = from_id GROUP BY to_id""",
+    ),
+    "x26_signatures": (
+        lambda r: r["function_t"].select("id", t.function_signature(F.concat(F.lit("function f"), "id", F.lit("(uint a, // first\n  uint b) /* note; */ public\n{ return a; }"))).alias("signature")),
+        "SELECT id, concat('function f', id, '(uint a, uint b) public') AS signature FROM function_t",
+    ),
+    "x27_headers": (
+        lambda r: r["contract"].select("id", t.source_header(F.concat(F.lit("// contract notes\nimport 'a.sol';\n"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("abstract contract "), "name", F.lit(" { contract x }"))).otherwise(""))).alias("header")),
+        "SELECT id, concat('// contract notes', chr(10), 'import ''a.sol'';', chr(10)) AS header FROM contract",
+    ),
+    "x29_move_packages": (
+        lambda r: r["project"].select("id", t.move_package(F.concat(F.lit('[addresses]\nname = "no"\n[package]\nversion = "1"\n'), F.when(F.col("id") % 2 == 0, F.concat(F.lit('name = "'), "name", F.lit('"\n'))).otherwise(""), F.lit('[dependencies]\nname = "dep"'))).alias("package")),
+        "SELECT id, CASE WHEN id % 2 = 0 THEN name END AS package FROM project",
+    ),
 }
