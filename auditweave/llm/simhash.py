@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near_copies
 from .components import components
 
 WORDS = 4
@@ -310,29 +310,42 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, se
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED, near: bool = False) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of the smallest doc_id (null
-    last), then of the smallest text hash."""
+    last), then of the smallest text hash.  With ``near``, texts whose shingles of five words have a
+    Jaccard similarity of at least 0.8 are linked too."""
     common.shared_folder(docs.sparkSession)
     a, b = F.xxhash64(common.text_of()), F.xxhash64(F.lit("second"), common.text_of())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(3)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], names=["doc_id", "a", "b", "fp"])
+            fps, s1, s2, keys = [], [], [], []
+            for t in batch.column(3):
+                text = t.as_py()
+                fps.append(fingerprint(text, words, seed))
+                if near:
+                    own = near_copies.shingles(text)
+                    x, y = near_copies.digest(own)
+                    s1.append(x)
+                    s2.append(y)
+                    keys.append(near_copies.band_keys(own))
+            more = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))] if near else []
+            out = [*batch.columns[:3], pa.array(np.array(fps, np.uint64).view(np.int64)), *more]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "a", "b", "fp", "s1", "s2", "keys"][: len(out)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), a.alias("a"), b.alias("b"), common.text_of().alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, a long, b long, fp long").checkpoint()
+    rows = rows.mapInArrow(run, "doc_id long, a long, b long, fp long" + ", s1 long, s2 long, keys array<long>" * near).checkpoint()
+    marked = docs.withColumn("__aw_a", a).withColumn("__aw_b", b).withColumn("__aw_id", F.col("doc_id").cast("long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("first")
     nodes = rows.groupBy("fp").agg(first)
-    found = components(near_links(nodes.select("fp"), radius))
+    links = near_links(nodes.select("fp"), radius)
+    found = components(links.unionByName(near_copies.links(rows, marked)) if near else links)
     kept = (
         nodes.join(found, nodes["fp"] == found["node"], "left")
         .groupBy(F.coalesce("least", "fp").alias("root"))
         .agg(F.min("first").alias("first"))
         .select(F.col("first.doc_id").alias("__aw_id"), F.col("first.a").alias("__aw_a"), F.col("first.b").alias("__aw_b"))
     )
-    marked = docs.withColumn("__aw_a", a).withColumn("__aw_b", b).withColumn("__aw_id", F.col("doc_id").cast("long"))
     same = (marked["__aw_a"] == kept["__aw_a"]) & (marked["__aw_b"] == kept["__aw_b"]) & marked["__aw_id"].eqNullSafe(kept["__aw_id"])
     # a row that is there several times, id and text alike, is kept once
     out = marked.join(kept, same, "left_semi").dropDuplicates(["__aw_a", "__aw_b", "__aw_id"])

@@ -24,9 +24,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: near by fingerprint, or by five-word
+    shingles of a Jaccard similarity of at least 0.8."""
     common.findable(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, near=True)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
