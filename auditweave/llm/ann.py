@@ -1,14 +1,16 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and the code books of the residuals are fitted on a bounded sample (``SAMPLE`` rows of
-smallest id hash); every row is indexed.  Equal vectors are one entry that carries its ``k`` + 1
+smallest id hash); every row is indexed, with what its code leaves over in bytes of a scale of its
+own and the length of what is left after that.  Equal vectors are one entry that carries its ``k`` + 1
 smallest ids, which is all that a list of ``k`` neighbours can use.  A query looks up the cells whose
 centroids have the largest product with it.  Queries are dealt in blocks, entries in shares; a task
-streams one share's entries in order of cell past one block, adds up table look-ups (asymmetric
-distances: the query isn't quantised) and holds the best ``short`` entries of each query, whatever
+streams one share's entries in order of cell past one block, decodes them (the query isn't
+quantised) and holds the ``short`` entries of each query whose products may be the largest, whatever
 the share's size.  The best of all shares are scored exactly, in double precision, on the original
-vectors.  How many cells are
-looked up and how long the short list is follows from the recall that the sample shows.
+vectors.  How many cells are looked up and how long the short list is at first follows from the recall
+that the sample shows; queries for which an entry left off the list may still be among the
+neighbours are asked again with a longer list, so nothing in the cells is lost as tables grow.
 
 Rows: vectors that are null or zero, hold null or non-finite components, have no id, or are of
 another length than most take no part; repeated rows of an id are one query, and never neighbours
@@ -38,6 +40,8 @@ CODES = 256
 QUERIES, SHARES = 1024, 8
 #: Recall that cells and short list are chosen for, each, on the sample.
 RECALL = 0.985
+#: Of single-precision products, as a share of the lengths' product.
+ROUNDING = 1e-5
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -79,14 +83,22 @@ class Index:
         codes = np.stack([nearest(rest[:, s * SUB : (s + 1) * SUB], b) for s, b in enumerate(self.books)], 1)
         return at, codes.astype(np.uint8)
 
-    def approximate(self, q: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Products of queries with entries, from the tables of the queries."""
-        q = q.astype(np.float32)
-        out = (q @ self.centroids.T)[:, at]
-        own = self._padded(q)
-        for s, b in enumerate(self.books):
-            out += (own[:, s * SUB : (s + 1) * SUB] @ b.T)[:, codes[:, s]]
-        return out
+    def decode(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.centroids[at] + np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], 1)[:, : self.dim]
+
+    def refine(self, x: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What codes leave over: bytes, their scale, and a bound on what is left after that."""
+        rest = x - self.decode(at, codes)
+        scale = np.maximum(np.abs(rest).max(axis=1) / 127, 1e-30).astype(np.float32)
+        fine = np.rint(rest / scale[:, None]).astype(np.int8)
+        left = np.linalg.norm(rest - fine * scale[:, None].astype(float), axis=1)
+        return fine, scale, (left + ROUNDING * np.linalg.norm(x, axis=1)).astype(np.float32)
+
+    def most(self, q: np.ndarray, at: np.ndarray, codes: np.ndarray, fine: np.ndarray, scale: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The most that the products of queries with entries can be."""
+        size = np.linalg.norm(q, axis=1).astype(np.float32)
+        x = self.decode(at, codes) + fine * scale[:, None]
+        return q.astype(np.float32) @ x.T.astype(np.float32) + size[:, None] * left[None, :]
 
     def cells(self, q: np.ndarray) -> np.ndarray:
         """Whether each query looks up each cell."""
@@ -106,7 +118,7 @@ class Index:
         needed = np.sort(np.take_along_axis(rank, at[best], 1).ravel())
         self.looked = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
         _, codes = self.encode(x)
-        order = np.argsort(np.argsort(-self.approximate(q, at, codes), axis=1, kind="stable"), axis=1)
+        order = np.argsort(np.argsort(-self.most(q, at, codes, *self.refine(x, at, codes)), axis=1, kind="stable"), axis=1)
         needed = np.sort(np.take_along_axis(order, best, 1).ravel())
         self.short = int(max(self.short, 2 * needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))
 
@@ -132,7 +144,7 @@ class Best:
         self.keys = np.zeros((len(self.v), self.short, 3), np.int64)
         self.ready = True
 
-    def meet(self, cells: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> None:
+    def meet(self, cells: np.ndarray, coded: tuple[np.ndarray, ...], keys: np.ndarray) -> None:
         """Entries in order of cell against the queries that look their cells up."""
         if not self.ready:
             self._prepare()
@@ -142,10 +154,10 @@ class Best:
             for at in range(a, b, 2048):
                 rows = slice(at, min(b, at + 2048))
                 for q in range(0, len(asking), 256):
-                    self._merge(asking[q : q + 256], cells[rows], codes[rows], keys[rows])
+                    self._merge(asking[q : q + 256], cells[rows], tuple(c[rows] for c in coded), keys[rows])
 
-    def _merge(self, q: np.ndarray, cells: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> None:
-        score = self.index.approximate(self.v[q], cells, codes)
+    def _merge(self, q: np.ndarray, cells: np.ndarray, coded: tuple[np.ndarray, ...], keys: np.ndarray) -> None:
+        score = self.index.most(self.v[q], cells, *coded)
         better = (score > self.near[q].min(axis=1)[:, None]).any(axis=1)
         q, score = q[better], score[better]
         if not len(q):
@@ -169,6 +181,16 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _packed(codes: np.ndarray, fine: np.ndarray, scale: np.ndarray, left: np.ndarray) -> list[bytes]:
+    return [c.tobytes() for c in np.concatenate([codes, fine.view(np.uint8), np.stack([scale, left], 1).view(np.uint8)], axis=1)]
+
+
+def _unpacked(rows: pd.Series, dim: int) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    codes, fine, two = raw[:, : -8 - dim], raw[:, -8 - dim : -8], np.ascontiguousarray(raw[:, -8:]).view(np.float32)
+    return codes, fine.view(np.int8), two[:, 0], two[:, 1]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``k`` nearest of ``vectors`` for every row of ``queries`` (both: vec_id, embedding):
     query_id, rank, vec_id, score."""
@@ -207,56 +229,73 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            at, codes = index.value.encode(_stack(f["embedding"]))
-            yield pd.DataFrame({"entry": f["entry"], "cell": at.astype(np.int32), "code": [c.tobytes() for c in codes]})
+            x = _stack(f["embedding"])
+            at, codes = index.value.encode(x)
+            yield pd.DataFrame({"entry": f["entry"], "cell": at.astype(np.int32), "code": _packed(codes, *index.value.refine(x, at, codes))})
 
     coded = entries.select("entry", "embedding").mapInPandas(encode, f"entry {entry}, cell int, code binary").checkpoint()
     asked = clean(queries).where(F.col("dim") == dim).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding")).checkpoint()
-    blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    short = index.value.short
-
-    # A block of queries meets a share of the entries: queries first, then entries in order of cell.
-    none = F.lit(None)
-    from_queries = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.lit(-1).alias("cell"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), none.cast("binary").alias("code"), "embedding")
-    from_entries = coded.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("entry"), F.lit(SHARES)).cast("int").alias("share"), "cell",
-        F.col("entry.entry").alias("id"), F.col("entry.h1").alias("h1"), F.col("entry.h2").alias("h2"), "code", none.cast(kind["embedding"]).alias("embedding"),
-    )
-    met = from_queries.unionByName(from_entries).repartition(common.partitions(spark), "block", "share").sortWithinPartitions("block", "share", "cell", "id", "h1", "h2")
-
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, best = None, None
-        for f in frames:
-            for key, own in f.groupby(["block", "share"], sort=True):
-                if key != task:
-                    if best is not None:
-                        yield from best.told()
-                    task, best = key, Best(index.value, short)
-                asks = own["cell"].to_numpy() < 0
-                if asks.any():
-                    best.ask(own["id"].to_numpy()[asks], _stack(own["embedding"][asks]))
-                if not asks.all():
-                    own = own[~asks]
-                    best.meet(own["cell"].to_numpy(), np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), own[["id", "h1", "h2"]].to_numpy(np.int64))
-        if best is not None:
-            yield from best.told()
-
-    found = met.mapInPandas(look, "query_id long, e long, h1 long, h2 long, near double")
-    found = found.select("query_id", F.struct(F.col("e").alias("entry"), "h1", "h2").alias("entry"), "near")
-    best = W.partitionBy("query_id").orderBy(F.desc("near"), "entry")
-    listed = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= short).select("query_id", "entry")
-    exact = F.aggregate(
-        F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x
-    )
-    scored = (
-        listed.join(entries, "entry")
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-        .select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id"))
-        .where("vec_id <> query_id")
-    )
-    nearest_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def listed_of(asked: DataFrame, count: int, short: int) -> DataFrame:
+        """query_id, near, score, ids: the ``short`` entries of each query that may be nearest, scored exactly."""
+        blocks = max(1, -(-count * short // (QUERIES * index.value.short)))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+        # A block of queries meets a share of the entries: queries first, then entries in order of cell.
+        none = F.lit(None)
+        from_queries = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.lit(-1).alias("cell"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), none.cast("binary").alias("code"), "embedding")
+        from_entries = coded.select(
+            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("entry"), F.lit(SHARES)).cast("int").alias("share"), "cell",
+            F.col("entry.entry").alias("id"), F.col("entry.h1").alias("h1"), F.col("entry.h2").alias("h2"), "code", none.cast(kind["embedding"]).alias("embedding"),
+        )
+        met = from_queries.unionByName(from_entries).repartition(common.partitions(spark), "block", "share").sortWithinPartitions("block", "share", "cell", "id", "h1", "h2")
+
+        def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            task, best = None, None
+            for f in frames:
+                for key, own in f.groupby(["block", "share"], sort=True):
+                    if key != task:
+                        if best is not None:
+                            yield from best.told()
+                        task, best = key, Best(index.value, short)
+                    asks = own["cell"].to_numpy() < 0
+                    if asks.any():
+                        best.ask(own["id"].to_numpy()[asks], _stack(own["embedding"][asks]))
+                    if not asks.all():
+                        own = own[~asks]
+                        best.meet(own["cell"].to_numpy(), _unpacked(own["code"], dim), own[["id", "h1", "h2"]].to_numpy(np.int64))
+            if best is not None:
+                yield from best.told()
+
+        found = met.mapInPandas(look, "query_id long, e long, h1 long, h2 long, near double")
+        found = found.select("query_id", F.struct(F.col("e").alias("entry"), "h1", "h2").alias("entry"), "near")
+        best = W.partitionBy("query_id").orderBy(F.desc("near"), "entry")
+        listed = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= short).select("query_id", "entry", "near")
+        exact = F.aggregate(
+            F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x
+        )
+        return (
+            listed.join(entries, "entry")
+            .join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+            .select("query_id", "near", exact.alias("score"), "ids")
+            .checkpoint()
+        )
+
+    out, short, count = None, index.value.short, asked.count()
+    while True:
+        scored = listed_of(asked, count, short)
+        nearest_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        own = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        ranked = own.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        # what isn't listed is at most the least listed; it counts if that exceeds the last neighbour
+        full = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("least")).where(F.col("n") >= short)
+        last = ranked.where(F.col("rank") == k).select("query_id", F.col("score").alias("last"))
+        again = full.join(last, "query_id", "left").where("last IS NULL OR least >= last").select("query_id").checkpoint()
+        count = again.count()
+        done = ranked.join(again, "query_id", "left_anti") if count else ranked
+        out = done if out is None else out.unionByName(done)
+        if not count:
+            return out
+        asked = asked.join(again, asked["vec_id"] == again["query_id"], "left_semi").checkpoint()
+        short *= 4
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
