@@ -2,8 +2,9 @@
 
 A character trigram model is counted over all documents.  A chunk that looks disguised (digits or
 signs among letters, letters set apart, letters repeated) becomes a lattice: each sign may stand for
-letters at a price, separators and repeats may be silent, and Viterbi decoding under the trigram
-model picks the letters.  The restored words, next to the plain ones, are the features: whole words
+letters at a price, separators may be silent or end a word, repeats may be silent, and Viterbi
+decoding under the trigram model picks the letters and words, however long the chunk is.  Letters in
+a row with spaces between them are one chunk.  The restored words, next to the plain ones, are the features: whole words
 and their beginnings.  A logistic model over the beginnings and words that tell toxic documents from
 others gives a probability.
 
@@ -54,7 +55,7 @@ SIGNS = {
 }
 SEPARATORS = frozenset(".-_*~'`·•^/\\,:; ")
 _PRICE_SIGN, _PRICE_WILD, _PRICE_SILENT, _PRICE_REPEAT, _PRICE_DOUBLE = 0.7, 2.0, 0.4, 0.2, 2.5
-#: Longer chunks aren't disguised words.
+#: Longer chunks are decoded without a memo.
 CHUNK = 40
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -113,34 +114,47 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.restore = lru_cache(50_000)(self._restore)
+        self._remembered = lru_cache(50_000)(self._restore)
+
+    def restore(self, chunk: str) -> str:
+        """The words of a chunk, with spaces between them."""
+        return self._remembered(chunk) if len(chunk) <= CHUNK else self._restore(chunk)
 
     def suspicious(self, chunk: str) -> bool:
         core = chunk.strip(_EDGES) or chunk
-        if not any(c.isalpha() for c in core) or len(chunk) > CHUNK:
+        if not any(c.isalpha() for c in core):
             return False
         return not core.isalpha() or _REPEATED.search(core) is not None or (chunk[:1] in SIGNS and not core[:1].isdigit())
 
     def _restore(self, chunk: str) -> str:
         cost = self.model
-        # state: last two emitted letters -> (price, letters)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # state: last two emitted letters -> (price, (letters before, letter))
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for at, c in enumerate(chunk):
             options = [(_CODE[c], 0.0)] if c in _CODE and c != " " else []
             wild = c in "*#"
             options += [(_CODE[x], _PRICE_WILD if wild else _PRICE_SIGN) for x in SIGNS.get(c, "")]
             silent = c in SEPARATORS or not (c.isalnum() or c in SIGNS) or (not c.isalnum() and at in (0, len(chunk) - 1))
             repeat = at > 0 and c == chunk[at - 1] and c.isalpha()
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            ends = c in SEPARATORS
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (price, word) in states.items():
-                steps = [((b, x), price + p + float(cost[a, b, x]) + (_PRICE_DOUBLE if repeat and x == b else 0.0), word + LETTERS[x]) for x, p in options]
+                steps = [((b, x), price + p + float(cost[a, b, x]) + (_PRICE_DOUBLE if repeat and x == b else 0.0), (word, x)) for x, p in options]
                 if silent or (repeat and options and options[0][0] == b) or not options:
                     steps.append(((a, b), price + (_PRICE_REPEAT if repeat else _PRICE_SILENT), word))
+                if ends and b:
+                    steps.append(((b, 0), price + _PRICE_SILENT + float(cost[a, b, 0]), (word, 0)))
                 for key, p, w in steps:
                     if key not in new or p < new[key][0]:
                         new[key] = (p, w)
             states = new
-        return min(((p + float(cost[a, b, 0]), w) for (a, b), (p, w) in states.items()), default=(0.0, ""))[1]
+        # a boundary that is emitted at the end has its price already
+        word = min(((p + (float(cost[a, b, 0]) if b else 0.0), w) for (a, b), (p, w) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while word is not None:
+            word, x = word
+            out.append(LETTERS[x])
+        return "".join(reversed(out)).strip()
 
 
 class Words(dict):
@@ -153,13 +167,19 @@ class Words(dict):
     def words(self, chunk: str) -> list[str]:
         words = _WORDS(chunk)
         if self.restorer.suspicious(chunk):
-            restored = self.restorer.restore(chunk)
-            if len(restored) > 2 and restored not in words:
-                words.append(restored)
+            words += [w for w in self.restorer.restore(chunk).split() if len(w) > 2 and w not in words]
+        return words
+
+    def spaced(self, run: str) -> list[str]:
+        """Words of letters with spaces between them: joined, and as the lattice parts them."""
+        words = self.words(run.replace(" ", ""))
+        if any(c.isalpha() for c in run):
+            words += [w for w in self.restorer.restore(run).split() if len(w) > 2 and w not in words]
         return words
 
     def __missing__(self, chunk: str):
-        value = self.pick([f for w in self.words(chunk) for f in features(w)])
+        words = self.spaced(chunk) if " " in chunk else self.words(chunk)
+        value = self.pick([f for w in words for f in features(w)])
         if len(chunk) <= CHUNK:
             if len(self) >= 300_000:
                 self.clear()
@@ -170,14 +190,14 @@ class Words(dict):
         chunks = text.lower().split()
         out = set().union(*map(self.__getitem__, set(chunks)))
         for run in _SPACED.findall(" " + " ".join(chunks) + " "):
-            out.update(self[run.replace(" ", "")])
+            out.update(self[run.strip()])
         return out
 
 
 def restored_text(text: str, restorer: Restorer) -> str:
     """The text with its disguised chunks spelled out."""
     chunks = text.lower().split()
-    row = _SPACED.sub(lambda m: " " + restorer.restore(m[0].replace(" ", "")), " " + " ".join(chunks) + " ")
+    row = _SPACED.sub(lambda m: " " + restorer.restore(m[0].strip()), " " + " ".join(chunks) + " ")
     return " ".join([restorer.restore(c) if restorer.suspicious(c) else c for c in row.split()])
 
 
