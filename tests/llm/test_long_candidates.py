@@ -1,0 +1,28 @@
+"""Candidates longer than the network's window."""
+
+import numpy as np
+
+from auditweave.llm import secret_scan
+
+
+class Digits:
+    """Finds a window with ten digits inside."""
+
+    threshold = 0.5
+
+    def scores(self, x):
+        inside = x[:, secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.INSIDE]
+        return (((inside >= 27) & (inside <= 36)).sum(axis=1) >= 10).astype(float)
+
+
+def test_keys_after_the_first_window_are_seen():
+    for at in range(0, 130, 7):
+        token = "p" * at + "a1b2c3d4e5f6g7h8i9j0" + "q" * (120 - min(at, 120))
+        text = f"see {token} here plain-words-with-1-digit"
+        spans = secret_scan.network_spans([text, "", "none"], [[], [], []], Digits())
+        assert spans == [[(4, 3, 4 + len(token))], [], []], at
+
+
+def test_windows():
+    assert [len(secret_scan.windows_of("x" * 300, 5, 5 + n)) for n in (16, 40, 41, 60, 61, 100)] == [1, 1, 2, 2, 3, 4]
+    assert np.array_equal(secret_scan.windows_of("x1" * 60, 3, 60)[0], secret_scan.window("x1" * 60, 3, 60))
