@@ -1,20 +1,25 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and the code books of the residuals are fitted on a bounded sample (``SAMPLE`` rows of
-smallest id hash); every row is indexed, with what its code leaves over in bytes of a scale of its
-own and the length of what is left after that.  Equal vectors are one entry that carries its ``k`` + 1
-smallest ids, which is all that a list of ``k`` neighbours can use.  A query looks up the cells whose
-centroids have the largest product with it.  Queries are dealt in blocks, entries in shares; a task
-streams one share's entries in order of cell past one block, decodes them (the query isn't
-quantised) and holds the ``short`` entries of each query whose products may be the largest, whatever
-the share's size.  The best of all shares are scored exactly, in double precision, on the original
-vectors.  How many cells are looked up and how long the short list is at first follows from the recall
-that the sample shows; queries for which an entry left off the list may still be among the
-neighbours are asked again with a longer list, so nothing in the cells is lost as tables grow.
+Coarse centroids (at most ``CELLS``) and the code books of the residuals are fitted on a bounded
+sample (``SAMPLE`` rows of smallest hash); every row is indexed: its cell, its codes, what the codes
+leave over in bytes of a scale of its own, and the length of what either leaves.  Equal vectors are one
+entry that carries its ``k`` + 1 smallest distinct ids, all that a list of ``k`` neighbours can use.
+
+Entries stay where their cell is: neighbouring cells form areas of about ``AREA`` entries, a larger
+cell several areas.  A query is sent to the areas that hold a cell it looks up; a crowd of queries is
+dealt in blocks of ``ASKING``.  There, entries of cells that are looked up are scored from the query's
+distance tables; those that may be among the ``k`` + 1 nearest, by a bound of ``SURE`` standard deviations
+of the codes' error, are scored again with the bytes, and those that still may be, by a strict bound, are
+told.  No list has a fixed length, so a dense group just tells more.  What the best area can't
+rule out is scored exactly, in double precision, on the original vectors.
+
+How many cells a query looks up, and in which of three orders, follows from the recall that the sample
+shows; cells that hold too few entries are made up for by more cells.
 
 Rows: vectors that are null or zero, hold null or non-finite components, have no id, or are of
 another length than most take no part; repeated rows of an id are one query, and never neighbours
-of that id; ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
+of that id; an id is listed once, at its best; ties go to the smaller id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +36,18 @@ from . import common
 from .vectors import usable
 
 K = 20
-#: Rows the index is fitted on, at most.
-SAMPLE = 12_000
+#: Rows the index is fitted on, at most, and of these for code books.
+SAMPLE, BOOK_SAMPLE = 32_768, 8_192
+#: Centroids, at most, and rows of the sample for one.
+CELLS, PER_CELL = 4096, 16
 #: Components of one code.
 SUB = 2
 CODES = 256
-#: Queries of a block, and shares of the entries that a block meets apart.
-QUERIES, SHARES = 1024, 8
-#: Recall that cells and short list are chosen for, each, on the sample.
-RECALL = 0.985
+#: Entries of an area, and queries of a block, about.
+AREA, ASKING = 65_536, 65_536
+#: Recall that the cells looked up are chosen for on the sample.
+RECALL = 0.97
+SURE = 3.0
 #: Of single-precision products, as a share of the lengths' product.
 ROUNDING = 1e-5
 
@@ -49,8 +57,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray
     for _ in range(rounds):
         at = nearest(x, c)
         n = np.bincount(at, minlength=len(c))
-        s = np.zeros_like(c)
-        np.add.at(s, at, x)
+        s = np.stack([np.bincount(at, x[:, d], len(c)) for d in range(x.shape[1])], 1)
         c[n > 0] = s[n > 0] / n[n > 0, None]
     return c
 
@@ -61,136 +68,160 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centroids and code books, and how far to look."""
+    """Centroids and code books, how far to look, and where the cells are."""
 
     def __init__(self, sample: np.ndarray, n: int, k: int = K, recall: float = RECALL):
-        self.dim = sample.shape[1]
+        self.dim, self.k = sample.shape[1], k
         x = sample.astype(np.float32)
-        self.centroids = k_means(x, int(max(1, min(256, n**0.5, len(x) / 30))))
+        self.centroids = k_means(x, int(max(1, min(CELLS, 8 * n**0.5, len(x) / PER_CELL))))
         at = nearest(x, self.centroids)
-        rest = self._padded(x - self.centroids[at])
-        self.books = [k_means(rest[:, s : s + SUB], CODES, 6) for s in range(0, rest.shape[1], SUB)]
-        self.looked, self.short = len(self.centroids), 10 * k
+        rest = self._padded(x - self.centroids[at])[:BOOK_SAMPLE]
+        self.books = np.stack([np.pad(b := k_means(rest[:, s : s + SUB], CODES, 6), ((0, CODES - len(b)), (0, 0)), mode="edge") for s in range(0, rest.shape[1], SUB)])
+        self.order, self.looked = 0, len(self.centroids)
+        self.sizes = np.bincount(at, minlength=len(self.centroids)) * max(1.0, n / max(1, len(x)))
         self._calibrate(x, at, k, recall)
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, -x.shape[1] % SUB)))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x.astype(np.float32)
-        at = nearest(x, self.centroids)
-        rest = self._padded(x - self.centroids[at])
-        codes = np.stack([nearest(rest[:, s * SUB : (s + 1) * SUB], b) for s, b in enumerate(self.books)], 1)
-        return at, codes.astype(np.uint8)
+    def _orders(self, q: np.ndarray) -> list[np.ndarray]:
+        """What cells may be ordered by: product, product with the direction, distance."""
+        c = q @ self.centroids.T
+        size = np.linalg.norm(self.centroids, axis=1)
+        return [c, c / np.maximum(size, 1e-20), c - 0.5 * size**2]
 
-    def decode(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return self.centroids[at] + np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], 1)[:, : self.dim]
+    def _calibrate(self, x: np.ndarray, at: np.ndarray, k: int, recall: float) -> None:
+        q = x[:: max(1, len(x) // 256)]
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return
+        best = np.argpartition(-(q @ x.T), k, axis=1)[:, : k + 1]
+        depths = []
+        for c in self._orders(q):
+            rank = np.argsort(np.argsort(-c, axis=1, kind="stable"), axis=1)
+            needed = np.sort(np.take_along_axis(rank, at[best], 1).ravel())
+            depths.append(int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1)
+        self.order = int(np.argmin(depths))
+        self.looked = depths[self.order]
 
-    def refine(self, x: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What codes leave over: bytes, their scale, and a bound on what is left after that."""
-        rest = x - self.decode(at, codes)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells, and rows of bytes: codes, remainder, and three numbers (its scale, and what codes and
+        remainder leave over, at most)."""
+        size = np.linalg.norm(x, axis=1)
+        x32 = x.astype(np.float32)
+        at = nearest(x32, self.centroids)
+        rest = self._padded(x32 - self.centroids[at])
+        codes = np.stack([nearest(rest[:, s * SUB : (s + 1) * SUB], b) for s, b in enumerate(self.books)], 1).astype(np.uint8)
+        coded = np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], 1)[:, : self.dim]
+        rest = x - self.centroids[at] - coded
         scale = np.maximum(np.abs(rest).max(axis=1) / 127, 1e-30).astype(np.float32)
         fine = np.rint(rest / scale[:, None]).astype(np.int8)
-        left = np.linalg.norm(rest - fine * scale[:, None].astype(float), axis=1)
-        return fine, scale, (left + ROUNDING * np.linalg.norm(x, axis=1)).astype(np.float32)
-
-    def most(self, q: np.ndarray, at: np.ndarray, codes: np.ndarray, fine: np.ndarray, scale: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """The most that the products of queries with entries can be."""
-        size = np.linalg.norm(q, axis=1).astype(np.float32)
-        x = self.decode(at, codes) + fine * scale[:, None]
-        return q.astype(np.float32) @ x.T.astype(np.float32) + size[:, None] * left[None, :]
+        left = np.linalg.norm(rest - fine * scale[:, None].astype(float), axis=1) + ROUNDING * size
+        numbers = np.stack([scale, np.linalg.norm(rest, axis=1), left], 1).astype(np.float32)
+        return at, np.concatenate([codes, fine.view(np.uint8), numbers.view(np.uint8)], axis=1)
 
     def cells(self, q: np.ndarray) -> np.ndarray:
-        """Whether each query looks up each cell."""
-        c = q.astype(np.float32) @ self.centroids.T
-        out = np.zeros(c.shape, bool)
-        np.put_along_axis(out, np.argsort(-c, axis=1, kind="stable")[:, : self.looked], True, 1)
+        """Whether each query looks up each cell: ``looked`` cells, or more if they are nearly empty."""
+        order = np.argsort(-self._orders(q)[self.order], axis=1, kind="stable")
+        enough = (np.cumsum(self.sizes[order], axis=1) < 2 * (self.k + 1)).sum(axis=1) + 1
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.arange(order.shape[1]) < np.maximum(self.looked, enough)[:, None], 1)
         return out
 
-    def _calibrate(self, x: np.ndarray, at: np.ndarray, k: int, recall: float) -> None:
-        q = x[:: max(1, len(x) // 256)]
-        k = min(k, len(x) - 1)
-        if k < 1:
-            return
-        best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, : k + 1]
-        c = q @ self.centroids.T
-        rank = np.argsort(np.argsort(-c, axis=1, kind="stable"), axis=1)
-        needed = np.sort(np.take_along_axis(rank, at[best], 1).ravel())
-        self.looked = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
-        _, codes = self.encode(x)
-        order = np.argsort(np.argsort(-self.most(q, at, codes, *self.refine(x, at, codes)), axis=1, kind="stable"), axis=1)
-        needed = np.sort(np.take_along_axis(order, best, 1).ravel())
-        self.short = int(max(self.short, 2 * needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))
-
-
-class Best:
-    """The best entries so far of a block of queries."""
-
-    def __init__(self, index: Index, short: int):
-        self.index, self.short = index, short
-        self.ids: list[np.ndarray] = []
-        self.asked: list[np.ndarray] = []
-        self.ready = False
-
-    def ask(self, ids: np.ndarray, v: np.ndarray) -> None:
-        self.ids.append(ids)
-        self.asked.append(v)
-
-    def _prepare(self) -> None:
-        self.query_ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int64)
-        self.v = np.concatenate(self.asked) if self.asked else np.zeros((0, self.index.dim))
-        self.looked = self.index.cells(self.v) if len(self.v) else np.zeros((0, len(self.index.centroids)), bool)
-        self.near = np.full((len(self.v), self.short), -np.inf, np.float32)
-        self.keys = np.zeros((len(self.v), self.short, 3), np.int64)
-        self.ready = True
-
-    def meet(self, cells: np.ndarray, coded: tuple[np.ndarray, ...], keys: np.ndarray) -> None:
-        """Entries in order of cell against the queries that look their cells up."""
-        if not self.ready:
-            self._prepare()
-        edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            asking = np.flatnonzero(self.looked[:, cells[a]])
-            for at in range(a, b, 2048):
-                rows = slice(at, min(b, at + 2048))
-                for q in range(0, len(asking), 256):
-                    self._merge(asking[q : q + 256], cells[rows], tuple(c[rows] for c in coded), keys[rows])
-
-    def _merge(self, q: np.ndarray, cells: np.ndarray, coded: tuple[np.ndarray, ...], keys: np.ndarray) -> None:
-        score = self.index.most(self.v[q], cells, *coded)
-        better = (score > self.near[q].min(axis=1)[:, None]).any(axis=1)
-        q, score = q[better], score[better]
-        if not len(q):
-            return
-        both = np.concatenate([self.near[q], score], axis=1)
-        top = np.argpartition(-both, self.short - 1, axis=1)[:, : self.short]
-        all_keys = np.concatenate([self.keys[q], np.broadcast_to(keys, (len(q), *keys.shape))], axis=1)
-        self.near[q] = np.take_along_axis(both, top, 1)
-        self.keys[q] = np.take_along_axis(all_keys, top[:, :, None], 1)
-
-    def told(self) -> Iterator[pd.DataFrame]:
-        if not self.ready:
-            self._prepare()
-        for a in range(0, len(self.v), 64):
-            i, j = np.nonzero(self.near[a : a + 64] > -np.inf)
-            k = self.keys[a : a + 64][i, j]
-            yield pd.DataFrame({"query_id": self.query_ids[a + i], "e": k[:, 0], "h1": k[:, 1], "h2": k[:, 2], "near": self.near[a : a + 64][i, j].astype(float)})
+    def lay_out(self, sizes: np.ndarray, tasks: int) -> None:
+        """Areas of neighbouring cells: first area and number of areas of each cell."""
+        self.sizes = sizes.astype(float)
+        full = max(self.k + 1, min(AREA, -(-int(sizes.sum()) // tasks)))
+        around = k_means(self.centroids, int(max(1, len(self.centroids) ** 0.5)), 6)
+        self.first, self.parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        area, held = 0, 0
+        for c in np.lexsort((np.arange(len(sizes)), nearest(self.centroids, around))):
+            if held and held + sizes[c] > full:
+                area, held = area + 1, 0
+            self.first[c], self.parts[c] = area, max(1, -(-int(sizes[c]) // (2 * full)))
+            held += sizes[c]
+            if self.parts[c] > 1:
+                area, held = area + int(self.parts[c]), 0
+        self.areas = area + 1
+
+    def asked_areas(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of query and area: the areas of the cells that a query looks up."""
+        looked = self.cells(q)
+        out = np.zeros((len(q), self.areas), bool)
+        for part in range(int(self.parts.max())):
+            own = np.flatnonzero(self.parts > part)
+            i, c = np.nonzero(looked[:, own])
+            out[i, self.first[own[c]] + part] = True
+        return np.nonzero(out)
+
+
+class Area:
+    """The entries of an area, as they come, and what queries find among them."""
+
+    def __init__(self, index: Index):
+        self.index, self.held = index, []
+        self.ready = None
+
+    def add(self, cells: np.ndarray, keys: np.ndarray, rows: list[bytes]) -> None:
+        self.held.append((cells, keys, np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)))
+        self.ready = None
+
+    def _arrays(self):
+        if self.ready is None:
+            cells, keys, raw = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            s, d = len(self.index.books), self.index.dim
+            codes = np.ascontiguousarray(raw[:, :s].T)
+            numbers = np.ascontiguousarray(raw[:, s + d :]).view(np.float32)
+            self.held = [(cells, keys, raw)]
+            self.ready = cells, keys, codes, np.ascontiguousarray(raw[:, s : s + d]).view(np.int8), *numbers.T
+        return self.ready
+
+    def near(self, query_ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        """What may be among the k + 1 nearest of each query, with the most its product may be, and the
+        least that the last of the k + 1 has."""
+        index, want = self.index, self.index.k + 1
+        cells, keys, codes, fine, scale, rough, left = self._arrays()
+        looked = index.cells(v)
+        rows = np.flatnonzero(looked.any(axis=0)[cells])
+        size = np.linalg.norm(v, axis=1)
+        table = np.einsum("bsd,skd->sbk", index._padded(v).reshape(len(v), -1, SUB), index.books).astype(np.float32)
+        to_cell = (v @ index.centroids.T).astype(np.float32)
+        score = np.empty((len(v), len(rows)), np.float32)
+        for a in range(0, len(rows), 4096):
+            own = rows[a : a + 4096]
+            part = to_cell[:, cells[own]]
+            for s in range(len(codes)):
+                part += np.take(table[s], codes[s, own], axis=1)
+            part[~looked[:, cells[own]]] = -np.inf
+            score[:, a : a + 4096] = part
+        slack = (SURE / index.dim**0.5) * size[:, None] * rough[rows][None] + size[:, None] * left[rows][None]
+        floor = np.partition(score - slack, -want, axis=1)[:, -want] if len(rows) > want else np.full(len(v), -np.inf)
+        maybe = (score + slack >= floor[:, None]) & (score > -np.inf)
+        out = []
+        for b in range(len(v)):
+            (j,) = np.nonzero(maybe[b])
+            if not len(j):
+                continue
+            e = rows[j]
+            fined = score[b, j] + (fine[e].astype(np.float32) @ v[b]) * scale[e]
+            error = size[b] * left[e]
+            least = float(np.partition(fined - error, -want)[-want]) if len(e) >= want else -np.inf
+            keep = fined + error >= least
+            e = e[keep]
+            out.append((np.full(len(e), query_ids[b]), keys[e], (fined + error)[keep].astype(float), np.full(len(e), least)))
+        if not out:
+            return _found([], np.zeros((0, 2), np.int64), [], [])
+        return _found(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+
+def _found(query_ids, keys, most, least) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.asarray(query_ids, np.int64), "h1": keys[:, 0], "h2": keys[:, 1], "most": np.asarray(most, float), "least": np.asarray(least, float)})
 
 
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _packed(codes: np.ndarray, fine: np.ndarray, scale: np.ndarray, left: np.ndarray) -> list[bytes]:
-    return [c.tobytes() for c in np.concatenate([codes, fine.view(np.uint8), np.stack([scale, left], 1).view(np.uint8)], axis=1)]
-
-
-def _unpacked(rows: pd.Series, dim: int) -> tuple[np.ndarray, ...]:
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    codes, fine, two = raw[:, : -8 - dim], raw[:, -8 - dim : -8], np.ascontiguousarray(raw[:, -8:]).view(np.float32)
-    return codes, fine.view(np.int8), two[:, 0], two[:, 1]
-
-
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``k`` nearest of ``vectors`` for every row of ``queries`` (both: vec_id, embedding):
     query_id, rank, vec_id, score."""
@@ -202,100 +233,105 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     rows = clean(vectors)
     dims = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).head(1)
-    out_schema = "query_id long, rank int, vec_id long, score double"
     if not dims:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = dims[0]["dim"]
     rows = rows.where(F.col("dim") == dim)
     same = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("second"), "embedding").alias("h2")]
     first = W.partitionBy("h1", "h2").orderBy("vec_id")
     entries = (
         rows.select("vec_id", "embedding", *same)
+        .dropDuplicates(["h1", "h2", "vec_id"])
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= k + 1)  # limited in each task before the shuffle
         .groupBy("h1", "h2")
         .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
-        .select(F.col("ids")[0].alias("entry"), "ids", "embedding", "h1", "h2")
-        .withColumn("entry", F.struct("entry", "h1", "h2"))
-        .select("entry", "ids", "embedding")
         .checkpoint()
     )
-    n = entries.count()
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("embedding").toPandas()
-    index = spark.sparkContext.broadcast(Index(_stack(sample["embedding"]), n, k))  # of the size of the sample's centroids
-
-    kind = dict(entries.dtypes)
-    entry = kind["entry"]
+    largest = F.max(F.array_max(F.transform("embedding", lambda c: F.abs(c.cast("double")))))
+    n, top = entries.agg(F.count(F.lit(1)), largest).head()
+    share = min(1.0, 1.5 * SAMPLE / max(1, n))  # of the hashes: so few rows are sorted
+    sample = entries.where(F.col("h1") <= min(2**63 - 1, int((2 * share - 1) * 2**63))).orderBy("h1", "h2").limit(SAMPLE).select("embedding").toPandas()
+    index = Index(_stack(sample["embedding"]) / top, n, k)
+    rough = spark.sparkContext.broadcast(index)  # at most CELLS centroids
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = _stack(f["embedding"])
-            at, codes = index.value.encode(x)
-            yield pd.DataFrame({"entry": f["entry"], "cell": at.astype(np.int32), "code": _packed(codes, *index.value.refine(x, at, codes))})
-
-    coded = entries.select("entry", "embedding").mapInPandas(encode, f"entry {entry}, cell int, code binary").checkpoint()
-    asked = clean(queries).where(F.col("dim") == dim).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding")).checkpoint()
-    def listed_of(asked: DataFrame, count: int, short: int) -> DataFrame:
-        """query_id, near, score, ids: the ``short`` entries of each query that may be nearest, scored exactly."""
-        blocks = max(1, -(-count * short // (QUERIES * index.value.short)))
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-        # A block of queries meets a share of the entries: queries first, then entries in order of cell.
-        none = F.lit(None)
-        from_queries = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.lit(-1).alias("cell"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), none.cast("binary").alias("code"), "embedding")
-        from_entries = coded.select(
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("entry"), F.lit(SHARES)).cast("int").alias("share"), "cell",
-            F.col("entry.entry").alias("id"), F.col("entry.h1").alias("h1"), F.col("entry.h2").alias("h2"), "code", none.cast(kind["embedding"]).alias("embedding"),
-        )
-        met = from_queries.unionByName(from_entries).repartition(common.partitions(spark), "block", "share").sortWithinPartitions("block", "share", "cell", "id", "h1", "h2")
-
-        def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            task, best = None, None
-            for f in frames:
-                for key, own in f.groupby(["block", "share"], sort=True):
-                    if key != task:
-                        if best is not None:
-                            yield from best.told()
-                        task, best = key, Best(index.value, short)
-                    asks = own["cell"].to_numpy() < 0
-                    if asks.any():
-                        best.ask(own["id"].to_numpy()[asks], _stack(own["embedding"][asks]))
-                    if not asks.all():
-                        own = own[~asks]
-                        best.meet(own["cell"].to_numpy(), _unpacked(own["code"], dim), own[["id", "h1", "h2"]].to_numpy(np.int64))
-            if best is not None:
-                yield from best.told()
-
-        found = met.mapInPandas(look, "query_id long, e long, h1 long, h2 long, near double")
-        found = found.select("query_id", F.struct(F.col("e").alias("entry"), "h1", "h2").alias("entry"), "near")
-        best = W.partitionBy("query_id").orderBy(F.desc("near"), "entry")
-        listed = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= short).select("query_id", "entry", "near")
-        exact = F.aggregate(
-            F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x
-        )
-        return (
-            listed.join(entries, "entry")
-            .join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-            .select("query_id", "near", exact.alias("score"), "ids")
-            .checkpoint()
-        )
-
-    out, short, count = None, index.value.short, asked.count()
-    while True:
-        scored = listed_of(asked, count, short)
-        nearest_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        own = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-        ranked = own.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        # what isn't listed is at most the least listed; it counts if that exceeds the last neighbour
-        full = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("least")).where(F.col("n") >= short)
-        last = ranked.where(F.col("rank") == k).select("query_id", F.col("score").alias("last"))
-        again = full.join(last, "query_id", "left").where("last IS NULL OR least >= last").select("query_id").checkpoint()
-        count = again.count()
-        done = ranked.join(again, "query_id", "left_anti") if count else ranked
-        out = done if out is None else out.unionByName(done)
-        if not count:
-            return out
-        asked = asked.join(again, asked["vec_id"] == again["query_id"], "left_semi").checkpoint()
-        short *= 4
+            cell, raw = rough.value.encode(_stack(f["embedding"]) / top)
+            yield pd.DataFrame({"h1": f["h1"], "h2": f["h2"], "cell": cell.astype(np.int32), "row": [r.tobytes() for r in raw]})
+
+    coded = entries.select("h1", "h2", "embedding").mapInPandas(encode, "h1 long, h2 long, cell int, row binary").checkpoint()
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in coded.groupBy("cell").count().collect():  # at most CELLS rows
+        sizes[r["cell"]] = r["count"]
+    index.lay_out(sizes, common.partitions(spark))
+    known = spark.sparkContext.broadcast(index)
+
+    asked = clean(queries).where(F.col("dim") == dim).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = known.value
+        for f in frames:
+            for a in range(0, len(f), 512):
+                own = f.iloc[a : a + 512]
+                v = (_stack(own["embedding"]) / top).astype(np.float32)
+                i, area = index.asked_areas(v)
+                rows = [r.tobytes() for r in v]
+                yield pd.DataFrame({"area": area, "query_id": own["vec_id"].to_numpy()[i], "cell": nearest(v, index.centroids)[i].astype(np.int32), "row": [rows[x] for x in i]})
+
+    routed = asked.mapInPandas(route, "area long, query_id long, cell int, row binary").checkpoint()
+    # queries of an area in blocks: one row an area of about AREA entries reaches the driver
+    blocks = {r["area"]: -(-r["count"] // ASKING) for r in routed.groupBy("area").count().collect()}
+    most = spark.sparkContext.broadcast(blocks)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Entries to their area, once for each block of queries that it has."""
+        index, blocks = known.value, most.value
+        for f in frames:
+            cell = f["cell"].to_numpy()
+            area = index.first[cell] + (f["h1"].to_numpy() & 0x7FFFFFFF) % index.parts[cell]
+            times = np.array([blocks.get(a, 0) for a in area.tolist()], np.int64)
+            i = np.repeat(np.arange(len(f)), times)
+            block = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+            yield f.iloc[i].assign(area=area[i], block=block, kind=0)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries of an area to one of its blocks."""
+        for f in frames:
+            share = np.array([most.value[a] for a in f["area"].tolist()], np.int64)
+            yield pd.DataFrame({"h1": f["query_id"], "h2": 0, "cell": f["cell"], "row": f["row"], "area": f["area"], "block": f["mix"].to_numpy() % share if len(f) else share, "kind": 1})
+
+    schema = "h1 long, h2 long, cell int, row binary, area long, block long, kind int"
+    mixed = routed.withColumn("mix", F.pmod(F.xxhash64("query_id"), F.lit(1 << 31)))
+    met = coded.mapInPandas(place, schema).unionByName(mixed.mapInPandas(deal, schema)).repartition(common.partitions(spark), "area", "block").sortWithinPartitions("area", "block", "kind", "cell", "h1", "h2")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, area = None, None
+        for f in frames:
+            for key, own in f.groupby(["area", "block"], sort=True):
+                if key != task:
+                    task, area = key, Area(known.value)
+                entries, asks = own[own["kind"] == 0], own[own["kind"] == 1]
+                if len(entries):
+                    area.add(entries["cell"].to_numpy(), entries[["h1", "h2"]].to_numpy(np.int64), list(entries["row"]))
+                for a in range(0, len(asks) if area.held else 0, 64):
+                    part = asks.iloc[a : a + 64]
+                    yield area.near(part["h1"].to_numpy(np.int64), np.stack([np.frombuffer(r, np.float32) for r in part["row"]]))
+
+    found = met.mapInPandas(look, "query_id long, h1 long, h2 long, most double, least double")
+    # an entry counts if the most it may have reaches what k + 1 entries of one area have at least
+    listed = found.withColumn("floor", F.max("least").over(W.partitionBy("query_id"))).where("most >= floor").select("query_id", "h1", "h2")
+    exact = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    scored = (
+        listed.join(entries, ["h1", "h2"])
+        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+        .select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id"))
+        .where("vec_id <> query_id")
+        .groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
+    )
+    nearest_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

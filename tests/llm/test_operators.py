@@ -266,8 +266,8 @@ def test_metric_join(spark, monkeypatch, cell):
 
 
 def test_ann(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARES", 3)
-    monkeypatch.setattr(ann, "QUERIES", 8)
+    monkeypatch.setattr(ann, "AREA", 40)
+    monkeypatch.setattr(ann, "ASKING", 5)
     rows = vectors(400)
     df = spark.createDataFrame(rows, VECTORS)
     got = defaultdict(list)
