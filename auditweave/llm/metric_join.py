@@ -1,13 +1,18 @@
 """Near-duplicate vectors by an exact metric range join.
 
 Vectors with the same label and the same components are one node with a weight.  On unit vectors a
-cosine of at least ``least`` is a Euclidean distance of at most r.  Pivots of each label, drawn
-from a bounded sample, partition the nodes: a node is at home at its nearest pivot, at distance d.  By
-the triangle inequality a node within r of a node at home at pivot p lies within R(p) + r of p (R:
-the largest distance at home) and at most d + 2 r away from it; only there is it replicated.  So
-all neighbours of a node are in its home cell, and each cell is joined independently: blocks of
-``BLOCK`` home rows against blocks of ``BLOCK`` rows of the cell.  A block returns each row's number of
-linked vectors and one link to the least row of its component in the block, never all pairs.
+cosine of at least ``least`` is a Euclidean distance of at most r.  Pivots, chosen farthest first
+from a bounded sample of each label of some size, partition the label's nodes: a node is at home at its
+nearest pivot c.  By the triangle inequality a node x within r of a node at home at pivot p lies within
+R(p) + r of p, at least as far as the nearest node at home there less r, and at most d(x, c) + 2 r away
+from p (R: the largest distance at home); and it lies at most r from the plane half-way between c and p.
+Only if all of this holds, and for one of c and p only, is it replicated to p.  How many pivots are
+taken follows from the replication and the comparisons that the sample shows.
+
+Cells are joined independently, one that is larger than ``BLOCK`` in parts that meet in pairs.  A task
+holds a part's ``BLOCK`` vectors and streams the replicated ones past them; it tells each vector's number
+of links there and one link to hold its component together, never all pairs.  Products are
+made in single precision; what is within ``_BAND`` of the bound is decided in double precision.
 
 Rows: a vector that is null or zero, or holds null or non-finite components, and one whose label
 is null, links with nothing; so do vectors of different lengths; null vec_id counts as a vector but gives
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,13 +36,17 @@ from .simhash import least_label
 from .vectors import usable
 
 LEAST = 0.93
-BLOCK = 1024
-#: Vectors a pivot is drawn for, and most pivots of a label.
-CELL, PIVOTS = 2000, 256
-#: Rows of a label that pivots are drawn from, at most.
+#: Vectors that a task holds, about.
+BLOCK = 8192
+#: Vectors for one pivot, at least; pivots of all labels together, and of one label, at most.
+CELL, PIVOTS, OF_LABEL = 512, 4096, 512
+#: Rows of a label that its pivots are chosen from, at most.
 SAMPLE = 4096
+#: Operations that sending a vector is worth, when pivots are chosen.
+_SENT = 20_000
 #: Slack of the bounds, above rounding; it only adds candidates.
 _SLACK = 1e-6
+_BAND = 1e-5
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -49,23 +59,123 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _pivots(nodes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Unit pivots of each label and length: at most SAMPLE rows of each, by hash, are looked at;
-    farthest-first choice spreads the pivots."""
-    sizes = {(r["label"], r["dim"]): r["n"] for r in nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = {}
-    for (label, dim), n in sorted(sizes.items(), key=str):
-        k = int(min(PIVOTS, max(1, n // CELL)))
-        if k == 1:
-            continue
-        own = nodes.where((F.col("label") == label) & (F.col("dim") == dim)).select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, 16 * k))
-        v = unit(_stack(own.toPandas()["embedding"]))
-        chosen, near = [0], v @ v[0]
-        while len(chosen) < min(k, len(v)):
-            chosen.append(int(near.argmin()))
-            near = np.maximum(near, v @ v[chosen[-1]])
-        out[label, dim] = v[chosen]
-    return out
+def distances(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * u @ pivots.T))
+
+
+def sent_to(c, p):
+    """Whether pairs of cells c and p are met in p."""
+    return ((c + p) % 2 == 0) == (c < p)
+
+
+def replicated(d: np.ndarray, home: np.ndarray, between: np.ndarray, inner: np.ndarray, outer: np.ndarray, r: float) -> np.ndarray:
+    """Which vectors go to which further cells: ``d`` their distances from the pivots, ``between`` those of
+    the pivots from each other, ``inner`` and ``outer`` the least and largest distance at home."""
+    own = d[np.arange(len(d)), home][:, None]
+    apart = 2 * between[home]
+    near = (d <= outer + r) & (d >= inner - r) & (d <= own + 2 * r) & (d**2 - own**2 <= r * apart + _SLACK)
+    return near & sent_to(home[:, None], np.arange(d.shape[1])[None])
+
+
+def choose(v: np.ndarray, n: int, most: int, r: float) -> np.ndarray:
+    """Pivots for ``n`` vectors from a sample of them: farthest first, as many as cost least."""
+    u = unit(v)
+    most = int(min(most, OF_LABEL, n // CELL, len(u)))
+    chosen, near = [0], u @ u[0]
+    while len(chosen) < most:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, u @ u[chosen[-1]])
+    d = distances(u, u[chosen])
+    best, scale, k = (np.inf, 1), n / len(u), 1
+    while k <= most:
+        own = d[:, :k]
+        home = own.argmin(1)
+        near = own[np.arange(len(u)), home]
+        count = np.bincount(home, minlength=k)
+        outer, inner = np.zeros(k), np.full(k, np.inf)
+        np.maximum.at(outer, home, near)
+        np.minimum.at(inner, home, near)
+        more = replicated(own, home, distances(u[chosen[:k]], u[chosen[:k]]), inner, outer, r)
+        cost = scale * (len(u) + more.sum()) * _SENT + scale**2 * float((count * (count + more.sum(0))).sum()) * 2 * u.shape[1]
+        best = min(best, (cost, k))
+        k *= 2
+    return u[chosen[: best[1]]]
+
+
+class Part:
+    """The vectors that a task holds, and what is streamed past them."""
+
+    def __init__(self, least: float):
+        self.least, self.held = least, []
+        self.ready = False
+
+    def hold(self, keys: np.ndarray, weight: np.ndarray, v: np.ndarray) -> None:
+        self.held.append((keys, weight, v))
+
+    def _prepare(self) -> None:
+        self.keys, self.weight, self.v = (np.concatenate(c) for c in zip(*self.held, strict=True)) if self.held else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, 0)))
+        self.u = unit(self.v).astype(np.float32) if len(self.v) else self.v
+        self.links, self.label = np.zeros(len(self.keys), np.int64), np.arange(len(self.keys))
+        self.ready = True
+        for a in range(0, len(self.keys), 512):
+            near = self._near(self.u[a : a + 512], self.v[a : a + 512])
+            near[np.arange(len(near)), a + np.arange(len(near))] = True
+            self.links[a : a + 512] = near @ self.weight
+            own = near.copy()
+            own[:, a + 512 :] = False  # a pair joins its components once
+            self._join(own)
+
+    def _near(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        c = u @ self.u.T
+        near = c >= self.least
+        i, j = np.nonzero(np.abs(c - self.least) < _BAND)
+        if len(i):
+            near[i, j] = [exact(v[x], self.v[y], self.least) for x, y in zip(i, j, strict=True)]
+        return near
+
+    def _join(self, near: np.ndarray) -> None:
+        """Vectors that one streamed vector links with are of one component."""
+        for a in range(0, len(near), 64):
+            i, j = np.nonzero(near[a : a + 64])
+            if not len(i):
+                continue
+            own = self.label[j]
+            begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            least = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.r_[begin, len(i)]))
+            other = own != least
+            if other.any():
+                pairs = np.unique(np.stack([own[other], least[other]], 1), axis=0)
+                self.label = least_label(len(self.label), pairs[:, 0], pairs[:, 1])[self.label]
+
+    def meet(self, keys: np.ndarray, weight: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        """Links of streamed vectors here, and one vector that each links with."""
+        if not self.ready:
+            self._prepare()
+        to, links = keys.copy(), np.zeros(len(keys), np.int64)
+        if len(self.keys):
+            u = unit(v).astype(np.float32)
+            for a in range(0, len(keys), 512):
+                near = self._near(u[a : a + 512], v[a : a + 512])
+                links[a : a + 512] = near @ self.weight
+                self.links += weight[a : a + 512] @ near
+                self._join(near)
+                some = near.any(axis=1)
+                to[a : a + 512][some] = self.keys[near.argmax(axis=1)[some]]
+        return _told(keys, links, to)
+
+    def told(self) -> pd.DataFrame:
+        if not self.ready:
+            self._prepare()
+        return _told(self.keys, self.links, self.keys[self.label])
+
+
+def _told(keys: np.ndarray, links: np.ndarray, to: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"h1": keys[:, 0], "h2": keys[:, 1], "links": links, "g1": to[:, 0], "g2": to[:, 1]})
+
+
+def exact(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    x, y = x / np.abs(x).max(), y / np.abs(y).max()
+    return float(np.dot(x, y)) / (float(np.sqrt(np.dot(x, x))) * float(np.sqrt(np.dot(y, y)))) >= least
 
 
 def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") -> DataFrame:
@@ -80,96 +190,98 @@ def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") ->
         rows.where("ok")
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-        .select(F.struct("h1", "h2").alias("node"), "weight", "least_id", "label", "embedding", F.size("embedding").alias("dim"))
+        .select("h1", "h2", "weight", "least_id", F.xxhash64("label").alias("l1"), F.xxhash64(F.lit("second"), "label").alias("l2"), F.size("embedding").alias("dim"), "embedding")
         .checkpoint()
     )
-    pivots = _pivots(nodes)
-    sent = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors a label
     r = float(np.sqrt(max(0.0, 2 - 2 * least))) + _SLACK
+    label = ["l1", "l2", "dim"]
+
+    # pivots of labels that are large enough: PIVOTS together, so as many labels at most
+    sizes = nodes.groupBy(*label).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).head()[0] or 0
+    large = sizes.where(F.col("n") >= max(2 * CELL, 2 * total // PIVOTS))
+    picked = nodes.join(F.broadcast(large), label).withColumn("nth", F.row_number().over(W.partitionBy(*label).orderBy("h1", "h2"))).where(F.col("nth") <= SAMPLE)
+
+    def pivots_of(own: pd.DataFrame) -> pd.DataFrame:
+        n = int(own["n"].iloc[0])
+        found = choose(_stack(own["embedding"]), n, max(1, PIVOTS * n // max(1, total)), r)
+        first = own.iloc[[0] * len(found)]
+        return pd.DataFrame({**{c: first[c].to_numpy() for c in label}, "cell": np.arange(len(found)), "pivot": [p.tobytes() for p in found]})
+
+    pivots: dict[tuple, list] = {}
+    for p in picked.groupBy(*label).applyInPandas(pivots_of, "l1 long, l2 long, dim int, cell int, pivot binary").orderBy(*label, "cell").collect():
+        pivots.setdefault((p["l1"], p["l2"], p["dim"]), []).append(np.frombuffer(p["pivot"]))
+    sent = spark.sparkContext.broadcast({k: np.stack(v) for k, v in pivots.items() if len(v) > 1})  # PIVOTS vectors at most
 
     def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            cell, far = np.zeros(len(f), np.int64), np.zeros(len(f))
-            for (label, dim), rows in f.groupby(["label", "dim"]).indices.items():
-                p = sent.value.get((label, dim))
+            cell, far = np.zeros(len(f), np.int32), np.zeros(len(f))
+            v = [np.asarray(x, np.float64) for x in f["embedding"]]
+            for at, rows in f.groupby(label).indices.items():
+                p = sent.value.get(at)
                 if p is not None:
-                    d = np.sqrt(np.maximum(0, 2 - 2 * unit(_stack(f["embedding"].iloc[rows])) @ p.T))
+                    d = distances(unit(np.stack([v[k] for k in rows])), p)
                     cell[rows] = d.argmin(1)
                     far[rows] = d.min(1)
-            yield f.assign(cell=cell, far=far)
+            yield f[["h1", "h2", "weight", *label]].assign(cell=cell, far=far, vector=[x.tobytes() for x in v])
 
-    kinds = f"node struct<h1:long,h2:long>, weight long, least_id long, label {dict(nodes.dtypes)['label']}, embedding {dict(nodes.dtypes)['embedding']}, dim int"
-    placed = nodes.select("node", "weight", "least_id", "label", "embedding", "dim").mapInPandas(home, f"{kinds}, cell long, far double").checkpoint()
-    cells = placed.groupBy("label", "dim", "cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"))
-    radii = {(c["label"], c["dim"], c["cell"]): (c["radius"], c["n"]) for c in cells.collect()}  # at most PIVOTS a label
+    kinds = "h1 long, h2 long, weight long, l1 long, l2 long, dim int, cell int, far double, vector binary"
+    placed = nodes.select("h1", "h2", "weight", *label, "embedding").mapInPandas(home, kinds).checkpoint()
+    cells = placed.groupBy(*label, "cell").agg(F.min("far").alias("inner"), F.max("far").alias("outer"), F.count(F.lit(1)).alias("n")).checkpoint()
+    radii: dict[tuple, dict] = {}
+    for c in cells.join(F.broadcast(large.select(*label)), label).collect():  # PIVOTS rows, and one for a label without pivots
+        radii.setdefault((c["l1"], c["l2"], c["dim"]), {})[c["cell"]] = (c["inner"], c["outer"])
     reach = spark.sparkContext.broadcast(radii)
 
     def replicate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for (label, dim), rows in f.groupby(["label", "dim"]).indices.items():
-                own = f.iloc[rows]
-                p = sent.value.get((label, dim))
+            yield f.assign(at=f["cell"])
+            for at, rows in f.groupby(label).indices.items():
+                p = sent.value.get(at)
                 if p is None:
-                    yield own.assign(at=own["cell"])
                     continue
-                d = np.sqrt(np.maximum(0, 2 - 2 * unit(_stack(own["embedding"])) @ p.T))
-                radius = np.array([reach.value.get((label, dim, c), (-np.inf, 0))[0] for c in range(len(p))])
-                near = (d <= radius + r) & (d <= own["far"].to_numpy()[:, None] + 2 * r)
-                near[np.arange(len(own)), own["cell"].to_numpy()] = True
-                i, c = np.nonzero(near)
+                own = f.iloc[rows]
+                none = (np.inf, -np.inf)  # nothing is at home there
+                inner, outer = np.array([reach.value[at].get(c, none) for c in range(len(p))]).T
+                u = unit(np.stack([np.frombuffer(x) for x in own["vector"]]))
+                i, c = np.nonzero(replicated(distances(u, p), own["cell"].to_numpy(), distances(p, p), inner, outer, r))
                 yield own.iloc[i].assign(at=c)
 
-    met = placed.mapInPandas(replicate, f"{kinds}, cell long, far double, at long")
-    # blocks: home rows of a cell are cut into a parts, all rows of the cell into b parts
-    at_home = F.col("cell") == F.col("at")
-    sizes = met.groupBy("label", "dim", "at").agg(F.sum(at_home.cast("int")).alias("home"), F.count(F.lit(1)).alias("all"))
-    parts = {(s["label"], s["dim"], s["at"]): (-(-s["home"] // BLOCK), -(-s["all"] // BLOCK)) for s in sizes.collect()}  # at most PIVOTS a label
-    cut = spark.sparkContext.broadcast(parts)
+    # a large cell in parts: a vector is held by one, and streamed past those of the others that meet it there
+    met = placed.mapInPandas(replicate, f"{kinds}, at int").join(cells.select(*label, F.col("cell").alias("at"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), [*label, "at"])
+    mine = F.pmod("h1", "parts").cast("int")
+    dealt = (
+        met.withColumn("mine", F.when(F.col("cell") == F.col("at"), mine).otherwise(-1))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        .withColumn("held", F.col("mine") == F.col("part"))
+        .where(F.col("held") | (F.col("mine") < 0) | (((F.col("mine") + F.col("part")) % 2 == 0) == (F.col("mine") < F.col("part"))))
+        .select("h1", "h2", "weight", *label, "at", "part", F.when(F.col("held"), 0).otherwise(1).alias("kind"), "vector")
+        .repartition(common.partitions(spark), *label, "at", "part")
+        .sortWithinPartitions(*label, "at", "part", "kind", "h1", "h2")
+    )
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, part = None, None
         for f in frames:
-            out = []
-            number = np.array([x["h1"] & 0x7FFFFFFF for x in f["node"]], np.int64)
-            for (label, dim, at), rows in f.groupby(["label", "dim", "at"]).indices.items():
-                a, b = cut.value[label, dim, at]
-                own = f.iloc[rows]
-                n = number[rows]
-                is_home = (own["cell"] == at).to_numpy()
-                for i in range(a):
-                    out.append(own.assign(i=i, j=n % b, left=False))
-                for j in range(b):
-                    out.append(own[is_home].assign(i=n[is_home] % a, j=j, left=True) if a else own[:0].assign(i=0, j=0, left=True))
-            if out:
-                yield pd.concat(out)
-
-    def join(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block["left"]].reset_index(drop=True), block[~block["left"]].reset_index(drop=True)
-        empty = pd.DataFrame({"h1": [], "h2": [], "links": [], "g1": [], "g2": []}).astype("int64")
-        if left.empty or right.empty:
-            return empty
-        near = _cosines(_stack(left["embedding"]), _stack(right["embedding"]), least)
-        a1, a2 = _keys(left), _keys(right)
-        equal = (a1[:, None, 0] == a2[None, :, 0]) & (a1[:, None, 1] == a2[None, :, 1])
-        near |= equal
-        weight = right["weight"].to_numpy()
-        links = near @ weight
-        keys, inverse = np.unique(np.concatenate([a1, a2]), axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        i, j = np.nonzero(near)
-        label = least_label(len(keys), inverse[:len(a1)][i], inverse[len(a1):][j])
-        out = pd.DataFrame({"h1": a1[:, 0], "h2": a1[:, 1], "links": links})
-        mine = np.unique(inverse)
-        chain = mine[label[mine] != mine]
-        out["g1"], out["g2"] = keys[label[inverse[: len(a1)]]].T
-        more = pd.DataFrame({"h1": keys[chain, 0], "h2": keys[chain, 1], "links": 0, "g1": keys[label[chain], 0], "g2": keys[label[chain], 1]})
-        return pd.concat([out, more])
-
-    dealt = met.mapInPandas(deal, f"{kinds}, cell long, far double, at long, i long, j long, left boolean")
-    made = dealt.groupBy("label", "dim", "at", "i", "j").applyInPandas(join, "h1 long, h2 long, links long, g1 long, g2 long").checkpoint()
+            for key, own in f.groupby([*label, "at", "part"], sort=True):
+                if key != at:
+                    if part is not None:
+                        yield part.told()
+                    at, part = key, Part(least)
+                for kind, some in own.groupby("kind", sort=True):
+                    args = some[["h1", "h2"]].to_numpy(np.int64), some["weight"].to_numpy(np.int64), np.stack([np.frombuffer(x) for x in some["vector"]])
+                    if kind == 0:
+                        part.hold(*args)
+                    else:
+                        yield part.meet(*args)
+        if part is not None:
+            yield part.told()
+
+    made = dealt.mapInPandas(join, "h1 long, h2 long, links long, g1 long, g2 long").checkpoint()
     counts = made.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     links = made.select(F.struct("h1", "h2").alias("a"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2")).alias("b"))
     found = components(links.where("a <> b"))
-    state = nodes.join(found, "node", "left").select("node", "least_id", F.coalesce("least", "node").alias("root"))
+    state = nodes.select(F.struct("h1", "h2").alias("node"), "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("least", "node").alias("root"))
     # plain sides of joins, so that Spark can split the rows of a large component or of one vector
     ids = state.groupBy("root").agg(F.min("least_id").alias("component_id")).checkpoint()
     state = state.join(ids, "root").select("node.h1", "node.h2", "component_id").join(counts, ["h1", "h2"]).checkpoint()
@@ -184,22 +296,6 @@ def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") ->
     )
 
 
-def _keys(f: pd.DataFrame) -> np.ndarray:
-    return np.array([(x["h1"], x["h2"]) for x in f["node"]], np.int64).reshape(-1, 2)
-
-
-def _cosines(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Cosine of at least ``least``; products near the bound are summed again row by row, so the
-    answer doesn't depend on how a matrix product is blocked."""
-    u, v = unit(a), unit(b)
-    c = u @ v.T
-    near = c >= least
-    for i, j in zip(*np.nonzero(np.abs(c - least) < 1e-12), strict=True):
-        x, y = a[i], b[j]
-        near[i, j] = float(np.dot(x, y)) / (float(np.sqrt(np.dot(x, x))) * float(np.sqrt(np.dot(y, y)))) >= least
-    return near
-
-
 def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(common.table(spark, sf_dir, "embeddings"))
 

@@ -394,3 +394,28 @@ def test_digests_follow_the_contract():
     n, a, b = bpe.digests(both, ids, both.decode(ids))
     assert n == len(ids) and a == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert b == hashlib.sha256(both.decode(ids).encode()).hexdigest()
+
+
+def test_pivots_replicate_enough():
+    """Every close pair meets in exactly one cell, whatever the pivots."""
+    r = np.random.default_rng(8)
+    u = metric_join.unit(r.normal(size=(12, 5))[r.integers(12, size=400)] + 0.2 * r.normal(size=(400, 5)))
+    for seed in range(6):
+        p = u[np.random.default_rng(seed).choice(400, 7, replace=False)]
+        d = metric_join.distances(u, p)
+        home = d.argmin(1)
+        far = d.min(1)
+        inner, outer = (np.array([f(far[home == k]) if (home == k).any() else e for k in range(7)]) for f, e in ((np.min, np.inf), (np.max, -np.inf)))
+        more = metric_join.replicated(d, home, metric_join.distances(p, p), inner, outer, 0.38)
+        i, j = np.nonzero(np.triu(metric_join.distances(u, u) <= 0.375, 1))
+        other = home[i] != home[j]
+        i, j = i[other], j[other]
+        assert len(i) and np.array_equal(more[i, home[j]].astype(int) + more[j, home[i]], np.ones(len(i), int))
+        assert more.sum() < 400 * 6 / 2
+
+
+def test_pivots_are_chosen():
+    r = np.random.default_rng(3)
+    tight = r.normal(size=(40, 16))[r.integers(40, size=4000)] + 0.02 * r.normal(size=(4000, 16))
+    assert len(metric_join.choose(tight, 40_000, 64, 0.38)) >= 16
+    assert len(metric_join.choose(r.normal(size=(10, 4)), 10, 64, 0.38)) == 1
