@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a session within one machine names no shared folder, as in tests.
 OWN_FOLDER = "file:///tmp/checkpoints/auditweave"
 
 
@@ -29,12 +30,38 @@ def findable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.  Without it, a session
+    within one machine gets one of its own; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = OWN_FOLDER
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(named)
+    named = named.rstrip("/")
+    _cleared_at_exit(spark, named)
+    return named
+
+
+_CLEARED: set[str] = set()
+
+
+def _cleared_at_exit(spark: SparkSession, folder: str) -> None:
+    """What this application leaves in the folder goes when it ends."""
+    own = spark.sparkContext.applicationId
+    if own in _CLEARED:
+        return
+    _CLEARED.add(own)
+    jvm, paths = spark._jvm, [f"{folder}/{own}"]
+    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if checkpoints.isDefined():
+        paths.append(checkpoints.get())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

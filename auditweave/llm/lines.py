@@ -91,14 +91,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH lines AS (
-  SELECT doc_id, pos, line,
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (
+  SELECT r, doc_id, pos, line,
     trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
-  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
-frequent AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-marked AS (SELECT doc_id, pos, line, f.key IS NOT NULL AS hit FROM lines LEFT JOIN frequent f USING (key))
+  FROM (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
+        FROM (SELECT r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM docs))),
+frequent AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT r, doc_id, pos, line, f.key IS NOT NULL AS hit FROM lines LEFT JOIN frequent f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

@@ -1,18 +1,20 @@
 """Document quality by co-training of a text view and a page view.
 
-The text view sees words and their shares (hashed words, repetition, character classes); the page
-view sees what is known of the page apart from its words (language, source, length, lines).  Two
-logistic models start from the labelled sample; in each round either gives the other its most
-confident judgements of the unlabelled pool, as many good and bad ones as their shares ask for, but
-only above ``CONFIDENT``.  A part of the labelled sample that isn't trained on calibrates both views
-and weighs them into one probability of label 1.  All documents are then scored.
-
-The sample is bounded: ``FIT_ROWS`` labelled documents outside the held-out fold (crc32 of the id as
-text modulo 4 equal to 2) and as many without label, each of smallest id hash.
-
-Rows: null text is empty; null lang, source or id are values of their own (a null id is neither
-labelled nor held out); of repeated labels of an id the largest counts; without labels of both kinds
-every score is the share of label 1; an empty table gives an empty result; other columns are ignored.
+The text view sees the text alone: words and their shares (hashed words, repetition, character
+classes).  The page view sees metadata alone: language, source and the stated number of characters.  Two
+logistic models start from the labelled sample.  In each round either judges every unlabelled document
+and gives the other its ``GIVEN`` most confident judgements, as many good and bad ones as their shares
+ask for, but only above ``CONFIDENT``, and no document twice.  Of the labelled sample three fifths are
+trained on, a fifth calibrates the views, and a fifth weighs them into one probability of label 1.  All
+documents are then scored.  Features are made once and kept in the shared folder.
+
+Only the labelled sample is bounded: ``FIT_ROWS`` labelled documents outside the held-out fold (crc32
+of the id as text modulo 4 equal to 2), those of smallest id hash.
+
+Rows: null text is empty; null lang, source, n_chars or id are values of their own (a null id is neither
+labelled nor held out nor given away); of repeated labels of an id the largest counts, of repeated rows
+of a labelled or given id the one with the least features; without labels of both kinds every score is
+the share of label 1; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ GIVEN = 200
 CONFIDENT = 0.9
 THRESHOLD = 0.5
 HELD_OUT = 2
-_HASHED, _STATS, _PAGE = 256, 12, 128
+_HASHED, _STATS = 256, 12
+_LANGS, _SOURCES, _SIZES = 16, 64, 24
+_PAGE = _LANGS + _SOURCES + _SIZES
 
 _SIGNS = re.compile(r"[^\w\s]")
 
@@ -80,18 +84,20 @@ class Views:
         out[_STATS:] = np.sqrt(hashed / n)
         return out
 
-    def page(self, text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-        out = np.zeros(_PAGE, np.float32)
-        out[zlib.crc32(repr(lang).encode()) % 16] = 1
-        out[16 + zlib.crc32(repr(source).encode()) % 64] = 1
-        size = len(text) if n_chars is None else max(0, n_chars)
-        out[80 + min(15, int(np.log2(size + 1)))] = 1
-        lines = text.count("\n") + 1
-        out[96 + min(7, int(np.log2(lines)))] = 1
-        out[104 + min(15, int(np.log2(len(text) / lines + 1)))] = 1
-        out[120] = text.count("\n\n") / lines
-        out[121] = float(not text)
-        return out
+    def page(self, lang: str | None, source: str | None, n_chars: int | None) -> bytes:
+        """Which of each sort of metadata, a byte each."""
+        size = 0 if n_chars is None else 1 + min(_SIZES - 2, max(0, n_chars).bit_length())
+        return bytes((zlib.crc32(repr(lang).encode()) % _LANGS, zlib.crc32(repr(source).encode()) % _SOURCES, size))
+
+
+def matrices(t: pa.Array, p: pa.Array) -> list[np.ndarray]:
+    """Both views of rows of packed features."""
+    n = len(t)
+    text = np.frombuffer(b"".join(t.to_pylist()), np.float16).reshape(n, _STATS + _HASHED).astype(np.float32)
+    which = np.frombuffer(b"".join(p.to_pylist()), np.uint8).reshape(n, 3) + np.array([0, _LANGS, _LANGS + _SOURCES])
+    page = np.zeros((n, _PAGE), np.float32)
+    np.put_along_axis(page, which, 1, 1)
+    return [text, page]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 200) -> np.ndarray:
@@ -126,97 +132,124 @@ class CoTrained:
         return probability(z[0]), probability(z[1]), probability(logit(self.union, np.stack(z, 1)))
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, given: int = GIVEN, confident: float = CONFIDENT) -> CoTrained:
+def co_train(x: list[np.ndarray], y: np.ndarray, judge, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
+    """``judge(views, wanted)`` gives, for each (giver, label, how many) of ``wanted``, the rows of the pool
+    that the giver is surest of, in both views."""
     order = np.random.default_rng(11).permutation(len(y))
-    cut = max(1, len(y) * 3 // 4)
-    train, check = order[:cut], order[cut:] if cut < len(y) else order
+    cuts = len(y) * 3 // 5, len(y) * 4 // 5
+    train, check, weigh = (order[a:b] if b > a else order for a, b in ((0, cuts[0]), (cuts[0], cuts[1]), (cuts[1], len(y))))
     own = [(v[train], y[train].astype(float)) for v in x]
-    free = [np.ones(len(pool[0]), bool) for _ in x]
     views = [logistic(*o) for o in own]
     share = float(np.clip(y.mean(), 0.05, 0.95))
+    good = int(given * share)
     for _ in range(rounds):
-        gifts = []
-        for k, w in enumerate(views):
-            p = probability(logit(w, pool[k])) if len(pool[k]) else np.zeros(0)
-            other = 1 - k
-            for label, sure, n in ((1.0, p, int(given * share)), (0.0, 1 - p, given - int(given * share))):
-                rows = np.flatnonzero(free[other] & (sure >= confident))
-                rows = rows[np.argsort(-sure[rows], kind="stable")[:n]]
-                free[other][rows] = False
-                gifts.append((other, rows, label))
-        if not any(len(rows) for _, rows, _ in gifts):
+        gifts = judge(views, [(k, label, n) for k in (0, 1) for label, n in ((1, good), (0, given - good))])
+        if not any(len(rows[0]) for _, _, rows in gifts):
             break
-        for other, rows, label in gifts:
-            a, b = own[other]
-            own[other] = (np.concatenate([a, pool[other][rows]]), np.concatenate([b, np.full(len(rows), label)]))
+        for giver, label, rows in gifts:
+            a, b = own[1 - giver]
+            own[1 - giver] = (np.concatenate([a, rows[1 - giver]]), np.concatenate([b, np.full(len(rows[0]), float(label))]))
         views = [logistic(*o) for o in own]
     scales = []
     for w, v in zip(views, x, strict=True):
         s = logistic(logit(w, v[check])[:, None], y[check].astype(float), 0.1)
         scales.append(s if s[0] > 0 else np.array([1.0, 0.0]))
-    z = np.stack([s[0] * logit(w, v[check]) + s[1] for w, s, v in zip(views, scales, x, strict=True)], 1)
-    return CoTrained(views, scales, logistic(z, y[check].astype(float), 0.1))
+    z = np.stack([s[0] * logit(w, v[weigh]) + s[1] for w, s, v in zip(views, scales, x, strict=True)], 1)
+    return CoTrained(views, scales, logistic(z, y[weigh].astype(float), 0.1))
 
 
-def _views(df: DataFrame) -> DataFrame:
-    """Both views of each row as packed floats, next to ``mark``."""
+def features(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """id, mark (its label; null: none) and both views as packed bytes, of every row; kept in the
+    shared folder."""
+    common.shared_folder(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views = Views()
         for batch in batches:
             t, p = [], []
-            for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                t.append(views.text(row[0]).tobytes())
-                p.append(views.page(*row).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(p, pa.binary())], names=["mark", "t", "p"])
-
-    return df.mapInArrow(run, "mark int, t binary, p binary")
-
+            for text, *page in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                t.append(np.clip(views.text(text), 0, 16).astype(np.float16).tobytes())
+                p.append(views.page(*page))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(p, pa.binary())], names=["id", "t", "p"])
 
-def _columns(docs: DataFrame) -> list:
     def named(c: str, kind: str):
         return (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
 
-    return [common.text_of().alias("text"), named("lang", "string"), named("source", "string"), named("n_chars", "long")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), common.text_of().alias("text"), named("lang", "string"), named("source", "string"), named("n_chars", "long"))
+    made = rows.mapInArrow(run, "id long, t binary, p binary")
+    if labels is None:
+        return made.withColumn("mark", F.lit(None).cast("int"))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("mark"))
+    return made.join(known, "id", "left").checkpoint()
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> CoTrained:
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("mark"))
-    sample = known.where(common.crc_remainder("id") != HELD_OUT).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rest = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct().join(known, "id", "left_anti")
-    pool = rest.orderBy(F.xxhash64("id"), "id").limit(fit_rows).withColumn("mark", F.lit(-1))
-    wanted = F.broadcast(sample.unionByName(pool))  # twice fit_rows ids at most
-    rows = docs.join(wanted, docs["doc_id"].cast("long") == F.col("id")).select("mark", *_columns(docs))
-    got = _views(rows).toPandas()
-    x = [np.stack([np.frombuffer(b, np.float32) for b in got[c]]) if len(got) else np.zeros((0, n), np.float32) for c, n in (("t", _STATS + _HASHED), ("p", _PAGE))]
-    mark = got["mark"].to_numpy(int)
-    y = (mark[mark >= 0] == 1).astype(int)
+def fit(made: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, given: int = GIVEN, confident: float = CONFIDENT) -> CoTrained:
+    """From ``features`` with labels."""
+    fold = F.col("mark").isNotNull() & (common.crc_remainder("id") != HELD_OUT)
+    sample = made.where(fold).groupBy("id", "mark").agg(F.min(F.struct("t", "p")).alias("f")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    got = sample.select("mark", "f.t", "f.p").toArrow()
+    x = matrices(got["t"], got["p"])
+    y = (got["mark"].to_numpy() == 1).astype(int)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
         flat = [np.zeros(v.shape[1] + 1) for v in x]
         return CoTrained(flat, [np.array([1.0, 0.0])] * 2, np.array([0.0, 0.0, np.log(share / (1 - share))]))
-    return co_train([v[mark >= 0] for v in x], y, [v[mark < 0] for v in x])
+    pool = made.where("mark IS NULL AND id IS NOT NULL")
+    taken: list[set] = [set(), set()]  # ids given by either view, GIVEN a round
+
+    def judge(views: list[np.ndarray], wanted: list[tuple[int, int, int]]):
+        sent = made.sparkSession.sparkContext.broadcast((views, [np.array(sorted(s), np.int64) for s in taken]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A task's surest rows of each kind: a few hundred."""
+            views, gone = sent.value
+            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in wanted]
+            for batch in batches:
+                ids, v = batch.column(0).to_numpy(), matrices(batch.column(1), batch.column(2))
+                p = [probability(logit(w, m)) for w, m in zip(views, v, strict=True)]
+                for k, (giver, label, n) in enumerate(wanted):
+                    sure = p[giver] if label else 1 - p[giver]
+                    rows = np.flatnonzero((sure >= confident) & ~np.isin(ids, gone[giver]))
+                    sure, own = np.r_[best[k][0], sure[rows]], np.r_[best[k][1], ids[rows]]
+                    order = np.lexsort((own, -sure))
+                    order = order[np.sort(np.unique(own[order], return_index=True)[1])[:n]]
+                    best[k] = sure[order], own[order]
+            kind = np.repeat(np.arange(len(wanted)), [len(b[0]) for b in best])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["kind", "sure", "id"])
+
+        offers = pool.select("id", "t", "p").mapInArrow(run, "kind int, sure double, id long").groupBy("kind", "id").agg(F.max("sure").alias("sure")).checkpoint()
+        picked = None
+        for k, (_, _, n) in enumerate(wanted):
+            own = offers.where(F.col("kind") == k).orderBy(F.desc("sure"), "id").limit(n)
+            picked = own if picked is None else picked.unionByName(own)
+        kinds = picked.select("kind", "id")  # at most two times GIVEN rows
+        rows = pool.join(F.broadcast(kinds), "id").groupBy("kind", "id").agg(F.min(F.struct("t", "p")).alias("f")).orderBy("kind", "id").select("kind", "id", "f.t", "f.p").toArrow()
+        out, of = [], rows["kind"].to_numpy()
+        for k, (giver, label, _) in enumerate(wanted):
+            own = rows.take(np.flatnonzero(of == k))
+            taken[giver].update(own["id"].to_pylist())
+            out.append((giver, label, matrices(own["t"], own["p"])))
+        return out
 
+    return co_train(x, y, judge, rounds, given)
 
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """doc_id, text_score, page_score and score (calibrated, of both) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
+
+def score(made: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, text_score, page_score and score (calibrated, of both) of every row of ``features``."""
+    sent = made.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views = Views()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = list(zip(*[c.to_pylist() for c in part.columns[1:]], strict=True))
-                x = [np.stack([views.text(r[0]) for r in rows]), np.stack([views.page(*r) for r in rows])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(s, pa.float64()) for s in sent.value.scores(x)]], names=["doc_id", "text_score", "page_score", "score"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                scores = sent.value.scores(matrices(part.column(1), part.column(2)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(s, pa.float64()) for s in scores]], names=["doc_id", "text_score", "page_score", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs))
-    return rows.mapInArrow(run, "doc_id long, text_score double, page_score double, score double")
+    return made.select("id", "t", "p").mapInArrow(run, "doc_id long, text_score double, page_score double, score double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, common.table(spark, sf_dir, "labels")))
+    made = features(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    scored = score(made, fit(made))
     held = F.coalesce(common.crc_remainder() == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "text_score", "page_score", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

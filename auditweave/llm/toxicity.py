@@ -6,7 +6,8 @@ letters at a price, separators may be silent or end a word, repeats may be silen
 decoding under the trigram model picks the letters and words, however long the chunk is.  Letters in
 a row with spaces between them are one chunk.  The restored words, next to the plain ones, are the features: whole words
 and their beginnings.  A logistic model over the beginnings and words that tell toxic documents from
-others gives a probability.
+others gives a probability: at most ``FEATURES`` of them, each in at least ``LEAST`` labelled toxic
+documents, those of the greatest log odds times the root of their count.
 
 Labels are learned from a sample of at most ``FIT_ROWS`` labelled documents, those of smallest id
 hash, outside the held-out fold (crc32 of the id as text modulo 4 equal to 2).  Scores come from the
@@ -14,7 +15,7 @@ text alone.
 
 Rows: null text is empty and scores like a text without words; null doc_id is not held out; labels
 that are null, or of an id without document, are ignored, and of repeated labels the largest counts;
-repeated rows score alike; without labels of both kinds every score is the share of toxic labels;
+repeated rows score alike, and of those of a labelled id the least text is learned from; without labels of both kinds every score is the share of toxic labels;
 an empty table gives an empty result; other columns are ignored (by ``keep_clean``: kept).
 """
 
@@ -55,8 +56,8 @@ SIGNS = {
 }
 SEPARATORS = frozenset(".-_*~'`·•^/\\,:; ")
 _PRICE_SIGN, _PRICE_WILD, _PRICE_SILENT, _PRICE_REPEAT, _PRICE_DOUBLE = 0.7, 2.0, 0.4, 0.2, 2.5
-#: Longer chunks are decoded without a memo.
-CHUNK = 40
+#: Chunks up to this length are remembered; longer ones are decoded each time.
+REMEMBERED = 40
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SPACED = re.compile(r"(?: [^\W_]| [@$!|]){3,}(?= )")
@@ -118,7 +119,7 @@ class Restorer:
 
     def restore(self, chunk: str) -> str:
         """The words of a chunk, with spaces between them."""
-        return self._remembered(chunk) if len(chunk) <= CHUNK else self._restore(chunk)
+        return self._remembered(chunk) if len(chunk) <= REMEMBERED else self._restore(chunk)
 
     def suspicious(self, chunk: str) -> bool:
         core = chunk.strip(_EDGES) or chunk
@@ -167,20 +168,20 @@ class Words(dict):
     def words(self, chunk: str) -> list[str]:
         words = _WORDS(chunk)
         if self.restorer.suspicious(chunk):
-            words += [w for w in self.restorer.restore(chunk).split() if len(w) > 2 and w not in words]
+            words += [w for w in self.restorer.restore(chunk).split() if w not in words]
         return words
 
     def spaced(self, run: str) -> list[str]:
         """Words of letters with spaces between them: joined, and as the lattice parts them."""
         words = self.words(run.replace(" ", ""))
         if any(c.isalpha() for c in run):
-            words += [w for w in self.restorer.restore(run).split() if len(w) > 2 and w not in words]
+            words += [w for w in self.restorer.restore(run).split() if w not in words]
         return words
 
     def __missing__(self, chunk: str):
         words = self.spaced(chunk) if " " in chunk else self.words(chunk)
         value = self.pick([f for w in words for f in features(w)])
-        if len(chunk) <= CHUNK:
+        if len(chunk) <= REMEMBERED:
             if len(self) >= 300_000:
                 self.clear()
             self[chunk] = value
@@ -263,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(fit_rows)  # the stated bound of the sample: small enough to send to every task
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")  # one row an id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(prices, tuple), {}
@@ -295,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
             own = [sorted(words.of(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])
 
-    got: pd.DataFrame = rows.mapInArrow(select, "toxic int, own array<int>").toPandas()  # fit_rows rows at most a document id
+    got: pd.DataFrame = rows.mapInArrow(select, "toxic int, own array<int>").toPandas()  # fit_rows rows at most
     y = (got["toxic"] == 1).to_numpy(float)
     weights, bias = fit_logistic([list(r) for r in got["own"]], y, len(names))
     return ToxicityModel(prices, names, weights, bias)

@@ -381,11 +381,11 @@ def test_quality(spark):
     rows += [(900, None, None, None, None), (901, "", "en", "a", 0), (None, "x", "en", "a", 1)]
     df = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(i, v, 0) for i, v in enumerate(y) if i % 2], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.score for r in quality.score(df, quality.fit(df, labels)).collect()}
+    got = {r.doc_id: r.score for r in quality.score(quality.features(df), quality.fit(quality.features(df, labels))).collect()}
     held = [i for i in range(500) if i % 2 and zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(got[i] >= 0.5) == bool(y[i]) for i in held]) > 0.95
-    assert quality.score(df, quality.fit(df, labels.limit(0))).count() == len(rows)
-    assert quality.score(df.limit(0), quality.fit(df.limit(0), labels)).count() == 0
+    assert quality.score(quality.features(df), quality.fit(quality.features(df, labels.limit(0)))).count() == len(rows)
+    assert quality.score(quality.features(df.limit(0)), quality.fit(quality.features(df.limit(0), labels))).count() == 0
 
 
 def test_digests_follow_the_contract():
