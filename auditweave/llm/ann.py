@@ -10,8 +10,8 @@ cell several areas.  A query is sent to the areas that hold a cell it looks up;
 dealt in blocks of ``ASKING``.  There, entries of cells that are looked up are scored from the query's
 distance tables; those that may be among the ``k`` + 1 nearest, by a bound of ``SURE`` standard deviations
 of the codes' error, are scored again with the bytes, and those that still may be, by a strict bound, are
-told.  No list has a fixed length, so a dense group just tells more.  What the best area can't
-rule out is scored exactly, in double precision, on the original vectors.
+told.  No list has a fixed length, so a dense group just tells more.  What the ``k`` + 1 best of all areas
+don't rule out is scored exactly, in double precision, on the original vectors.
 
 How many cells a query looks up, and in which of three orders, follows from the recall that the sample
 shows; cells that hold too few entries are made up for by more cells.
@@ -45,6 +45,8 @@ SUB = 2
 CODES = 256
 #: Entries of an area, and queries of a block, about.
 AREA, ASKING = 65_536, 65_536
+#: Entries that make it worth sending a query, however many tasks there are.
+LEAST_AREA = 512
 #: Recall that the cells looked up are chosen for on the sample.
 RECALL = 0.97
 SURE = 3.0
@@ -131,7 +133,7 @@ class Index:
     def lay_out(self, sizes: np.ndarray, tasks: int) -> None:
         """Areas of neighbouring cells: first area and number of areas of each cell."""
         self.sizes = sizes.astype(float)
-        full = max(self.k + 1, min(AREA, -(-int(sizes.sum()) // tasks)))
+        full = min(AREA, max(LEAST_AREA, -(-int(sizes.sum()) // tasks)))
         around = k_means(self.centroids, int(max(1, len(self.centroids) ** 0.5)), 6)
         self.first, self.parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
         area, held = 0, 0
@@ -177,8 +179,8 @@ class Area:
         return self.ready
 
     def near(self, query_ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-        """What may be among the k + 1 nearest of each query, with the most its product may be, and the
-        least that the last of the k + 1 has."""
+        """What may be among the k + 1 nearest of each query here, with the most and the least that its
+        product may be."""
         index, want = self.index, self.index.k + 1
         cells, keys, codes, fine, scale, rough, left = self._arrays()
         looked = index.cells(v)
@@ -208,7 +210,7 @@ class Area:
             least = float(np.partition(fined - error, -want)[-want]) if len(e) >= want else -np.inf
             keep = fined + error >= least
             e = e[keep]
-            out.append((np.full(len(e), query_ids[b]), keys[e], (fined + error)[keep].astype(float), np.full(len(e), least)))
+            out.append((np.full(len(e), query_ids[b]), keys[e], (fined + error)[keep].astype(float), (fined - error)[keep].astype(float)))
         if not out:
             return _found([], np.zeros((0, 2), np.int64), [], [])
         return _found(*(np.concatenate(c) for c in zip(*out, strict=True)))
@@ -319,8 +321,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     yield area.near(part["h1"].to_numpy(np.int64), np.stack([np.frombuffer(r, np.float32) for r in part["row"]]))
 
     found = met.mapInPandas(look, "query_id long, h1 long, h2 long, most double, least double")
-    # an entry counts if the most it may have reaches what k + 1 entries of one area have at least
-    listed = found.withColumn("floor", F.max("least").over(W.partitionBy("query_id"))).where("most >= floor").select("query_id", "h1", "h2")
+    # an entry counts if the most it may have reaches what k + 1 entries have at least
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("least"), "h1", "h2"))
+    floor = F.max(F.when(F.col("nth") == k + 1, F.col("least"))).over(W.partitionBy("query_id"))
+    listed = found.withColumn("nth", nth).withColumn("floor", floor).where("floor IS NULL OR most >= floor").select("query_id", "h1", "h2")
     exact = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
     scored = (
         listed.join(entries, ["h1", "h2"])
