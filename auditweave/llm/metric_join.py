@@ -43,7 +43,7 @@ CELL, PIVOTS, OF_LABEL = 512, 4096, 512
 #: Rows of a label that its pivots are chosen from, at most.
 SAMPLE = 4096
 #: Operations that sending a vector is worth, when pivots are chosen.
-_SENT = 20_000
+_SENT = 60_000
 #: Slack of the bounds, above rounding; it only adds candidates.
 _SLACK = 1e-6
 _BAND = 1e-5
@@ -213,6 +213,8 @@ def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") ->
         pivots.setdefault((p["l1"], p["l2"], p["dim"]), []).append(np.frombuffer(p["pivot"]))
     sent = spark.sparkContext.broadcast({k: np.stack(v) for k, v in pivots.items() if len(v) > 1})  # PIVOTS vectors at most
 
+    number = np.dtype(np.float32 if dict(nodes.dtypes)["embedding"] == "array<float>" else np.float64)
+
     def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             cell, far = np.zeros(len(f), np.int32), np.zeros(len(f))
@@ -223,7 +225,7 @@ def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") ->
                     d = distances(unit(np.stack([v[k] for k in rows])), p)
                     cell[rows] = d.argmin(1)
                     far[rows] = d.min(1)
-            yield f[["h1", "h2", "weight", *label]].assign(cell=cell, far=far, vector=[x.tobytes() for x in v])
+            yield f[["h1", "h2", "weight", *label]].assign(cell=cell, far=far, vector=[x.astype(number).tobytes() for x in v])
 
     kinds = "h1 long, h2 long, weight long, l1 long, l2 long, dim int, cell int, far double, vector binary"
     placed = nodes.select("h1", "h2", "weight", *label, "embedding").mapInPandas(home, kinds).checkpoint()
@@ -243,7 +245,7 @@ def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") ->
                 own = f.iloc[rows]
                 none = (np.inf, -np.inf)  # nothing is at home there
                 inner, outer = np.array([reach.value[at].get(c, none) for c in range(len(p))]).T
-                u = unit(np.stack([np.frombuffer(x) for x in own["vector"]]))
+                u = unit(np.stack([np.frombuffer(x, number) for x in own["vector"]]))
                 i, c = np.nonzero(replicated(distances(u, p), own["cell"].to_numpy(), distances(p, p), inner, outer, r))
                 yield own.iloc[i].assign(at=c)
 
@@ -269,7 +271,7 @@ def range_join(vectors: DataFrame, least: float = LEAST, key: str = "vec_id") ->
                         yield part.told()
                     at, part = key, Part(least)
                 for kind, some in own.groupby("kind", sort=True):
-                    args = some[["h1", "h2"]].to_numpy(np.int64), some["weight"].to_numpy(np.int64), np.stack([np.frombuffer(x) for x in some["vector"]])
+                    args = some[["h1", "h2"]].to_numpy(np.int64), some["weight"].to_numpy(np.int64), np.stack([np.frombuffer(x, number) for x in some["vector"]]).astype(np.float64)
                     if kind == 0:
                         part.hold(*args)
                     else:
