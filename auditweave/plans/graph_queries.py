@@ -72,8 +72,8 @@ QUERIES = {
         "SELECT id FROM semantic_node WHERE id <= (SELECT max(semantic_node_id) FROM pending_semantic)",
     ),
     "j01_findings_for_semantics": (
-        lambda r: knowledge.findings_for_semantics(r["semantic_node"].where("id % 3 = 0").select("id"), r["sfl"], r["audit_finding"], r["semantic_merge"]),
-        f"""WITH want AS (SELECT id FROM semantic_node WHERE id % 3 = 0),
+        lambda r: knowledge.findings_for_semantics(r["semantic_node"].select("id"), r["sfl"], r["audit_finding"], r["semantic_merge"]),
+        f"""WITH want AS (SELECT id FROM semantic_node),
         kid AS (SELECT from_id, max(to_id) AS to_id FROM semantic_merge WHERE to_id IN (SELECT id FROM want) GROUP BY from_id),
         expand AS (SELECT id AS canonical_id, id AS raw FROM want UNION ALL SELECT to_id, from_id FROM kid WHERE from_id NOT IN (SELECT id FROM want)),
         ranked AS (SELECT canonical_id, audit_finding_id, strength, evidence, row_number() OVER (PARTITION BY canonical_id, audit_finding_id ORDER BY {_RANK} DESC, semantic_node_id, ord) AS rn
@@ -142,10 +142,10 @@ QUERIES = {
         "SELECT semantic_node_id, string_agg(project_id::VARCHAR, '|' ORDER BY project_id) AS projects FROM project_semantic GROUP BY 1",
     ),
     "j15_link_fan_out": (
-        lambda r: knowledge.link_fan_out(r["semantic_matched"], r["project_extract"].where("id % 4 = 0"), r["semantic_node"], r["sfl"], r["audit_finding"]),
+        lambda r: knowledge.link_fan_out(r["semantic_matched"], r["project_extract"], r["semantic_node"], r["sfl"], r["audit_finding"]),
         """SELECT extract_id, historical_id, m.strength AS "match", e.name AS extract_name, n.name AS historical_name, l.audit_finding_id AS finding_id, l.strength AS link, title
         FROM semantic_matched m JOIN project_extract e ON e.id = extract_id JOIN semantic_node n ON n.id = historical_id JOIN sfl l ON l.semantic_node_id = historical_id
-        JOIN audit_finding f ON f.id = l.audit_finding_id WHERE extract_id % 4 = 0""",
+        JOIN audit_finding f ON f.id = l.audit_finding_id""",
     ),
     "w02_keep_strongest": (
         lambda r: keep.strongest(r["match_raw"], ["extract_id", "historical_id"]),
@@ -199,8 +199,8 @@ QUERIES = {
         SELECT c.id, (SELECT count(*) FROM up JOIN harness_run h ON h.code_id = up.a JOIN reflection f ON f.run_id = h.id WHERE up.id = c.id AND f.result = 'IncompleteStep') AS prior FROM code_gen c""",
     ),
     "o16_leaves": (
-        lambda r: graph.leaves(r["function_t"].where("id % 50 = 0"), r["function_call"].where("site = 1"), r["function_t"].where("owner_id = 5")),
-        """WITH c AS (SELECT * FROM function_call WHERE site = 1), e AS (SELECT id FROM function_t WHERE id % 50 = 0 UNION SELECT caller_id FROM c UNION SELECT callee_id FROM c)
+        lambda r: graph.leaves(r["function_t"], r["function_call"], r["function_t"].where("owner_id = 5")),
+        """WITH c AS (SELECT * FROM function_call), e AS (SELECT id FROM function_t UNION SELECT caller_id FROM c UNION SELECT callee_id FROM c)
         SELECT id FROM e WHERE id NOT IN (SELECT caller_id FROM c) AND id NOT IN (SELECT id FROM function_t WHERE owner_id = 5)""",
     ),
     "o08_category_union": (

@@ -22,7 +22,7 @@ def _owned(r):
 
 
 def _steps(r):
-    return r["function_t"].where("id % 2 = 0").select("id", F.concat(F.when(F.col("id") % 4 == 0, "C").otherwise("I"), "owner_id").alias("contract"), F.when(F.col("id") % 10 == 0, "none").otherwise(F.col("name")).alias("function"))
+    return r["function_t"].select("id", F.concat(F.when(F.col("id") % 4 == 0, "C").otherwise("I"), "owner_id").alias("contract"), F.when(F.col("id") % 10 == 0, "none").otherwise(F.col("name")).alias("function"))
 
 
 QUERIES = {
@@ -59,8 +59,8 @@ QUERIES = {
         "SELECT 'Solidity' AS language, count(*) AS files FROM path_t",
     ),
     "s26_findings_json": (
-        lambda r: formats.findings_json(r["audit_finding"].where("id % 20 = 0").select("id", F.to_json(F.array(F.struct(F.col("title"), F.when(F.col("severity") != "Low", F.col("severity")).alias("severity")))).alias("text"))).select("id", "title", "severity"),
-        "SELECT id, title, CASE WHEN severity = 'Low' THEN 'Medium' ELSE severity END AS severity FROM audit_finding WHERE id % 20 = 0",
+        lambda r: formats.findings_json(r["audit_finding"].select("id", F.to_json(F.array(F.struct(F.col("title"), F.when(F.col("severity") != "Low", F.col("severity")).alias("severity")))).alias("text"))).select("id", "title", "severity"),
+        "SELECT id, title, CASE WHEN severity = 'Low' THEN 'Medium' ELSE severity END AS severity FROM audit_finding",
     ),
     "s31_nested_semantics": (
         lambda r: r["semantic_function"].groupBy("semantic_node_id").agg(F.array_sort(F.collect_list("function_name")).alias("fs")).select("semantic_node_id", F.to_json("fs").alias("functions")),
@@ -79,14 +79,14 @@ QUERIES = {
     ),
     "j30_step_resolution": (
         lambda r: code.resolve_steps(_steps(r), _owned(r)).fillna(-1, ["function_id", "tier"]),
-        f"""WITH {_OWNED}, st AS (SELECT id, concat(CASE WHEN id % 4 = 0 THEN 'C' ELSE 'I' END, owner_id) AS contract, CASE WHEN id % 10 = 0 THEN 'none' ELSE name END AS fn FROM function_t WHERE id % 2 = 0),
+        f"""WITH {_OWNED}, st AS (SELECT id, concat(CASE WHEN id % 4 = 0 THEN 'C' ELSE 'I' END, owner_id) AS contract, CASE WHEN id % 10 = 0 THEN 'none' ELSE name END AS fn FROM function_t),
         c AS (SELECT st.id, CASE WHEN o.kind = 'contract' THEN 0 ELSE 1 END AS tier, o.id AS fid FROM st JOIN owned o ON o.owner = st.contract AND o.name = st.fn UNION ALL SELECT st.id, 2, o.id FROM st JOIN owned o ON o.name = st.fn),
         b AS (SELECT id, tier, fid, row_number() OVER (PARTITION BY id ORDER BY tier, fid) AS rn FROM c)
         SELECT st.id, contract, fn AS "function", coalesce(fid, -1) AS function_id, coalesce(tier, -1) AS tier FROM st LEFT JOIN b ON b.id = st.id AND rn = 1""",
     ),
     "j31_sequence_overlap": (
-        lambda r: r["orders"].where("o_orderkey % 3 = 0").select("o_orderkey", *[F.array(F.struct(F.concat(F.lit("c"), (F.col("o_orderkey") % a).cast("string")).alias("contract"), F.concat(F.lit("f"), (F.col("o_custkey") % b).cast("string")).alias("function"))).alias(n) for n, a, b in (("calls", 2, 3), ("spec", 4, 2))]).select("o_orderkey", code.sequence_overlap(F.col("calls"), F.col("spec")).alias("overlap")),
-        "SELECT o_orderkey, CASE WHEN o_custkey % 3 <> o_custkey % 2 THEN 'disjoint' WHEN o_orderkey % 2 = o_orderkey % 4 THEN 'pair' ELSE 'function' END AS overlap FROM orders WHERE o_orderkey % 3 = 0",
+        lambda r: r["orders"].select("o_orderkey", *[F.array(F.struct(F.concat(F.lit("c"), (F.col("o_orderkey") % a).cast("string")).alias("contract"), F.concat(F.lit("f"), (F.col("o_custkey") % b).cast("string")).alias("function"))).alias(n) for n, a, b in (("calls", 2, 3), ("spec", 4, 2))]).select("o_orderkey", code.sequence_overlap(F.col("calls"), F.col("spec")).alias("overlap")),
+        "SELECT o_orderkey, CASE WHEN o_custkey % 3 <> o_custkey % 2 THEN 'disjoint' WHEN o_orderkey % 2 = o_orderkey % 4 THEN 'pair' ELSE 'function' END AS overlap FROM orders",
     ),
     "j32_grounding": (
         lambda r: code.ground(r["function_t"].select(F.col("id").alias("pos"), F.when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("c"), (F.col("owner_id") * (F.col("id") % 2 + 1)).cast("string"))).alias("contract"), F.upper("name").alias("function")), r["contract"].where("id < 97"), r["function_t"]).select("pos", F.coalesce("contract_id", F.lit(-1)).alias("contract_id"), F.coalesce("reason", F.lit("")).alias("reason")),
@@ -102,14 +102,14 @@ QUERIES = {
     "j36_function_owners": (lambda r: _owned(r).select("id", "kind", "owner"), f"WITH {_OWNED} SELECT id, kind, owner FROM owned"),
     "j39_function_labels": (lambda r: code.label(_owned(r)), f"WITH {_OWNED} SELECT id, concat(kind, ' ', owner, '::', name, ' @ ', path) AS label FROM owned"),
     "j40_inherit_by_name": (
-        lambda r: code.inherit_by_name(r["contract"].select("id", F.concat(F.lit("N"), F.col("id") % 300).alias("name")), r["contract_inherit"].where("contract_id % 7 = 0").select("contract_id", F.concat(F.lit("N"), F.col("inherited_id")).alias("base"))).fillna(-1, ["inherited_id"]),
-        """WITH b AS (SELECT contract_id, concat('N', inherited_id) AS base FROM contract_inherit WHERE contract_id % 7 = 0), n AS (SELECT id, concat('N', id % 300) AS name FROM contract),
+        lambda r: code.inherit_by_name(r["contract"].select("id", F.concat(F.lit("N"), F.col("id") % 300).alias("name")), r["contract_inherit"].select("contract_id", F.concat(F.lit("N"), F.col("inherited_id")).alias("base"))).fillna(-1, ["inherited_id"]),
+        """WITH b AS (SELECT contract_id, concat('N', inherited_id) AS base FROM contract_inherit), n AS (SELECT id, concat('N', id % 300) AS name FROM contract),
         h AS (SELECT contract_id, base, id AS inherited_id FROM b JOIN n ON name = base WHERE id <> contract_id)
         SELECT * FROM h UNION ALL SELECT contract_id, base, -1 FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.contract_id = b.contract_id AND h.base = b.base)""",
     ),
     "j42_scope_intersect": (
-        lambda r: code.in_scope(r["path_t"].where("id % 3 = 0").select("path"), r["path_t"].where("id % 2 = 0")),
-        "SELECT path, id % 2 = 0 AS available FROM path_t WHERE id % 3 = 0",
+        lambda r: code.in_scope(r["path_t"].select("path"), r["path_t"].where("id % 2 = 0")),
+        "SELECT path, id % 2 = 0 AS available FROM path_t",
     ),
     "w07_take_turns": (
         lambda r: state.take_turns(r["semantic_matched"].select("extract_id", "historical_id"), "extract_id", "historical_id"),
@@ -226,8 +226,8 @@ QUERIES = {
         SELECT id, arg_max(severity, {_SEV}) AS severity FROM b GROUP BY id""",
     ),
     "v08_coverage_gate": (
-        lambda r: project.fidelity(project.covered_functions(r["function_t"], r["line_coverage"].where("run_id % 400 = 3")), "path").select("path", "passed"),
-        """WITH h AS (SELECT f.path, EXISTS (SELECT 1 FROM line_coverage l WHERE l.run_id % 400 = 3 AND l.path = f.path AND l.line_number BETWEEN f.start_line AND f.end_line) AS hit FROM function_t f)
+        lambda r: project.fidelity(project.covered_functions(r["function_t"], r["line_coverage"]), "path").select("path", "passed"),
+        """WITH h AS (SELECT f.path, EXISTS (SELECT 1 FROM line_coverage l WHERE l.path = f.path AND l.line_number BETWEEN f.start_line AND f.end_line) AS hit FROM function_t f)
         SELECT path, avg(hit::INT) >= 0.5 AS passed FROM h GROUP BY 1""",
     ),
     "v10_two_strikes": (

@@ -140,8 +140,8 @@ QUERIES = {
         "SELECT (SELECT count(*) FROM contract) AS containers, (SELECT count(*) FROM function_t) AS functions, (SELECT count(*) FROM function_call) AS calls",
     ),
     "a18_coverage_fidelity": (
-        lambda r: project.fidelity(project.covered_functions(r["function_t"], r["line_coverage"].where("run_id % 400 = 3")), "path"),
-        """WITH h AS (SELECT f.path, EXISTS (SELECT 1 FROM line_coverage l WHERE l.run_id % 400 = 3 AND l.path = f.path AND l.line_number BETWEEN f.start_line AND f.end_line) AS hit FROM function_t f)
+        lambda r: project.fidelity(project.covered_functions(r["function_t"], r["line_coverage"]), "path"),
+        """WITH h AS (SELECT f.path, EXISTS (SELECT 1 FROM line_coverage l WHERE l.path = f.path AND l.line_number BETWEEN f.start_line AND f.end_line) AS hit FROM function_t f)
         SELECT path, count(*) AS expected, round(avg(hit::INT), 6) AS fidelity, avg(hit::INT) >= 0.5 AS passed FROM h GROUP BY 1""",
     ),
     "a20_revert_rate": (

@@ -64,8 +64,8 @@ QUERIES = {
         f"SELECT c.id, (SELECT count(*) FROM sfl WHERE semantic_node_id = c.id) AS findings FROM ({_CANON}) c WHERE c.id IN (SELECT historical_id FROM semantic_matched)",
     ),
     "j33_ingested_findings": (
-        lambda r: r["audit_finding"].where("id % 30 = 0").select("title", "severity", (F.col("id") % 90 == 0).alias("grounded"), F.col("id").alias("pos")).where("grounded").withColumn("category", F.lit("Services")).select("pos", "title", "category"),
-        "SELECT id AS pos, title, 'Services' AS category FROM audit_finding WHERE id % 90 = 0",
+        lambda r: r["audit_finding"].select("title", "severity", (F.col("id") % 3 == 0).alias("grounded"), F.col("id").alias("pos")).where("grounded").withColumn("category", F.lit("Services")).select("pos", "title", "category"),
+        "SELECT id AS pos, title, 'Services' AS category FROM audit_finding WHERE id % 3 = 0",
     ),
     "j34_reproduced": (
         lambda r: r["specification"].select("id", "extract_id").join(project.hydrated_findings(r["reflection"], r["harness_run"], r["code_gen"], r["specification"]).groupBy(F.col("spec_id").alias("id")).agg(_ordered("reflection_id", "reflection_id").alias("ids")), "id", "left").select("id", F.col("ids").isNotNull().alias("reproduced"), F.coalesce("ids", F.lit("")).alias("ids")),
@@ -147,12 +147,12 @@ QUERIES = {
         "SELECT 0::BIGINT AS too_long",
     ),
     "x28_whole_words": (
-        lambda r: r["documents"].select("doc_id", t.whole_word(F.regexp_replace("text", r"[^\x00-\x7f]", "x"), "the").alias("hit")),
-        r"SELECT doc_id, regexp_matches(regexp_replace(text, '[^\x00-\x7f]', 'x', 'g'), '\bthe\b') AS hit FROM documents",
+        lambda r: r["documents"].select("doc_id", t.whole_word(F.coalesce("text", F.lit("")), "the").alias("hit")),
+        r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') AS hit FROM documents",
     ),
     "x33_missed_labels": (
-        lambda r: project.covered_functions(r["function_t"], r["line_coverage"].where("run_id % 400 = 3")).groupBy("path").agg(F.concat_ws("|", F.array_sort(F.collect_list(F.when(~F.col("hit"), F.concat(F.col("path"), F.lit("::"), F.col("id").cast("string")))))).alias("missed")),
-        """WITH h AS (SELECT f.path, f.id, EXISTS (SELECT 1 FROM line_coverage l WHERE l.run_id % 400 = 3 AND l.path = f.path AND l.line_number BETWEEN f.start_line AND f.end_line) AS hit FROM function_t f)
+        lambda r: project.covered_functions(r["function_t"], r["line_coverage"]).groupBy("path").agg(F.concat_ws("|", F.array_sort(F.collect_list(F.when(~F.col("hit"), F.concat(F.col("path"), F.lit("::"), F.col("id").cast("string")))))).alias("missed")),
+        """WITH h AS (SELECT f.path, f.id, EXISTS (SELECT 1 FROM line_coverage l WHERE l.path = f.path AND l.line_number BETWEEN f.start_line AND f.end_line) AS hit FROM function_t f)
         SELECT path, coalesce(string_agg(concat(path, '::', id), '|' ORDER BY concat(path, '::', id)) FILTER (NOT hit), '') AS missed FROM h GROUP BY 1""",
     ),
     "x34_setup_failures": (

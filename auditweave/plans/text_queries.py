@@ -46,8 +46,9 @@ QUERIES = {
         "SELECT semantic_node_id, audit_finding_id, CASE strength WHEN 'Medium' THEN 'Medium' WHEN 'Low' THEN 'Low' END AS short, strength AS whole FROM sfl",
     ),
     "x14_quote_form": (
-        lambda r: r["documents"].select("doc_id", F.md5(t.quote_form(F.regexp_replace("text", r"[^\x00-\x7f]", ""))).alias("form")),
-        r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '[^\x00-\x7f]', '', 'g'), '[\t\n\x0b\x0c\r ]+', ' ', 'g'))) AS form FROM documents",
+        lambda r: r["documents"].select("doc_id", F.md5(t.quote_form(F.concat(F.lit("“‘É’”\u00a0"), F.coalesce("text", F.lit(""))))).alias("form")),
+        r"""SELECT doc_id, md5(lower(regexp_replace(translate(concat('“‘É’”', chr(160), coalesce(text, '')), '‘’‚‛“”„‟', concat(repeat(chr(39), 4), repeat('"', 4))),
+          '[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS form FROM documents""",
     ),
     "x15_evidence_check": (
         lambda r: r["sfl"].join(r["audit_finding"].select(F.col("id").alias("audit_finding_id"), "description"), "audit_finding_id").select(
@@ -56,8 +57,9 @@ QUERIES = {
         "SELECT semantic_node_id, audit_finding_id, CASE strength WHEN 'High' THEN false WHEN 'Medium' THEN strlen(trim(evidence)) >= 12 ELSE strlen(trim(evidence)) >= 14 END AS ok FROM sfl",
     ),
     "x16_field_guard": (
-        lambda r: r["documents"].select("doc_id", F.substring("text", 1, 400).alias("a"), F.substring("text", 1, 230).alias("b")).select("doc_id", t.field_update(F.translate("a", "\n\t\r", "xxx"), F.translate("b", "\n\t\r", "xxx")).alias("why")),
-        """WITH d AS (SELECT doc_id, length(trim(translate(substr(text, 1, 400), chr(10) || chr(9) || chr(13), 'xxx'))) AS o, length(trim(translate(substr(text, 1, 230), chr(10) || chr(9) || chr(13), 'xxx'))) AS n FROM documents)
+        lambda r: r["documents"].select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\t\r", "xxx").alias("a")).select("doc_id", t.field_update(F.col("a"), F.when(F.col("doc_id") % 2 == 0, F.translate("a", "aeinrst ", "")).otherwise(F.col("a"))).alias("why")),
+        """WITH d AS (SELECT doc_id, length(trim(a)) AS o, length(trim(CASE WHEN doc_id % 2 = 0 THEN translate(a, 'aeinrst ', '') ELSE a END)) AS n
+          FROM (SELECT doc_id, translate(coalesce(text, ''), chr(10) || chr(9) || chr(13), 'xxx') AS a FROM documents) x)
         SELECT doc_id, CASE WHEN n = 0 THEN 'blank' WHEN n > 2000 THEN 'too long' WHEN o >= 160 AND n < floor(o * 0.6) THEN 'shrinks' END AS why FROM d""",
     ),
     "x18_sql_literals": (
@@ -86,11 +88,11 @@ QUERIES = {
     ),
     "s24_lcov": (
         lambda r: formats.lcov_lines(
-            r["line_coverage"].where("run_id % 10 = 1").select("run_id", "path", "line_number", "hit_count").distinct().groupBy(F.col("run_id").alias("id"), "path").agg(
+            r["line_coverage"].select("run_id", "path", "line_number", "hit_count").distinct().groupBy(F.col("run_id").alias("id"), "path").agg(
                 F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("DA:"), "line_number", F.lit(","), (F.col("hit_count") - 1).cast("string")))), "\n").alias("lines")
             ).groupBy("id").agg(F.concat(F.lit("DA:1,9\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("SF:"), "path", F.lit("\n"), "lines", F.lit("\nend_of_record\nDA:2,9")))), "\n")).alias("text"))
         ),
-        "SELECT DISTINCT run_id AS id, path, line_number, hit_count - 1 AS hit_count FROM line_coverage WHERE run_id % 10 = 1 AND hit_count > 1",
+        "SELECT DISTINCT run_id AS id, path, line_number, hit_count - 1 AS hit_count FROM line_coverage WHERE hit_count > 1",
     ),
     "s25_run_summary": (
         lambda r: formats.run_summary(r["harness_run"].select("id", F.when(F.col("id") % 5 == 0, "not json").otherwise(F.concat(
