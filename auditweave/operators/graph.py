@@ -6,16 +6,23 @@ bound by the limits of a recursive statement; two numbers a level reach the driv
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OWN_FOLDER = "file:///tmp/checkpoints/auditweave"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """Written to the folder that driver and executors share; one of its own only within one machine."""
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", OWN_FOLDER) or OWN_FOLDER)
+        named = session.conf.get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or OWN_FOLDER)
     return df.checkpoint()
 
 
@@ -33,11 +40,11 @@ def resolve(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None)
     ids = nodes.select(F.col("id").alias("node"))
     linked = ids.join(one.select(F.col("from_id").alias("node")), "node", "left_semi")
     done = [ids.join(one.select(F.col("from_id").alias("node")), "node", "left_anti").select("node", F.col("node").alias("canonical"))]
-    live = _cut(linked.select("node", F.array("node").alias("path")))
+    live = cut(linked.select("node", F.array("node").alias("path")))
     while not live.isEmpty():
         step = live.join(one, F.element_at("path", -1) == one["from_id"], "left")
         again = F.array_contains("path", F.col("to_id"))
-        step = _cut(step.select("node", "path", "to_id", F.coalesce(again, F.lit(False)).alias("again")))
+        step = cut(step.select("node", "path", "to_id", F.coalesce(again, F.lit(False)).alias("again")))
         done.append(step.where("to_id IS NULL").select("node", F.element_at("path", -1).alias("canonical")))
         done.append(step.where("again").select("node", F.col("to_id").alias("canonical")))
         live = step.where("to_id IS NOT NULL AND NOT again").select("node", F.concat("path", F.array("to_id")).alias("path"))
@@ -51,23 +58,28 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, ancestor) for all ancestors; a node is its own ancestor only on a cycle."""
     one = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
     step = one.select(F.col("node").alias("mid"), F.col("ancestor").alias("next"))
-    known = _cut(one)
+    known = cut(one)
     fresh = known
     while not fresh.isEmpty():
         more = fresh.join(step, fresh["ancestor"] == step["mid"]).select("node", F.col("next").alias("ancestor")).distinct()
-        fresh = _cut(more.join(known, ["node", "ancestor"], "left_anti"))
-        known = _cut(known.unionByName(fresh))
+        fresh = cut(more.join(known, ["node", "ancestor"], "left_anti"))
+        known = known.unionByName(fresh)  # of parts that are written already
     return known
 
 
 def chain_depth(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, depth: hops to the root of a forest (child_id has one parent_id)."""
-    live = _cut(ids.select("id", F.col("id").alias("at"), F.lit(0).alias("depth")))
-    done = []
+    """id, depth: hops to the root of a forest (child_id has one parent_id).  A cycle raises: each walk keeps a
+    node of an earlier level, anew at every power of two, and may not meet it again."""
+    live = cut(ids.select("id", F.col("id").alias("at"), F.col("id").alias("mark"), F.lit(0).alias("depth")))
+    done, level = [], 0
     while not live.isEmpty():
-        step = _cut(live.join(edges, live["at"] == edges["child_id"], "left").select("id", "parent_id", "depth"))
+        level += 1
+        step = cut(live.join(edges, live["at"] == edges["child_id"], "left").select("id", "parent_id", "mark", "depth"))
+        if not step.where("parent_id = mark").isEmpty():
+            raise ValueError("the edges hold a cycle")
         done.append(step.where("parent_id IS NULL").select("id", "depth"))
-        live = step.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at"), (F.col("depth") + 1).alias("depth"))
+        mark = F.col("parent_id") if level & (level - 1) == 0 else F.col("mark")
+        live = step.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at"), mark.alias("mark"), (F.col("depth") + 1).alias("depth"))
     out = done[0] if done else ids.select("id", F.lit(0).alias("depth"))
     for d in done[1:]:
         out = out.unionByName(d)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.enums import REVIEW_SEVERITIES, rank, trim_all
+from .graph import cut
 
 
 def put(state: DataFrame, rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def with_new_ids(state: DataFrame, rows: DataFrame, order: str) -> DataFrame:
     """Incoming rows with ids after the largest there, in order.  Ranges of ``order`` are numbered each on
     their own and shifted, so no task holds all rows."""
     most = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
-    parts = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    parts = cut(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))  # read twice: its ranges must not move
     sizes = parts.groupBy("part").count()
     before = sizes.select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     nth = F.row_number().over(W.partitionBy("part").orderBy(order))
