@@ -2,7 +2,8 @@
 
 A text's shingles are a set of hashes.  ``BANDS`` keys of ``ROWS`` minima each put sets into buckets;
 two sets of similarity s share none of them with probability (1 - s^ROWS)^BANDS, under 3 in 100,000 at
-0.8.  Sets that meet in a bucket are compared by exact counts of common shingles.  Equal sets are one
+0.8.  Sets that meet in a bucket are compared by exact counts of common shingles; buckets of the same
+members are one.  Equal sets are one
 node.  A bucket of more than ``CHUNK`` nodes is dealt to tasks as pairs of its chunks, and a task
 returns a forest of links, never all pairs.
 """
@@ -95,7 +96,10 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     )
     at = nodes.select(*node, F.posexplode("keys").alias("way", "key"))
     chunks = F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")
-    sizes = at.groupBy("way", "key").count().where("count > 1").select("way", "key", chunks).checkpoint()
+    members = [F.bit_xor(F.xxhash64(*more, *node)).alias(n) for n, more in (("x1", []), ("x2", [F.lit("second")]))]
+    sizes = at.groupBy("way", "key").agg(F.count(F.lit(1)).alias("count"), *members).where("count > 1")
+    # buckets of the same members, by 128 bits, are compared once
+    sizes = sizes.groupBy("count", "x1", "x2").agg(F.min(F.struct("way", "key")).alias("first")).select("first.way", "first.key", chunks).checkpoint()
     placed = at.join(sizes, ["way", "key"]).withColumn("own", F.pmod(F.xxhash64(*node), F.col("chunks")).cast("int")).checkpoint()
 
     asked = nodes.join(placed.select(*node).distinct(), node, "left_semi").select(*node, F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.doc_id").alias("id"))
