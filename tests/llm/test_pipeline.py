@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from auditweave.llm import common, lines, secret_scan, vocab
 
+from .test_near_copies import plain_shingles, similar
 from .test_operators import plain_components, plain_fingerprint, plain_lines, plain_spans
 
 SF = "/root/testdata/sf0.001"
@@ -50,7 +51,8 @@ def test_simhash_keeps_one_of_each_group(stages):
     before, after = stages["line_dedup"], stages["simhash"]
     ids = before.doc_id.tolist()
     fps = [plain_fingerprint(t) for t in before.text]
-    links = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    sets = [plain_shingles(t) for t in before.text]
+    links = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4 or similar(sets[i], sets[j])]
     assert sorted(after.doc_id) == sorted(set(plain_components(sorted(ids), links).values()))
     assert list(after.columns) == list(before.columns)
 
