@@ -87,6 +87,11 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def id_key(column: str = "doc_id"):
+    """An id as text, empty for null: equal ids join by it, null ones too."""
+    return F.coalesce(F.col(column).cast("long").cast("string"), F.lit(""))
+
+
 def crc_remainder(column: str = "doc_id"):
     """crc32 of the id as text, modulo 4: the fold of a document (2 is held out)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4

@@ -102,10 +102,10 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = sizes.groupBy("count", "x1", "x2").agg(F.min(F.struct("way", "key")).alias("first")).select("first.way", "first.key", chunks).checkpoint()
     placed = at.join(sizes, ["way", "key"]).withColumn("own", F.pmod(F.xxhash64(*node), F.col("chunks")).cast("int")).checkpoint()
 
-    asked = nodes.join(placed.select(*node).distinct(), node, "left_semi").select(*node, F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.doc_id").alias("id"))
+    asked = nodes.join(placed.select(*node).distinct(), node, "left_semi").select(*node, F.col("first.a").alias("a"), F.col("first.b").alias("b"), common.id_key("first.doc_id").alias("id"))
     asked = asked.checkpoint()
     docs = docs.select("__aw_id", "__aw_a", "__aw_b", common.text_of().alias("text"))
-    same = (docs["__aw_a"] == asked["a"]) & (docs["__aw_b"] == asked["b"]) & docs["__aw_id"].eqNullSafe(asked["id"])
+    same = (docs["__aw_a"] == asked["a"]) & (docs["__aw_b"] == asked["b"]) & (docs["__aw_id"] == asked["id"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -335,7 +335,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: in
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), a.alias("a"), b.alias("b"), common.text_of().alias("text"))
     rows = rows.mapInArrow(run, "doc_id long, a long, b long, fp long" + ", s1 long, s2 long, keys array<long>" * near).checkpoint()
-    marked = docs.withColumn("__aw_a", a).withColumn("__aw_b", b).withColumn("__aw_id", F.col("doc_id").cast("long"))
+    marked = docs.withColumn("__aw_a", a).withColumn("__aw_b", b).withColumn("__aw_id", common.id_key())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("first")
     nodes = rows.groupBy("fp").agg(first)
     links = near_links(nodes.select("fp"), radius)
@@ -344,11 +344,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: in
         nodes.join(found, nodes["fp"] == found["node"], "left")
         .groupBy(F.coalesce("least", "fp").alias("root"))
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.doc_id").alias("__aw_id"), F.col("first.a").alias("__aw_a"), F.col("first.b").alias("__aw_b"))
+        .select(common.id_key("first.doc_id").alias("__aw_id"), F.col("first.a").alias("__aw_a"), F.col("first.b").alias("__aw_b"))
     )
-    same = (marked["__aw_a"] == kept["__aw_a"]) & (marked["__aw_b"] == kept["__aw_b"]) & marked["__aw_id"].eqNullSafe(kept["__aw_id"])
-    # a row that is there several times, id and text alike, is kept once
-    out = marked.join(kept, same, "left_semi").dropDuplicates(["__aw_a", "__aw_b", "__aw_id"])
+    # a row that is there several times, id and text alike, is kept once; the join finds the rows dealt as it needs them
+    keys = ["__aw_a", "__aw_b", "__aw_id"]
+    out = marked.dropDuplicates(keys).join(kept, keys, "left_semi")
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 
