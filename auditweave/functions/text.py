@@ -116,19 +116,46 @@ def wrap_label(c: Column, width: int) -> Column:
 
 
 def line_column(text: Column, offset: Column) -> Column:
-    """1-based line and column of a byte offset."""
-    head = F.substring(F.encode(text, "UTF-8"), F.lit(1), offset)
-    before = F.make_valid_utf8(head.cast("string"))
+    """Line (from 1) and column (from 0, in characters) of a byte offset.  An offset past the end or
+    within a character raises."""
+    before = F.substring(text.cast("binary"), F.lit(1), offset).cast("string")
     line = F.size(F.split(before, "\n"))
     last = F.element_at(F.split(before, "\n"), -1)
-    return F.struct(line.alias("line"), (F.char_length(last) + 1).alias("column"))
+    place = F.struct(line.alias("line"), F.char_length(last).alias("column"))
+    wrong = (offset > F.octet_length(text)) | ~F.is_valid_utf8(before)
+    return F.when(wrong, F.raise_error(F.concat(F.lit("not a place in the text: byte "), offset.cast("string")))).otherwise(place)
+
+
+def _first_whole(cuts: list[Column]) -> Column:
+    """The first of the cuts that splits no character."""
+    return F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts])
 
 
 def head_bytes(c: Column, n: int) -> Column:
     """At most n bytes from the front, cut between characters, with a note of what was dropped."""
     size = F.octet_length(c)
-    kept = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, n).cast("string")), "�+$", "")
-    return F.when(size <= n, c).otherwise(F.concat(kept, F.lit("\n… ["), (size - F.octet_length(kept)).cast("string"), F.lit(" bytes dropped]")))
+    kept = _first_whole([F.substring(c.cast("binary"), 1, k).cast("string") for k in range(n, max(n - 4, -1), -1)])
+    return F.when(size <= n, c).otherwise(F.concat(kept, F.lit(" … ["), (size - F.octet_length(kept)).cast("string"), F.lit(" bytes truncated]")))
+
+
+def tail_bytes(c: Column, n: int, note: bool = True) -> Column:
+    """At most n bytes from the end, cut between characters; the note counts the bytes before the last n."""
+    size = F.octet_length(c)
+    kept = _first_whole([F.substring(c.cast("binary"), size - k + 1, F.lit(k)).cast("string") for k in range(n, max(n - 4, -1), -1)])
+    told = F.concat(F.lit("…["), (size - n).cast("string"), F.lit(" bytes earlier]\n"), kept) if note else kept
+    return F.when(size <= n, c).otherwise(told)
+
+
+def invariant_stats(kind: Column) -> Column:
+    """runs, calls and reverts of a test's kind, 0 where absent; null unless it is an invariant whose
+    fields are whole numbers."""
+    own = F.try_variant_get(F.try_parse_json(kind), "$.Invariant", "variant")
+    names = ["runs", "calls", "reverts"]
+    found = {n: F.try_variant_get(own, f"$.{n}", "variant") for n in names}
+    whole = F.schema_of_variant(own).startswith("OBJECT")
+    for f in found.values():
+        whole = whole & (f.isNull() | (F.schema_of_variant(f) == "BIGINT"))
+    return F.when(whole, F.struct(*[F.coalesce(F.try_variant_get(own, f"$.{n}", "long"), F.lit(0)).alias(n) for n in names]))
 
 
 def whole_word(c: Column, word: str) -> Column:

@@ -179,15 +179,7 @@ QUERIES = {
         lambda r: r["finding_taxonomy"].withColumn("key", t.normalize_key(F.upper("category"))).join(F.broadcast(r["finding_taxonomy"].select("category_id", t.normalize_key(F.col("category")).alias("key")).distinct().withColumnRenamed("category_id", "known")), "key").select("audit_finding_id", "known"),
         "SELECT audit_finding_id, category_id AS known FROM finding_taxonomy",
     ),
-    "x20_wrapped_labels": (
-        lambda r: r["semantic_node"].select("id", F.size(F.split(t.wrap_label(F.col("description"), 200), "\n")).alias("lines"), t.wrap_label(F.lit("aa bb cc dd"), 5).alias("wrapped")),
-        "SELECT id, 1 AS lines, concat('aa bb', chr(10), 'cc dd') AS wrapped FROM semantic_node",
-    ),
     "x23_relative_paths": (lambda r: r["path_t"].select("id", t.relative_path(F.concat(F.lit(" ././"), "path")).alias("path")), "SELECT id, path FROM path_t"),
-    "x24_line_columns": (
-        lambda r: r["project"].select("id", t.line_column(F.concat(F.lit("é\n"), "name"), F.lit(5)).alias("p")).select("id", "p.line", "p.column"),
-        'SELECT id, 2 AS line, 3 AS "column" FROM project',
-    ),
     "x30_snapshot_keys": (
         lambda r: r["orders"].select("o_orderkey", t.snapshot_key(F.concat(F.lit("a_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_010203"))).alias("key"), t.is_commit(F.sha1(F.col("o_orderkey").cast("string").cast("binary"))).alias("commit")),
         "SELECT o_orderkey, concat(strftime(o_orderdate, '%Y%m%d'), '_010203') AS key, true AS \"commit\" FROM orders",

@@ -142,10 +142,6 @@ QUERIES = {
         lambda r: r["semantic_node"].select("id", t.dot_escape(F.concat(F.lit('a"b\\c\n'), "name")).alias("label")),
         r"""SELECT id, concat('a\"b\\c\n', name) AS label FROM semantic_node""",
     ),
-    "x25_byte_heads": (
-        lambda r: r["documents"].select("doc_id", F.octet_length(F.split(t.head_bytes(F.col("text"), 101), "\n… \\[[0-9]+ bytes dropped")[0]).alias("n")).where("n > 101").agg(F.count(F.lit(1)).alias("too_long")),
-        "SELECT 0::BIGINT AS too_long",
-    ),
     "x28_whole_words": (
         lambda r: r["documents"].select("doc_id", t.whole_word(F.coalesce("text", F.lit("")), "the").alias("hit")),
         r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') AS hit FROM documents",

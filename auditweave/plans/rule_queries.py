@@ -19,6 +19,10 @@ FIXTURES = {
     "parts": "(VALUES (1, 'Vault', 'src/Vault.sol'), (2, 'Vault', 'src/Copy.sol'), (3, 'Pool', 'src/Pool.sol'), (4, 'Router', 'lib/R.sol'), (5, 'Other', 'src/R.sol'), (6, 'None', 'src/N.sol')) AS t(id, name, path)",
     "asked": "(VALUES (1, 1, NULL), (1, 2, NULL), (2, 1, 7), (2, 2, 7), (3, 1, 7), (3, 2, 9), (4, 1, NULL), (4, 2, 5)) AS t(item, chunk, target)",
     "titles": "(VALUES (1, 'Fee On Transfer'), (2, '  --  '), (3, 'Ünïcode tokens & 1,000 more'), (4, 'A very long title that goes on and on, far past forty-eight characters'), (5, ''), (6, 'forty-seven characters and then a dash come h - x')) AS t(id, title)",
+    "labels_in": "(VALUES (1, 'aa bb cc dd'), (2, '  '), (3, 'toolongword x'), (4, 'é é é'), (5, NULL), (6, ' a  b\\nc ')) AS t(id, text)",
+    "offsets": "(VALUES (1, 'abc\\ndef\\nghi', 4), (2, 'abc\\ndef\\nghi', 8), (3, 'abc\\ndef\\nghi', 6), (4, 'abc\\ndef\\nghi', 11), (5, 'é\\nx', 2), (6, 'é\\nx', 3), (7, '', 0)) AS t(id, text, at)",
+    "cuts": "(VALUES (1, 'abcde'), (2, 'abcdé'), (3, 'éabcd'), (4, '𝄞𝄞'), (5, ''), (6, NULL), (7, 'abcd��')) AS t(id, text)",
+    "kinds": """(VALUES (1, '{"Invariant": {"runs": 3, "calls": 40, "reverts": 5}}'), (2, '{"Invariant": {"runs": 3}}'), (3, '{"Unit": {"gas": 9}}'), (4, '{"Invariant": {"runs": "3"}}'), (5, '{"Invariant": 7}'), (6, 'not JSON'), (7, NULL)) AS t(id, kind)""",
     "rendered": "(VALUES (1, 'told', 'raw 1'), (2, ' ', 'raw 2'), (3, NULL, 'raw 3'), (4, '', NULL)) AS t(id, rendered, raw)",
 }
 
@@ -204,6 +208,29 @@ QUERIES = {
         r"""SELECT doc_id, md5(CASE WHEN n = 1 THEN '' ELSE substr(text, strpos(text, chr(10)) + 1, length(text) - strpos(text, chr(10)) - length(l[-1])) END) AS chunk
         FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) x) y""",
     ),
+    "x20_wrapped_labels": (
+        lambda r: fx(r, "labels_in").select("id", t.wrap_label(F.col("text"), 5).alias("label")),
+        r"SELECT * FROM (VALUES (1, E'aa bb\ncc dd'), (2, '  '), (3, E'toolongword\nx'), (4, E'é é\né'), (5, NULL), (6, 'a b c')) AS t(id, label)",
+    ),
+    "x24_line_columns": (
+        lambda r: fx(r, "offsets").select("id", t.line_column(F.col("text"), F.col("at")).alias("p")).select("id", "p.line", "p.column"),
+        'SELECT * FROM (VALUES (1, 2, 0), (2, 3, 0), (3, 2, 2), (4, 3, 3), (5, 1, 1), (6, 2, 0), (7, 1, 0)) AS t(id, line, "column")',
+    ),
+    "x25_byte_cuts": (
+        lambda r: fx(r, "cuts").select("id", t.head_bytes(F.col("text"), 5).alias("head"), t.tail_bytes(F.col("text"), 5).alias("tail"), t.tail_bytes(F.col("text"), 5, note=False).alias("bare")),
+        r"""SELECT * FROM (VALUES (1, 'abcde', 'abcde', 'abcde'), (2, 'abcd … [2 bytes truncated]', E'…[1 bytes earlier]\nbcdé', 'bcdé'),
+        (3, 'éabc … [1 bytes truncated]', E'…[1 bytes earlier]\nabcd', 'abcd'), (4, '𝄞 … [4 bytes truncated]', E'…[3 bytes earlier]\n𝄞', '𝄞'), (5, '', '', ''), (6, NULL, NULL, NULL),
+        (7, 'abcd … [6 bytes truncated]', E'…[5 bytes earlier]\n�', '�')) AS t(id, head, tail, bare)""",
+    ),
+    "x25_document_cuts": (
+        lambda r: r["documents"].where("text IS NOT NULL").select("doc_id", F.octet_length(t.tail_bytes(F.col("text"), 101, note=False)).alias("n"), F.md5(t.tail_bytes(F.col("text"), 400, note=False)).alias("tail")).select("doc_id", F.col("n").between(0, 101).alias("short"), "tail"),
+        """SELECT doc_id, true AS short, md5(CASE WHEN strlen(text) <= 400 THEN text ELSE right(t4, list_max(list_filter(range(0, 401), lambda k: strlen(right(t4, k)) <= 400))) END) AS tail
+        FROM (SELECT doc_id, text, right(text, 400) AS t4 FROM documents WHERE text IS NOT NULL) x""",
+    ),
+    "x35_invariant_stats": (
+        lambda r: fx(r, "kinds").select("id", t.invariant_stats(F.col("kind")).alias("s")).select("id", "s.runs", "s.calls", "s.reverts"),
+        "SELECT * FROM (VALUES (1, 3, 40, 5), (2, 3, 0, 0), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL)) AS t(id, runs, calls, reverts)",
+    ),
     "x36_deterministic": (
         lambda r: r["documents"].select("doc_id", t.is_deterministic_violation(F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, F.lit(" deterministic run")).otherwise(F.lit("")))).alias("marked")),
         "SELECT doc_id, doc_id % 2 = 0 OR coalesce(contains(text, 'deterministic'), false) AS marked FROM documents",

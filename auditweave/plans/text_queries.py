@@ -78,10 +78,6 @@ QUERIES = {
         lambda r: r["audit_finding"].select("id", t.anchor(F.concat(F.lit("H-01: "), F.col("title"))).alias("anchor")),
         "SELECT id, regexp_replace(replace(lower(concat('H-01: ', title)), ' ', '-'), '[^a-z0-9-]', '', 'g') AS anchor FROM audit_finding",
     ),
-    "x35_json_paths": (
-        lambda r: r["events"].select("event_id", F.size(F.json_object_keys("props")).alias("keys")),
-        "SELECT event_id, len(json_keys(props))::INT AS keys FROM events",
-    ),
     "s08_insert_statements": (
         lambda r: formats.insert_statements(r["project"], "project"),
         """SELECT concat('INSERT INTO "project" ("id", "name", "status") VALUES (', id, ', ''', name, ''', ''', status, ''');') AS statement FROM project""",

@@ -37,8 +37,16 @@ def test_truncate_counts_characters(spark):
 
 
 def test_bytes(spark):
-    assert one(spark, text.head_bytes(F.lit("aéb"), 2)) == "a\n… [3 bytes dropped]"
+    assert one(spark, text.head_bytes(F.lit("aéb"), 2)) == "a … [3 bytes truncated]"
     assert one(spark, text.head_bytes(F.lit("ab"), 2)) == "ab"
+    assert one(spark, text.head_bytes(F.lit("é"), 1)) == " … [2 bytes truncated]"
+    assert one(spark, text.tail_bytes(F.lit("é"), 1, note=False)) == ""
+
+
+@pytest.mark.parametrize("at", [1, 4])
+def test_places_within_characters_and_past_the_end_raise(spark, at):
+    with pytest.raises(Exception, match="not a place in the text"):
+        one(spark, text.line_column(F.lit("éx"), F.lit(at)))
 
 
 def test_evidence(spark):
