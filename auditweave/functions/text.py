@@ -100,6 +100,24 @@ def dot_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
 
 
+def dot_identifier(c: Column) -> Column:
+    """Lower-case ASCII letters and digits, all else one underscore, none at the ends."""
+    name = F.lower(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_|_$", ""))
+    return F.when(name == "", "cluster").otherwise(name)
+
+
+def short_label(c: Column, most: int = 120) -> Column:
+    """Lines joined by spaces, at most ``most`` characters."""
+    label = F.regexp_replace(F.regexp_replace(c, r"\r?\n\z", ""), r"\r?\n", " ")
+    return F.when(F.char_length(label) <= most, label).otherwise(F.concat(F.substring(label, 1, most - 3), F.lit("...")))
+
+
+def setup_failed(status: Column, test: Column, reason: Column) -> Column:
+    """A failure of the set-up, by the test's name or by its reason in any ASCII case."""
+    told = F.contains(F.translate(F.coalesce(reason, F.lit("")), "ADEFILOPSTU", "adefilopstu"), F.lit("failed to set up"))
+    return F.coalesce((status == "Failure") & ((test == "setUp()") | told), F.lit(False))
+
+
 def wrap_label(c: Column, width: int) -> Column:
     """Greedy word wrap by byte width; blank text stays as it is."""
     words = F.filter(F.split(c, r"(?U)\s+"), lambda w: F.char_length(w) > 0)

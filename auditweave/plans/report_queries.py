@@ -151,10 +151,6 @@ QUERIES = {
         """WITH h AS (SELECT f.path, f.id, EXISTS (SELECT 1 FROM line_coverage l WHERE l.path = f.path AND l.line_number BETWEEN f.start_line AND f.end_line) AS hit FROM function_t f)
         SELECT path, coalesce(string_agg(concat(path, '::', id), '|' ORDER BY concat(path, '::', id)) FILTER (NOT hit), '') AS missed FROM h GROUP BY 1""",
     ),
-    "x34_setup_failures": (
-        lambda r: r["harness_run"].select("id", (F.col("violated") & F.lower("reason").contains("setup()")).alias("failed")),
-        "SELECT id, violated AND lower(reason) LIKE '%setup()%' AS failed FROM harness_run",
-    ),
     "u06_migrated_links": (
         lambda r: state.add_columns(r["sfl"].select("semantic_node_id", "audit_finding_id"), {"strength": "Medium", "evidence": ""}),
         "SELECT semantic_node_id, audit_finding_id, 'Medium' AS strength, '' AS evidence FROM sfl",

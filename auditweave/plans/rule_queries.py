@@ -22,6 +22,9 @@ FIXTURES = {
     "labels_in": "(VALUES (1, 'aa bb cc dd'), (2, '  '), (3, 'toolongword x'), (4, 'é é é'), (5, NULL), (6, ' a  b\\nc ')) AS t(id, text)",
     "offsets": "(VALUES (1, 'abc\\ndef\\nghi', 4), (2, 'abc\\ndef\\nghi', 8), (3, 'abc\\ndef\\nghi', 6), (4, 'abc\\ndef\\nghi', 11), (5, 'é\\nx', 2), (6, 'é\\nx', 3), (7, '', 0)) AS t(id, text, at)",
     "cuts": "(VALUES (1, 'abcde'), (2, 'abcdé'), (3, 'éabcd'), (4, '𝄞𝄞'), (5, ''), (6, NULL), (7, 'abcd��')) AS t(id, text)",
+    "names": "(VALUES (1, 'DeFi Lending / v2'), (2, '  '), (3, 'Ünï-x'), (4, '__A__b__'), (5, ''), (6, NULL)) AS t(id, name)",
+    "long_labels": "(VALUES (1, 'a\\r\\nb\\n'), (2, 'a\\n\\nb'), (3, repeat('é', 121)), (4, repeat('é', 120)), (5, ''), (6, 'a\\n\\n')) AS t(id, text)",
+    "tests": "(VALUES (1, 1, 'Failure', 'setUp()', NULL), (2, 1, 'Failure', 'testA', 'FAILED to Set Up: x'), (3, 1, 'Success', 'setUp()', 'failed to set up'), (4, 2, 'Failure', 'testB', ''), (5, 2, 'Failure', 'testC', 'overflow'), (6, 2, 'Failure', 'testD', 'later'), (7, 3, NULL, 'setUp()', NULL)) AS t(id, run, status, test, reason)",
     "kinds": """(VALUES (1, '{"Invariant": {"runs": 3, "calls": 40, "reverts": 5}}'), (2, '{"Invariant": {"runs": 3}}'), (3, '{"Unit": {"gas": 9}}'), (4, '{"Invariant": {"runs": "3"}}'), (5, '{"Invariant": 7}'), (6, 'not JSON'), (7, NULL)) AS t(id, kind)""",
     "rendered": "(VALUES (1, 'told', 'raw 1'), (2, ' ', 'raw 2'), (3, NULL, 'raw 3'), (4, '', NULL)) AS t(id, rendered, raw)",
 }
@@ -227,6 +230,22 @@ QUERIES = {
         """SELECT doc_id, true AS short, md5(CASE WHEN strlen(text) <= 400 THEN text ELSE right(t4, list_max(list_filter(range(0, 401), lambda k: strlen(right(t4, k)) <= 400))) END) AS tail
         FROM (SELECT doc_id, text, right(text, 400) AS t4 FROM documents WHERE text IS NOT NULL) x""",
     ),
+    "x21_identifiers": (
+        lambda r: fx(r, "names").select("id", t.dot_identifier(F.col("name")).alias("name")),
+        "SELECT * FROM (VALUES (1, 'defi_lending_v2'), (2, 'cluster'), (3, 'n_x'), (4, 'a_b'), (5, 'cluster'), (6, NULL)) AS t(id, name)",
+    ),
+    "x21_short_labels": (
+        lambda r: fx(r, "long_labels").select("id", t.short_label(F.col("text")).alias("label")),
+        "SELECT * FROM (VALUES (1, 'a b'), (2, 'a  b'), (3, concat(repeat('é', 117), '...')), (4, repeat('é', 120)), (5, ''), (6, 'a ')) AS t(id, label)",
+    ),
+    "x34_setup_failures": (
+        lambda r: fx(r, "tests").select("id", t.setup_failed(F.col("status"), F.col("test"), F.col("reason")).alias("failed")),
+        "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, false), (6, false), (7, false)) AS t(id, failed)",
+    ),
+    "x34_first_reasons": (
+        lambda r: fx(r, "tests").groupBy("run").agg(F.min_by("reason", F.when((F.col("status") == "Failure") & (F.col("reason") != ""), F.col("id"))).alias("reason")),
+        "SELECT * FROM (VALUES (1, 'FAILED to Set Up: x'), (2, 'overflow'), (3, NULL)) AS t(run, reason)",
+    ),
     "x35_invariant_stats": (
         lambda r: fx(r, "kinds").select("id", t.invariant_stats(F.col("kind")).alias("s")).select("id", "s.runs", "s.calls", "s.reverts"),
         "SELECT * FROM (VALUES (1, 3, 40, 5), (2, 3, 0, 0), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL)) AS t(id, runs, calls, reverts)",
