@@ -95,3 +95,10 @@ def id_key(column: str = "doc_id"):
 def crc_remainder(column: str = "doc_id"):
     """crc32 of the id as text, modulo 4: the fold of a document (2 is held out)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
+
+
+def place(uri: str):
+    """pyarrow's file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

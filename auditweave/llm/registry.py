@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, common, lines, metric_join, packing, quality, secret_scan, simhash, token_files, toxicity
+from . import ann, bpe, common, lines, metric_join, packing, quality, secret_scan, simhash, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,7 @@ _OWN: dict[str, Query] = {
     "op8_token_files": token_files.op8_token_files,
     "op9_bpe_codec": bpe.op9_bpe_codec,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_warc": warc.op11_warc,
 }
 
 QUERIES: dict[str, Query] = {name: found(query) for name, query in _OWN.items()}
@@ -37,4 +38,5 @@ QUERIES: dict[str, Query] = {name: found(query) for name, query in _OWN.items()}
 ORACLES: dict[str, str] = {
     "op5_metric_join": metric_join.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
+    "op11_warc": warc.ORACLE_SQL,
 }
