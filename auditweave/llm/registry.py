@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, common, lines, metric_join, packing, quality, secret_scan, simhash, token_files, toxicity, warc
+from . import ann, bpe, common, lines, metric_join, packing, quality, secret_scan, simhash, token_files, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,7 @@ _OWN: dict[str, Query] = {
     "op9_bpe_codec": bpe.op9_bpe_codec,
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_warc": warc.op11_warc,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 QUERIES: dict[str, Query] = {name: found(query) for name, query in _OWN.items()}
@@ -39,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op5_metric_join": metric_join.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
