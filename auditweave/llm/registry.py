@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, common, lines, metric_join, packing, quality, secret_scan, simhash, token_files, toxicity, vector_codes, warc
+from . import ann, bpe, common, lexical, lines, metric_join, packing, quality, secret_scan, simhash, token_files, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,7 @@ _OWN: dict[str, Query] = {
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_warc": warc.op11_warc,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 QUERIES: dict[str, Query] = {name: found(query) for name, query in _OWN.items()}
@@ -41,4 +42,5 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": lines.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
     "op12_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_lexical": lexical.ORACLE_SQL,
 }
