@@ -1,13 +1,13 @@
 """Toxicity by noisy-channel deobfuscation and a linear model over restored words.
 
 A character trigram model is counted over all documents.  A chunk that looks disguised (digits or
-signs among letters, letters set apart, letters repeated) becomes a lattice: each sign may stand for
+signs among letters, letters set apart, a letter twice in a row) becomes a lattice: each sign may stand for
 letters at a price, separators may be silent or end a word, repeats may be silent, and Viterbi
 decoding under the trigram model picks the letters and words, however long the chunk is.  Letters in
 a row with spaces between them are one chunk.  The restored words, next to the plain ones, are the features: whole words
 and their beginnings.  A logistic model over the beginnings and words that tell toxic documents from
-others gives a probability: at most ``FEATURES`` of them, each in at least ``LEAST`` labelled toxic
-documents, those of the greatest log odds times the root of their count.
+others gives a probability: all that the labelled sample's toxic documents hold and that are e times
+likelier there; the ridge of one falls with the number of toxic documents that hold it.
 
 Labels are learned from a sample of at most ``FIT_ROWS`` labelled documents, those of smallest id
 hash, outside the held-out fold (crc32 of the id as text modulo 4 equal to 2).  Scores come from the
@@ -35,10 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 FIT_ROWS = 20_000
-#: Most features of the model.
-FEATURES = 4096
-#: Least labelled toxic documents that must have a feature.
-LEAST = 4
+#: Ridge of a feature that one toxic document has; it falls with their number.
+RIDGE = 16.0
 HELD_OUT = 2
 THRESHOLD = 0.3
 
@@ -61,7 +59,7 @@ REMEMBERED = 40
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SPACED = re.compile(r"(?: [^\W_]| [@$!|]){3,}(?= )")
-_REPEATED = re.compile(r"([^\W\d_])\1\1")
+_DOUBLED, _TRIPLED = (re.compile(r"([^\W\d_])" + r"\1" * n) for n in (1, 2))
 _EDGES = "".join(SEPARATORS) + "\"?!()[]{}<>“”„»«…&%$*#=|+"
 
 
@@ -121,11 +119,16 @@ class Restorer:
         """The words of a chunk, with spaces between them."""
         return self._remembered(chunk) if len(chunk) <= REMEMBERED else self._restore(chunk)
 
-    def suspicious(self, chunk: str) -> bool:
+    def disguised(self, chunk: str) -> bool:
+        """It isn't a plain word: signs or digits in it, or a letter three times in a row."""
         core = chunk.strip(_EDGES) or chunk
         if not any(c.isalpha() for c in core):
             return False
-        return not core.isalpha() or _REPEATED.search(core) is not None or (chunk[:1] in SIGNS and not core[:1].isdigit())
+        return not core.isalpha() or _TRIPLED.search(core) is not None or (chunk[:1] in SIGNS and not core[:1].isdigit())
+
+    def suspicious(self, chunk: str) -> bool:
+        """It may stand for another word too: disguised, or a letter twice in a row."""
+        return self.disguised(chunk) or _DOUBLED.search(chunk) is not None
 
     def _restore(self, chunk: str) -> str:
         cost = self.model
@@ -199,7 +202,7 @@ def restored_text(text: str, restorer: Restorer) -> str:
     """The text with its disguised chunks spelled out."""
     chunks = text.lower().split()
     row = _SPACED.sub(lambda m: " " + restorer.restore(m[0].strip()), " " + " ".join(chunks) + " ")
-    return " ".join([restorer.restore(c) if restorer.suspicious(c) else c for c in row.split()])
+    return " ".join([restorer.restore(c) if restorer.disguised(c) else c for c in row.split()])
 
 
 def features(word: str) -> list[str]:
@@ -233,14 +236,14 @@ class ToxicityModel:
         return score
 
 
-def fit_logistic(x_rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression over sets of features by accelerated gradient steps."""
+def fit_logistic(x_rows: list[list[int]], y: np.ndarray, n: int, ridge: float | np.ndarray = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression over sets of features by accelerated gradient steps; ridge: one, or one a feature."""
     at = np.concatenate([np.array(r, np.int64) for r in x_rows]) if x_rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(x_rows)), [len(r) for r in x_rows])
     w, b = np.zeros(n), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     vw, vb = w.copy(), b
     most = max((len(r) for r in x_rows), default=0) + 1
-    rate = 4.0 / (most * len(y) + ridge)
+    rate = 4.0 / (most * len(y) + 1)
     size = np.bincount(at, minlength=n) * most / 4 + ridge
     for k in range(steps):
         z = np.bincount(row, vw[at], len(x_rows)) + vb
@@ -254,6 +257,7 @@ def fit_logistic(x_rows: list[list[int]], y: np.ndarray, n: int, ridge: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
+    common.shared_folder(docs.sparkSession)
     prices = log_model(trigram_counts(docs))
     ok = (labels["toxic"].isNotNull()) & (common.crc_remainder() != HELD_OUT)
     sample = (
@@ -287,8 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
         share = float(np.clip(n_bad / max(1, n_bad + n_good), 1e-9, 1 - 1e-9))
         return ToxicityModel(prices, [], np.zeros(0), float(np.log(share / (1 - share))))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    top = held.where(f"feature <> '' and bad >= {LEAST}").withColumn("odds", odds).where("odds > 1")
-    names = [r.feature for r in top.orderBy((F.col("odds") * F.sqrt("bad")).desc(), "feature").limit(FEATURES).select("feature").collect()]
+    # every feature that speaks for toxicity, as many as the bounded sample has; rare ones are shrunk, not cut
+    told = held.where("feature <> '' and bad > 0").withColumn("odds", odds).where("odds > 1").select("feature", "bad").orderBy("feature").toPandas()
+    names, ridge = told["feature"].tolist(), RIDGE / told["bad"].to_numpy(float)
     index = {f: i for i, f in enumerate(names)}
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
 
     got: pd.DataFrame = rows.mapInArrow(select, "toxic int, own array<int>").toPandas()  # fit_rows rows at most
     y = (got["toxic"] == 1).to_numpy(float)
-    weights, bias = fit_logistic([list(r) for r in got["own"]], y, len(names))
+    weights, bias = fit_logistic([list(r) for r in got["own"]], y, len(names), ridge)
     return ToxicityModel(prices, names, weights, bias)
 
 
@@ -323,7 +328,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, score: str = "score") ->
     import uuid
 
     key = uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet and FEATURES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet and the sample
     text = docs.columns.index("text")
     kind = dict(docs.dtypes)["text"]
     docs = docs if kind == "string" else docs.withColumn("text", F.col("text").cast("string"))

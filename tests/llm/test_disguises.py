@@ -1,11 +1,22 @@
 """Disguises in long chunks, and next to other spaced words."""
 
+import os
+import zlib
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from auditweave.llm import toxicity
+from auditweave.llm import common, toxicity
+
+from .test_operators import PROSE, sentences
+
+ROOT = str(Path(__file__).resolve().parents[2])
+
 
-from .test_operators import PROSE
+@pytest.fixture(scope="module", autouse=True)
+def found(spark):
+    common.findable(spark)
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +50,54 @@ def test_price_of_length(words):
     start = time.perf_counter()
     words.of("1d10t-" * 5000)
     assert time.perf_counter() - start < 20
+
+
+def test_doubled_letters_are_decoded(words):
+    for seen, meant in [("iiddiioott", "idiot"), ("ttrraasshh", "trash"), ("sccumm", "scum"), ("stuupid", "stupid")]:
+        assert meant + "$" in words.of(seen), seen
+    assert toxicity.restored_text("all is well", words.restorer) == "all is well"
+
+
+def test_disguises_score_like_the_word(spark):
+    """Digits, signs, spaces, separators, doubled and tripled letters change a score by 0.02 at most."""
+    texts, y = sentences(400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    score = model.scorer()
+    swap = str.maketrans("oesat", "03$4+")
+    ways = [lambda w: w.translate(swap), " ".join, ".".join, "-".join, lambda w: "".join(c * 2 for c in w), lambda w: "".join(c * 3 for c in w), str.upper]
+    known = [n[:-1] for n in model.names if n.endswith("$") and model.weights[model.names.index(n)] > 0.5]
+    assert len(known) >= 3
+    for word in known:
+        for way in ways:
+            assert abs(score(f"and {way(word)} there") - score(f"and {word} there")) <= 0.02, (word, way(word))
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_few_toxic_labels_give_a_model(spark, n):
+    texts, y = sentences(60)
+    toxic = [i for i in range(60) if y[i]]
+    keep = set([i for i in toxic if zlib.crc32(str(i).encode()) % 4 != 2][:n])
+    labels = [(i, int(i in keep)) for i in range(60) if i in keep or not y[i]]
+    model = toxicity.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = model.scorer()
+    assert min(score(texts[i]) for i in keep) > max(score(texts[i]) for i, t in labels if not t)
+
+
+def test_first_in_a_bare_session():
+    """Operators that checkpoint find a folder in a session whose settings name none."""
+    import subprocess
+    import sys
+    import tempfile
+
+    code = """
+from pyspark.sql import SparkSession
+import __spark_entry__, sys
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+assert not spark.conf.get("spark.checkpoint.dir", "")
+print("rows", __spark_entry__.queries()[sys.argv[1]](spark, "/root/testdata/sf0.001").count())
+"""
+    env = os.environ | {"SPARK_CONF_DIR": tempfile.mkdtemp(), "PYTHONPATH": ROOT}
+    for name in ("op2_toxicity", "op13_lexical"):
+        done = subprocess.run([sys.executable, "-c", code, name], capture_output=True, text=True, env=env, timeout=300, check=False)
+        assert done.returncode == 0 and "rows " in done.stdout, done.stderr[-2000:]
