@@ -6,24 +6,10 @@ bound by the limits of a recursive statement; two numbers a level reach the driv
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OWN_FOLDER = "file:///tmp/checkpoints/auditweave"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the folder that driver and executors share; one of its own only within one machine."""
-    session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        named = session.conf.get("spark.checkpoint.dir", "")
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or OWN_FOLDER)
-    return df.checkpoint()
+from ..storage import cut
 
 
 def single_parent(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import STRENGTHS, rank, trim_all
+from ..storage import cut
 from .state import unique_or_raise, with_new_ids
 
 VALID = "ValidFinding"
@@ -270,7 +271,7 @@ def write_regeneration(specs: DataFrame, codes: DataFrame, runs: DataFrame, spec
     """Regenerated specifications with their code, runs and both lineage rows, under new ids.  ``new``: ord, title,
     parent_spec, parent_code; ``new_runs``: run_ord, ord, violated.  A new child can't have a parent yet."""
     made = with_new_ids(specs, new, "ord").withColumnRenamed("id", "spec_id")
-    made = with_new_ids(codes, made, "ord").withColumnRenamed("id", "code_id").checkpoint()
+    made = cut(with_new_ids(codes, made, "ord").withColumnRenamed("id", "code_id"))
     own = with_new_ids(runs, new_runs.join(made.select("ord", "code_id"), "ord"), "run_ord")
     return (
         specs.unionByName(made.select(F.col("spec_id").alias("id"), *[c for c in specs.columns if c != "id"])),
