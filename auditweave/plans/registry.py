@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, more_queries, project_queries, report_queries, rule_queries, text_queries
+from . import graph_queries, more_queries, project_queries, report_queries, rule_queries, store_queries, text_queries
 from .roles import Roles, with_roles
 
-_ALL = {**graph_queries.QUERIES, **project_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES, **report_queries.QUERIES, **rule_queries.QUERIES}
+_ALL = {**graph_queries.QUERIES, **project_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES, **report_queries.QUERIES, **rule_queries.QUERIES, **store_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
