@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.enums import STRENGTHS, rank
+from .batches import greedy_batches  # noqa: F401
 
 
 def strongest(df: DataFrame, keys: list[str], order: str = "ord", strength: str = "strength", values: dict[str, int] = STRENGTHS) -> DataFrame:
@@ -50,34 +51,6 @@ def plan_links(links: DataFrame, built: DataFrame, least_match: str = "Low", lea
     return kept.join(built, ["extract_id", "historical_id", "finding_id"], "left_anti")
 
 
-def greedy_batches(df: DataFrame, group: list[str], order: str, tokens: str, budget: int, most: int) -> DataFrame:
-    """Rows with ``batch``: a batch closes when it has ``most`` rows or the next would exceed the
-    budget; a larger row has a batch of its own.  The fold is ordered, within a group; groups are
-    independent."""
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField("batch", IntegerType())])
-
-    # rows arrive sorted, a partition at a time, so a group is never held as a whole
-    dealt = df.repartition(*group).sortWithinPartitions(*group, order)
-
-    def run(frames):
-        state: dict = {"key": object()}
-        for f in frames:
-            out = []
-            for key, t in zip(f[group].itertuples(index=False, name=None), f[tokens], strict=True):
-                if key != state["key"]:
-                    state = {"key": key, "used": 0, "count": 0, "batch": 0}
-                if state["count"] and (state["count"] >= max(1, most) or state["used"] + t > budget):
-                    state["batch"], state["used"], state["count"] = state["batch"] + 1, 0, 0
-                state["used"] += int(t)
-                state["count"] += 1
-                out.append(state["batch"])
-            yield f.assign(batch=out)
-
-    return dealt.mapInPandas(run, schema)
-
-
 def representative(members: DataFrame, key: str, text: str = "body") -> DataFrame:
     """Per key the member of highest (severity, link, match) and fewest text bytes; ties keep the last."""
     from ..functions.enums import REVIEW_SEVERITIES
