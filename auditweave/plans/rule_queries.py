@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import code, rules
+from ..operators import code, link_plan, rules
 from ..functions import text as t
 
 #: Small tables that both engines read as they are.
@@ -95,7 +95,63 @@ def _regeneration(r):
     return after.join(runs.select("id"), "id", "left_anti")
 
 
+#: Budgets of the link plan's queries.
+LINK = link_plan.Budgets(input_tokens=4000, fixed_tokens=200, finding_target=900, most_findings=40, most_concepts=60)
+
+
+def _candidates(r):
+    """Canonical nodes and, one level down, what was folded into them."""
+    n = r["semantic_node"].select(F.col("id").alias("node"), "category", "name", F.char_length("description").alias("tokens"))
+    folded = r["semantic_merge"].join(r["semantic_node"].select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy(F.col("from_id").alias("node")).agg(F.max("to_id").alias("to_id"))
+    roots = n.select("node").join(folded.select("node"), "node", "left_anti")
+    one = folded.join(roots.select(F.col("node").alias("to_id")), "to_id", "left_semi")
+    return n.join(roots.select("node", F.col("node").alias("canonical")).unionByName(one.select("node", F.col("to_id").alias("canonical"))), "node")
+
+
+def _asked(r):
+    pending = r["audit_finding"].join(r["finding_link_status"].withColumnRenamed("audit_finding_id", "id"), "id", "left_anti")
+    return pending.select(F.col("id").alias("finding_id"), F.col("id").alias("ord"), (F.char_length("title") + F.char_length("description")).alias("tokens"))
+
+
+def _batched(r):
+    return link_plan.batches(_asked(r), link_plan.contexts(link_plan.chunks(_candidates(r), LINK), LINK), LINK)
+
+
+#: Greedy packing in SQL: jump(grp, i) is the next batch's first row; what is reached from row 1 starts a batch.
+def _packed(rows: str, budget: str, most: int, as_: str) -> str:
+    return f"""{as_}_s AS (SELECT *, sum(tokens) OVER (PARTITION BY grp ORDER BY i) AS upto FROM {rows}),
+    {as_}_j AS (SELECT grp, i, least(i + {most}, 1 + count(*) OVER (PARTITION BY grp ORDER BY upto RANGE BETWEEN UNBOUNDED PRECEDING AND greatest({budget} - tokens, 0) FOLLOWING)) AS j FROM {as_}_s),
+    {as_}_b AS (SELECT DISTINCT grp, CAST(1 AS BIGINT) AS i FROM {as_}_s UNION ALL SELECT w.grp, j FROM {as_}_b w JOIN {as_}_j USING (grp, i)),
+    {as_} AS (SELECT s.*, CAST(count(b.i) OVER (PARTITION BY s.grp ORDER BY s.i) - 1 AS INT) AS batch FROM {as_}_s s LEFT JOIN {as_}_b b USING (grp, i))"""
+
+
+_CHUNKS = f"""n AS (SELECT id AS node, category, name, length(description) AS tokens FROM semantic_node),
+folded AS (SELECT from_id AS node, max(to_id) AS to_id FROM semantic_merge WHERE to_id IN (SELECT id FROM semantic_node) GROUP BY 1),
+roots AS (SELECT node FROM n WHERE node NOT IN (SELECT node FROM folded)),
+c AS (SELECT n.*, m.canonical FROM n JOIN (SELECT node, node AS canonical FROM roots UNION ALL SELECT node, to_id FROM folded WHERE to_id IN (SELECT node FROM roots)) m USING (node)),
+g AS (SELECT 1 AS grp, canonical, any_value(category) FILTER (node = canonical) AS category, any_value(name) FILTER (node = canonical) AS name, sum(tokens) AS tokens, count(*) AS members,
+  string_agg(CAST(node AS VARCHAR), ',' ORDER BY node <> canonical, name, node) AS nodes FROM c GROUP BY canonical),
+gi AS (SELECT *, row_number() OVER (ORDER BY category, name, canonical) AS i FROM g),
+{_packed("gi", "2900", 60, "chunked")},
+ctx AS (SELECT batch AS chunk, sum(members) AS concepts, sum(tokens) + 200 AS prefix_tokens, least(900, 4000 - sum(tokens) - 200) AS finding_tokens FROM chunked GROUP BY batch)"""
+_BATCHES = f"""{_CHUNKS},
+fi AS (SELECT id AS finding_id, length(title) + length(description) AS tokens, row_number() OVER (ORDER BY id) AS i FROM audit_finding WHERE id NOT IN (SELECT audit_finding_id FROM finding_link_status)),
+cf AS (SELECT chunk AS grp, finding_id, tokens, i, finding_tokens AS room FROM fi, ctx),
+{_packed("cf", "room", 40, "packed")}"""
+
 QUERIES = {
+    "y06_link_contexts": (
+        lambda r: link_plan.contexts(link_plan.chunks(_candidates(r), LINK), LINK),
+        f"WITH RECURSIVE {_CHUNKS} SELECT chunk, concepts::BIGINT AS concepts, prefix_tokens::BIGINT AS prefix_tokens, finding_tokens::BIGINT AS finding_tokens FROM ctx",
+    ),
+    "y07_context_members": (
+        lambda r: link_plan.chunks(_candidates(r), LINK).select("chunk", "canonical", "tokens", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members")),
+        f"WITH RECURSIVE {_CHUNKS} SELECT batch AS chunk, canonical, tokens::BIGINT AS tokens, nodes AS members FROM chunked",
+    ),
+    "y08_link_batches": (
+        _batched,
+        f"WITH RECURSIVE {_BATCHES} SELECT grp AS chunk, batch, finding_id, tokens::INT AS tokens, (SELECT count(*) FROM ctx)::INT AS expected FROM packed",
+    ),
     "j03_first_category": (
         lambda r: rules.first_category(r["finding_taxonomy"].unionByName(r["finding_taxonomy"].select("audit_finding_id", (F.col("category_id") + 1).alias("category_id"), F.lit("later").alias("category")))),
         "SELECT audit_finding_id AS id, category FROM finding_taxonomy",
