@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import IN_PROJECT, rank, STRENGTHS
+from ..storage import cut
 from .graph import resolve, single_parent
-from .keep import strongest
+from .keep import first_by, strongest
+from .rules import first_category, one_category, scope_categories
 
 
 def folded(merges: DataFrame) -> DataFrame:
@@ -48,18 +50,21 @@ def with_children(nodes: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def pending_findings(findings: DataFrame, status: DataFrame, taxonomy: DataFrame, project_finding: DataFrame, project_category: DataFrame, merges: DataFrame) -> DataFrame:
-    """Findings without a link marker: taxonomy, canonical id and the sorted categories of their projects."""
-    waiting = findings.join(status.select(F.col("audit_finding_id").alias("id")), "id", "left_anti")
-    where = project_finding.join(project_category, "project_id").groupBy(F.col("audit_finding_id").alias("id")).agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    """Findings without a link marker: taxonomy, canonical id and the sorted categories of their projects.  A
+    finding, marked or not, that has no category or several raises."""
+    named = one_category(findings, taxonomy).withColumnRenamed("category", "taxonomy")
+    waiting = cut(named.join(status.select(F.col("audit_finding_id").alias("id")), "id", "left_anti"))
+    own = project_finding.join(waiting.select(F.col("id").alias("audit_finding_id")), "audit_finding_id", "left_semi")
+    where = own.join(project_category, "project_id").groupBy(F.col("audit_finding_id").alias("id")).agg(F.array_sort(F.collect_set("category")).alias("categories"))
     canonical = resolve(waiting, merges)
-    out = waiting.join(taxonomy.select(F.col("audit_finding_id").alias("id"), F.col("category").alias("taxonomy")), "id").join(where, "id", "left")
+    out = waiting.join(where, "id", "left")
     out = out.join(canonical, out["id"] == canonical["node"])
     return out.select("id", "title", "taxonomy", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), "canonical")
 
 
 def linked_findings(findings: DataFrame, status: DataFrame, taxonomy: DataFrame, merges: DataFrame) -> DataFrame:
     done = canonical_only(findings, merges).join(status.select(F.col("audit_finding_id").alias("id")), "id", "left_semi")
-    return done.join(taxonomy.select(F.col("audit_finding_id").alias("id"), F.col("category").alias("taxonomy")), "id")
+    return done.join(first_category(taxonomy).withColumnRenamed("category", "taxonomy"), "id")
 
 
 def processed_without_links(status: DataFrame, links: DataFrame, merges: DataFrame) -> DataFrame:
@@ -77,13 +82,20 @@ def link_candidates(nodes: DataFrame, merges: DataFrame, categories: list[str])
     return at.unionByName(at.select(F.col("canonical").alias("node"), "canonical")).distinct()
 
 
-def vulnerability_scope(links: DataFrame, findings: DataFrame, nodes: DataFrame, finding_merges: DataFrame, semantic_merges: DataFrame) -> DataFrame:
-    """Per canonical finding the sorted distinct names and categories of its canonical concepts."""
+def vulnerability_scope(
+    links: DataFrame, findings: DataFrame, nodes: DataFrame, finding_merges: DataFrame, semantic_merges: DataFrame, project_finding: DataFrame, project_category: DataFrame
+) -> DataFrame:
+    """Per canonical finding the sorted distinct names and categories of its canonical concepts; without
+    any, the categories of its first project, or Others."""
     f = resolve(findings, finding_merges, findings).select(F.col("node").alias("audit_finding_id"), F.col("canonical").alias("finding_id"))
     s = resolve(nodes, semantic_merges, nodes).select(F.col("node").alias("semantic_node_id"), F.col("canonical").alias("id"))
     pairs = links.select("semantic_node_id", "audit_finding_id").join(f, "audit_finding_id").join(s, "semantic_node_id").select("finding_id", "id").distinct()
     named = pairs.join(nodes.select("id", "name", "category"), "id")
-    return named.groupBy("finding_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("category")).alias("categories"))
+    own = named.groupBy(F.col("finding_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("category")).alias("categories"))
+    none = F.array().cast("array<string>")
+    every = canonical_only(findings, finding_merges).select("id").join(own, "id", "left").select("id", F.coalesce("names", none).alias("names"), F.coalesce("categories", none).alias("categories"))
+    filled = scope_categories(every.select("id", "categories"), project_finding, project_category)
+    return every.select("id", "names").join(filled, "id").withColumnRenamed("id", "finding_id")
 
 
 def scope_seed(nodes: DataFrame, merges: DataFrame, functions: DataFrame) -> DataFrame:
@@ -92,7 +104,9 @@ def scope_seed(nodes: DataFrame, merges: DataFrame, functions: DataFrame) -> Dat
 
 
 def link_fan_out(matched: DataFrame, extracts: DataFrame, nodes: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:
-    """Match, extract, concept, link and finding as one row for each (extract, concept, finding)."""
+    """Match, extract, concept, link and finding as one row for each (extract, concept, finding), of several
+    the first: matches and links are made unique before they meet."""
+    matched, links = first_by(matched, ["extract_id", "historical_id"]), first_by(links, ["semantic_node_id", "audit_finding_id"])
     m = matched.select("extract_id", "historical_id", F.col("strength").alias("match"))
     e = extracts.select(F.col("id").alias("extract_id"), F.col("name").alias("extract_name"))
     h = nodes.select(F.col("id").alias("historical_id"), F.col("name").alias("historical_name"))

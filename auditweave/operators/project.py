@@ -95,12 +95,15 @@ def completed_specs(code_gens: DataFrame) -> DataFrame:
 
 
 def hydrated_findings(reflections: DataFrame, runs: DataFrame, code_gens: DataFrame, specs: DataFrame) -> DataFrame:
-    """Valid findings with their run, code and specification."""
+    """Valid findings with their run, code and specification; one that misses any of them raises."""
     v = reflections.where("result = 'ValidFinding'").select(F.col("id").alias("reflection_id"), "run_id")
-    r = runs.select(F.col("id").alias("run_id"), "code_id")
-    c = code_gens.select(F.col("id").alias("code_id"), "spec_id")
-    s = specs.select(F.col("id").alias("spec_id"), "extract_id", "historical_id", "finding_id")
-    return v.join(r, "run_id").join(c, "code_id").join(s, "spec_id").select("reflection_id", "run_id", "code_id", "spec_id", "extract_id", "historical_id", "finding_id")
+    r = runs.select(F.col("id").alias("run_id"), "code_id", F.lit(True).alias("has_run"))
+    c = code_gens.select(F.col("id").alias("code_id"), "spec_id", F.lit(True).alias("has_code"))
+    s = specs.select(F.col("id").alias("spec_id"), "extract_id", "historical_id", "finding_id", F.lit(True).alias("has_spec"))
+    out = v.join(r, "run_id", "left").join(c, "code_id", "left").join(s, "spec_id", "left")
+    whole = F.col("has_run") & F.col("has_code") & F.col("has_spec")
+    checked = F.when(whole, F.col("reflection_id")).otherwise(F.raise_error(F.concat(F.lit("a valid finding misses its run, code or specification: "), F.col("reflection_id"))).cast("int"))
+    return out.select(checked.alias("reflection_id"), "run_id", "code_id", "spec_id", "extract_id", "historical_id", "finding_id")
 
 
 def assert_complete(rows: DataFrame, joined: DataFrame, key: str) -> None:

@@ -63,15 +63,17 @@ def rendered_or_raw(rendered: Column, raw: Column) -> Column:
 
 def batch_results(progress: DataFrame) -> DataFrame:
     """Links of findings whose every expected context is there and none failed.  ``progress`` has finding_id,
-    context, expected, failed, semantic_id and strength; a finding whose rows expect different numbers
-    raises.  Per (concept, finding) the strongest stays."""
+    target_id (the finding that links are written to), context, expected, failed, semantic_id, strength and
+    evidence; a finding of several targets raises.  Per (concept, finding) the strongest stays, of equals that of
+    the first context, with its own evidence."""
     of = progress.groupBy("finding_id").agg(
-        F.min("expected").alias("expected"), F.max("expected").alias("most"), F.countDistinct("context").alias("contexts"), F.bool_or("failed").alias("failed")
+        F.max("expected").alias("expected"), F.min("target_id").alias("target"), F.max("target_id").alias("other"), F.countDistinct("context").alias("contexts"), F.bool_or("failed").alias("failed")
     )
-    refuse(of.where("expected <> most").select("finding_id", "expected", "most"), "contexts expect different numbers")
+    refuse(of.where("target <> other").select("finding_id", "target", "other"), "a finding has several link targets")
     done = of.where("contexts = expected AND NOT failed").select("finding_id")
     own = progress.where("semantic_id IS NOT NULL").join(done, "finding_id")
-    return own.groupBy("semantic_id", "finding_id").agg(F.max_by("strength", rank("strength", STRENGTHS)).alias("strength"))
+    best = F.struct(rank("strength", STRENGTHS).alias("rank"), (-F.col("context")).alias("late"))
+    return own.groupBy("semantic_id", F.col("target_id").alias("finding_id")).agg(F.max_by(F.struct("strength", "evidence"), best).alias("b")).select("semantic_id", "finding_id", "b.*")
 
 
 def grouped_candidates(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,7 +129,8 @@ def runtime_gates(runs: DataFrame, sequence_overlap, most: float = 0.95) -> Data
 
 def record_operations(history: DataFrame, incoming: DataFrame) -> DataFrame:
     """History (id, type, args) with incoming (ord, type, args) whose type and arguments, equal as JSON, aren't there."""
-    same = lambda df: df.withColumn("json", F.to_json(F.parse_json("args")))  # noqa: E731  keys in order, no blanks
+    # keys in order and no blanks; the kinds of values too, since 1 and 1.0 are different arguments
+    same = lambda df: df.withColumn("json", F.concat_ws(" ", F.to_json(F.parse_json("args")), F.schema_of_variant(F.parse_json("args"))))
     new = same(incoming).groupBy("type", "json").agg(F.min(F.struct("ord", "args")).alias("first"))
     new = new.join(same(history).select("type", "json"), ["type", "json"], "left_anti").select("type", "first.ord", "first.args")
     return history.unionByName(with_new_ids(history, new, "ord").select(*history.columns))
@@ -164,8 +167,11 @@ def first_calls(recorded: DataFrame) -> DataFrame:
 
 def degrees(containers: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
     """Containers (id, is_interface, vendored) that aren't vendored, with their degree: calls out of their functions
-    and into them; that of an interface is 0.  ``functions``: id, owner_id; ``calls``: caller_id, callee_id."""
+    and into them, of calls that contracts make; that of an interface is 0.  ``functions``: id, owner_id; ``calls``:
+    caller_id, callee_id."""
     owner = functions.select(F.col("id").alias("function_id"), "owner_id")
+    made = owner.join(containers.where("NOT is_interface").select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
+    calls = calls.join(made.select(F.col("function_id").alias("caller_id")), "caller_id", "left_semi")
     ends = calls.select(F.col("caller_id").alias("function_id")).unionByName(calls.select(F.col("callee_id").alias("function_id")))
     counted = ends.groupBy("function_id").agg(F.count(F.lit(1)).alias("n")).join(owner, "function_id").groupBy(F.col("owner_id").alias("id")).agg(F.sum("n").alias("n"))
     out = containers.where("NOT vendored").join(counted, "id", "left")
@@ -232,12 +238,13 @@ def checked_int(c: Column) -> Column:
 
 
 def source_chunk(text: Column, start_line: Column, start_column: Column, end_line: Column, end_column: Column) -> Column:
-    """Characters between two places (lines from 1, columns from 0); raises where a place isn't in the text."""
+    """Characters between two places (lines from 1, columns from 0); a line's break belongs to it, so the column
+    after it is a place too; raises where a place isn't in the text."""
     lines = F.split(text, "\n", -1)
 
     def at(line: Column, column: Column) -> Column:
         before = F.aggregate(F.slice(lines, 1, line - 1), F.lit(0), lambda s, x: s + F.char_length(x) + 1)
-        there = (line >= 1) & (line <= F.size(lines)) & (column >= 0) & (column <= F.char_length(F.get(lines, line - 1)))
+        there = (line >= 1) & (line <= F.size(lines)) & (column >= 0) & (column <= F.char_length(F.get(lines, line - 1)) + (line < F.size(lines)).cast("int"))
         return F.when(there, before + column).otherwise(F.raise_error(F.lit("a place isn't in the text")).cast("int"))
 
     a, b = at(start_line, start_column), at(end_line, end_column)
@@ -282,16 +289,6 @@ def write_regeneration(specs: DataFrame, codes: DataFrame, runs: DataFrame, spec
     )
 
 
-def copy_tables(tables: dict[str, DataFrame], to: str, optional: tuple[str, ...] = ("pending_semantic",), wanted: tuple[str, ...] = ()) -> list[str]:
-    """Tables replaced by another graph's; a wanted one that isn't there raises unless it is optional."""
-    missing = [n for n in wanted if n not in tables and n not in optional]
-    if missing:
-        raise ValueError(f"no table {', '.join(missing)}")
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{to}/{name}.parquet")
-    return sorted(tables)
-
-
 def schema_probe(spark, names: list[str]) -> dict[str, bool]:
     """Which tables the catalog has."""
     return {n: spark.catalog.tableExists(n) for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.enums import STRENGTHS, at_least, rank
-from ..operators import graph, integrity, keep, knowledge, stats
+from ..operators import graph, integrity, keep, knowledge, rules, stats
 
 _RANK = "CASE strength WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END"
 #: Edges followed to their end; a cycle ends at the first repeated node.
@@ -30,6 +30,12 @@ def _lists(df, *columns):
 
 _CANON = "SELECT n.* FROM semantic_node n WHERE n.id NOT IN (SELECT from_id FROM semantic_merge)"
 
+def _every_category(r):
+    """The taxonomy, with an entry of its own for findings that have none: the work list refuses those."""
+    none = r["audit_finding"].select(F.col("id").alias("audit_finding_id")).join(r["finding_taxonomy"].select("audit_finding_id"), "audit_finding_id", "left_anti")
+    return r["finding_taxonomy"].unionByName(none.select("audit_finding_id", F.lit(-1).alias("category_id"), F.lit("unsorted").alias("category")))
+
+
 QUERIES = {
     "s02_seed_dimensions": (
         lambda r: r["semantic_node"].select("category").distinct().withColumn("known", F.lit(True)),
@@ -86,7 +92,7 @@ QUERIES = {
         LEFT JOIN semantic_merge m ON m.to_id = c.id LEFT JOIN semantic_node k ON k.id = m.from_id GROUP BY c.id""",
     ),
     "j03_findings_with_taxonomy": (
-        lambda r: knowledge.canonical_only(r["audit_finding"], r["finding_merge"]).join(r["finding_taxonomy"].withColumnRenamed("audit_finding_id", "id"), "id").join(
+        lambda r: knowledge.canonical_only(r["audit_finding"], r["finding_merge"]).join(rules.first_category(r["finding_taxonomy"]), "id").join(
             r["finding_merge"].groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("children")), "id", "left"
         ).select("id", "title", "category", F.coalesce("children", F.lit(0)).alias("children")),
         """SELECT f.id, title, t.category, (SELECT count(*) FROM finding_merge m WHERE m.to_id = f.id) AS children
@@ -101,10 +107,10 @@ QUERIES = {
         "SELECT to_id, from_id, title, root_cause FROM finding_merge JOIN audit_finding ON from_id = id",
     ),
     "j06_pending_findings": (
-        lambda r: _lists(knowledge.pending_findings(r["audit_finding"], r["finding_link_status"], r["finding_taxonomy"], r["project_finding"], r["project_category"], r["finding_merge"]), "categories"),
+        lambda r: _lists(knowledge.pending_findings(r["audit_finding"], r["finding_link_status"], _every_category(r), r["project_finding"], r["project_category"], r["finding_merge"]), "categories"),
         f"""WITH RECURSIVE {_walk("audit_finding", "finding_merge")},
         cats AS (SELECT audit_finding_id, string_agg(DISTINCT category, '|' ORDER BY category) AS categories FROM project_finding JOIN project_category USING (project_id) GROUP BY 1)
-        SELECT f.id, title, t.category AS taxonomy, coalesce(categories, '') AS categories, canonical FROM audit_finding f JOIN finding_taxonomy t ON t.audit_finding_id = f.id
+        SELECT f.id, title, coalesce(t.category, 'unsorted') AS taxonomy, coalesce(categories, '') AS categories, canonical FROM audit_finding f LEFT JOIN finding_taxonomy t ON t.audit_finding_id = f.id
         JOIN res ON res.node = f.id LEFT JOIN cats ON cats.audit_finding_id = f.id WHERE f.id NOT IN (SELECT audit_finding_id FROM finding_link_status)""",
     ),
     "j07_linked_findings": (
@@ -132,10 +138,14 @@ QUERIES = {
         FROM ({_CANON}) c LEFT JOIN semantic_function f ON f.semantic_node_id = c.id GROUP BY c.id""",
     ),
     "j12_vulnerability_scope": (
-        lambda r: _lists(knowledge.vulnerability_scope(r["sfl"], r["audit_finding"], r["semantic_node"], r["finding_merge"], r["semantic_merge"]), "names", "categories"),
-        f"""WITH RECURSIVE {_walk("audit_finding", "finding_merge", "rf", True)}, {_walk("semantic_node", "semantic_merge", "rs", True)}
-        SELECT rf.canonical AS finding_id, string_agg(DISTINCT n.name, '|' ORDER BY n.name) AS names, string_agg(DISTINCT n.category, '|' ORDER BY n.category) AS categories
-        FROM sfl JOIN rf ON rf.node = audit_finding_id JOIN rs ON rs.node = semantic_node_id JOIN semantic_node n ON n.id = rs.canonical GROUP BY 1""",
+        lambda r: _lists(knowledge.vulnerability_scope(r["sfl"], r["audit_finding"], r["semantic_node"], r["finding_merge"], r["semantic_merge"], r["project_finding"], r["project_category"]), "names", "categories"),
+        f"""WITH RECURSIVE {_walk("audit_finding", "finding_merge", "rf", True)}, {_walk("semantic_node", "semantic_merge", "rs", True)},
+        own AS (SELECT rf.canonical AS id, string_agg(DISTINCT n.name, '|' ORDER BY n.name) AS names, string_agg(DISTINCT n.category, '|' ORDER BY n.category) AS categories
+          FROM sfl JOIN rf ON rf.node = audit_finding_id JOIN rs ON rs.node = semantic_node_id JOIN semantic_node n ON n.id = rs.canonical GROUP BY 1),
+        p AS (SELECT audit_finding_id AS id, min(project_id) AS project_id FROM project_finding GROUP BY 1),
+        l AS (SELECT project_id, string_agg(DISTINCT category, '|' ORDER BY category) AS cats FROM project_category GROUP BY 1)
+        SELECT f.id AS finding_id, coalesce(names, '') AS names, coalesce(categories, cats, 'Others') AS categories
+        FROM audit_finding f LEFT JOIN own USING (id) LEFT JOIN p USING (id) LEFT JOIN l USING (project_id) WHERE f.id NOT IN (SELECT from_id FROM finding_merge)""",
     ),
     "j14_provenance": (
         lambda r: _lists(r["project_semantic"].groupBy("semantic_node_id").agg(F.array_sort(F.collect_list("project_id")).alias("projects")), "projects"),

@@ -8,8 +8,8 @@ from ..functions.enums import REGEN, REPORTABLE
 from ..operators import graph, integrity, keep, project
 from ..streaming import events as stream
 
-_HYDRATED = """SELECT f.id AS reflection_id, h.id AS run_id, c.id AS code_id, s.id AS spec_id, s.extract_id, s.historical_id, s.finding_id FROM reflection f JOIN harness_run h ON h.id = f.run_id
-JOIN code_gen c ON c.id = h.code_id JOIN specification s ON s.id = c.spec_id WHERE f.result = 'ValidFinding'"""
+_HYDRATED = """SELECT f.id AS reflection_id, h.id AS run_id, c.id AS code_id, c.spec_id, s.extract_id, s.historical_id, s.finding_id FROM reflection f JOIN harness_run h ON h.id = f.run_id
+JOIN code_gen c ON c.id = h.code_id LEFT JOIN specification s ON s.id = c.spec_id WHERE f.result = 'ValidFinding'"""
 _UP = "up AS (SELECT contract_id AS node, inherited_id AS a FROM contract_inherit UNION SELECT u.node, c.inherited_id FROM up u JOIN contract_inherit c ON c.contract_id = u.a)"
 
 
@@ -33,6 +33,13 @@ JOIN specification s ON s.id = m.from_id LEFT JOIN semantic_matched x ON x.extra
 LEFT JOIN sfl l ON l.semantic_node_id = s.historical_id AND l.audit_finding_id = s.finding_id)"""
 _SEV = "CASE severity WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 WHEN 'Informational' THEN 1 ELSE 0 END"
 
+def every_spec(r):
+    """Specifications, with one without content for code whose specification the tables don't hold: hydration refuses those."""
+    s = r["specification"]
+    gone = r["code_gen"].select(F.col("spec_id").alias("id")).distinct().join(s.select("id"), "id", "left_anti")
+    return s.unionByName(gone.select("id", *[F.lit(None).cast(s.schema[c].dataType).alias(c) for c in s.columns if c != "id"]))
+
+
 QUERIES = {
     "f08_regen_verdicts": (
         lambda r: r["reflection"].where(F.col("result").isin(*REGEN)).select("id", "result"),
@@ -61,7 +68,7 @@ QUERIES = {
         count(*) FILTER (status = 'Completed' AND violated AND h.id NOT IN (SELECT run_id FROM reflection)) AS selected FROM harness_run h JOIN code_gen c ON c.id = code_id""",
     ),
     "j17_hydrated_findings": (
-        lambda r: project.hydrated_findings(r["reflection"], r["harness_run"], r["code_gen"], r["specification"]),
+        lambda r: project.hydrated_findings(r["reflection"], r["harness_run"], r["code_gen"], every_spec(r)),
         _HYDRATED,
     ),
     "j18_unreviewed": (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.enums import REVIEW_SEVERITIES, rank, trim_all
 from ..operators import graph, keep, knowledge, project, state
+from .project_queries import every_spec
 
 _CANON = "SELECT n.* FROM semantic_node n WHERE n.id NOT IN (SELECT from_id FROM semantic_merge)"
 _SEV = "CASE severity WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 WHEN 'Informational' THEN 1 ELSE 0 END"
@@ -68,7 +69,7 @@ QUERIES = {
         "SELECT id AS pos, title, 'Services' AS category FROM audit_finding WHERE id % 3 = 0",
     ),
     "j34_reproduced": (
-        lambda r: r["specification"].select("id", "extract_id").join(project.hydrated_findings(r["reflection"], r["harness_run"], r["code_gen"], r["specification"]).groupBy(F.col("spec_id").alias("id")).agg(_ordered("reflection_id", "reflection_id").alias("ids")), "id", "left").select("id", F.col("ids").isNotNull().alias("reproduced"), F.coalesce("ids", F.lit("")).alias("ids")),
+        lambda r: r["specification"].select("id", "extract_id").join(project.hydrated_findings(r["reflection"], r["harness_run"], r["code_gen"], every_spec(r)).groupBy(F.col("spec_id").alias("id")).agg(_ordered("reflection_id", "reflection_id").alias("ids")), "id", "left").select("id", F.col("ids").isNotNull().alias("reproduced"), F.coalesce("ids", F.lit("")).alias("ids")),
         """WITH v AS (SELECT c.spec_id, string_agg(f.id::VARCHAR, ',' ORDER BY f.id) AS ids FROM reflection f JOIN harness_run h ON h.id = f.run_id JOIN code_gen c ON c.id = h.code_id JOIN specification s ON s.id = c.spec_id WHERE f.result = 'ValidFinding' GROUP BY 1)
         SELECT s.id, ids IS NOT NULL AS reproduced, coalesce(ids, '') AS ids FROM specification s LEFT JOIN v ON v.spec_id = s.id""",
     ),

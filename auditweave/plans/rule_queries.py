@@ -8,36 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import code, link_plan, rules
 from ..functions import text as t
 
-#: Small tables that both engines read as they are.
-FIXTURES = {
-    "progress": "(VALUES (1, 'a', 2, false, 10, 'Low'), (1, 'b', 2, false, 10, 'High'), (1, 'b', 2, false, 11, 'Medium'), (2, 'a', 2, false, 10, 'High'), (3, 'a', 1, true, 10, 'High'), (4, 'a', 1, false, NULL, NULL), (5, 'x', 1, false, 12, 'Medium'), (5, 'x', 1, false, 12, 'Low')) AS t(finding_id, context, expected, failed, semantic_id, strength)",
-    "history": """(VALUES (1, 'import', '{"a": 1, "b": [1, 2]}'), (2, 'link', '{"a": 1}'), (3, 'merge', 'null')) AS t(id, type, args)""",
-    "operations": """(VALUES (1, 'import', '{"b":[1,2],"a":1}', true), (2, 'import', '{"b":[2,1],"a":1}', false), (3, 'import', '{"a":1, "b": [2, 1]}', true), (4, 'merge', '{"a":1}', false), (5, 'link', ' {"a" : 1} ', true), (6, 'merge', 'null', true)) AS t(ord, type, args, known)""",
-    "places": "(VALUES (1, 1, 0, 3, 1), (2, 2, 4, 2, 1), (3, 0, 0, 1, 0), (4, 5, 0, 4, 9), (5, 7, 3, 7, 3), (5, 8, 0, 9, 0)) AS t(id, start_line, start_column, end_line, end_column)",
-    "held": "(VALUES (1, 1, 1, 2), (2, 1, 2, 3), (3, 2, 2, 99), (3, 4, 4, 1), (4, 5, 5, NULL)) AS t(id, holder_id, from_id, to_id)",
-    "core": "(VALUES (0, 'Vault', './src/Vault.sol'), (1, 'Pool', ''), (2, 'Router', 'src/R.sol'), (3, 'Vault', 'src/other/Vault.sol')) AS t(pos, name, path)",
-    "parts": "(VALUES (1, 'Vault', 'src/Vault.sol'), (2, 'Vault', 'src/Copy.sol'), (3, 'Pool', 'src/Pool.sol'), (4, 'Router', 'lib/R.sol'), (5, 'Other', 'src/R.sol'), (6, 'None', 'src/N.sol')) AS t(id, name, path)",
-    "asked": "(VALUES (1, 1, NULL), (1, 2, NULL), (2, 1, 7), (2, 2, 7), (3, 1, 7), (3, 2, 9), (4, 1, NULL), (4, 2, 5)) AS t(item, chunk, target)",
-    "titles": "(VALUES (1, 'Fee On Transfer'), (2, '  --  '), (3, 'Ünïcode tokens & 1,000 more'), (4, 'A very long title that goes on and on, far past forty-eight characters'), (5, ''), (6, 'forty-seven characters and then a dash come h - x')) AS t(id, title)",
-    "labels_in": "(VALUES (1, 'aa bb cc dd'), (2, '  '), (3, 'toolongword x'), (4, 'é é é'), (5, NULL), (6, ' a  b\\nc ')) AS t(id, text)",
-    "offsets": "(VALUES (1, 'abc\\ndef\\nghi', 4), (2, 'abc\\ndef\\nghi', 8), (3, 'abc\\ndef\\nghi', 6), (4, 'abc\\ndef\\nghi', 11), (5, 'é\\nx', 2), (6, 'é\\nx', 3), (7, '', 0)) AS t(id, text, at)",
-    "cuts": "(VALUES (1, 'abcde'), (2, 'abcdé'), (3, 'éabcd'), (4, '𝄞𝄞'), (5, ''), (6, NULL), (7, 'abcd��')) AS t(id, text)",
-    "names": "(VALUES (1, 'DeFi Lending / v2'), (2, '  '), (3, 'Ünï-x'), (4, '__A__b__'), (5, ''), (6, NULL)) AS t(id, name)",
-    "long_labels": "(VALUES (1, 'a\\r\\nb\\n'), (2, 'a\\n\\nb'), (3, repeat('é', 121)), (4, repeat('é', 120)), (5, ''), (6, 'a\\n\\n')) AS t(id, text)",
-    "tests": "(VALUES (1, 1, 'Failure', 'setUp()', NULL), (2, 1, 'Failure', 'testA', 'FAILED to Set Up: x'), (3, 1, 'Success', 'setUp()', 'failed to set up'), (4, 2, 'Failure', 'testB', ''), (5, 2, 'Failure', 'testC', 'overflow'), (6, 2, 'Failure', 'testD', 'later'), (7, 3, NULL, 'setUp()', NULL)) AS t(id, run, status, test, reason)",
-    "kinds": """(VALUES (1, '{"Invariant": {"runs": 3, "calls": 40, "reverts": 5}}'), (2, '{"Invariant": {"runs": 3}}'), (3, '{"Unit": {"gas": 9}}'), (4, '{"Invariant": {"runs": "3"}}'), (5, '{"Invariant": 7}'), (6, 'not JSON'), (7, NULL)) AS t(id, kind)""",
-    "rendered": "(VALUES (1, 'told', 'raw 1'), (2, ' ', 'raw 2'), (3, NULL, 'raw 3'), (4, '', NULL)) AS t(id, rendered, raw)",
-}
-
-
-def fx(r, name: str):
-    return r.spark.sql(f"SELECT * FROM {FIXTURES[name]}")
-
-
-def _in(name: str) -> str:
-    return f"(SELECT * FROM {FIXTURES[name]})"
-
-
 def _runs(r):
     """Runs with every stage of the gate: by id failed set-ups, reverts, counterexamples near and far."""
     def steps(cond, name: str):
@@ -66,7 +36,7 @@ def _degrees(r):
 
 def _scope(r):
     own = r["audit_finding"].select("id", F.when(F.col("id") % 2 == 0, F.array("severity")).otherwise(F.array().cast("array<string>")).alias("categories"))
-    return rules.scope_categories(own, r["project_finding"].where("project_id % 3 = 0"), r["project_category"]).select("id", F.concat_ws("|", "categories").alias("categories"))
+    return rules.scope_categories(own, r["project_finding"], r["project_category"]).select("id", F.concat_ws("|", "categories").alias("categories"))
 
 
 def _chunk(r):
@@ -75,6 +45,27 @@ def _chunk(r):
     return d.select("doc_id", F.md5(cut).alias("chunk"))
 
 
+def _progress(r):
+    """Lines as results of contexts: a context more is expected of some orders, and lines of large quantity failed."""
+    lines = r["lineitem"].select(
+        F.col("l_orderkey").cast("int").alias("finding_id"), F.floor(F.col("l_orderkey") / 4).cast("int").alias("target_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("context"), (F.col("l_quantity") > 49).alias("failed"),
+        F.col("l_partkey").cast("int").alias("semantic_id"), F.when(F.col("l_returnflag") == "R", "High").when(F.col("l_returnflag") == "A", "Medium").otherwise("Low").alias("strength"), F.col("l_suppkey").cast("string").alias("evidence"),
+    )
+    expected = lines.groupBy("finding_id").agg((F.countDistinct("context") + F.when(F.col("finding_id") % 9 == 0, 1).otherwise(0)).alias("expected"))
+    return lines.join(expected, "finding_id")
+
+
+def _core(r):
+    n = F.col("n_nationkey")
+    path = F.when(n % 3 == 0, F.concat(F.lit("./src/BUILDING/C"), n * 5, F.lit(".sol"))).when(n % 3 == 1, "").otherwise("src/nowhere.sol")
+    return r["nation"].select(n.alias("pos"), F.concat(F.lit("C"), n * 5).alias("name"), path.alias("path"))
+
+
+def _tests(r):
+    reason = F.when(F.col("id") % 17 == 0, F.concat(F.lit("Failed to SET up "), "id")).otherwise(F.col("reason"))
+    return r["harness_run"].select("id", "code_id", F.when(F.col("violated"), "Failure").otherwise("Success").alias("status"), F.when(F.col("id") % 3 == 0, "setUp()").otherwise("testRun").alias("test"), reason.alias("reason"))
+
+
 def _reflections(r):
     there = r["reflection"].select("id", "run_id", "result", "claim")
     new = r["harness_run"].where("id % 2 = 1").select(
@@ -162,23 +153,25 @@ QUERIES = {
     ),
     "j12_category_fallback": (
         _scope,
-        """WITH p AS (SELECT audit_finding_id, min(project_id) AS project_id FROM project_finding WHERE project_id % 3 = 0 GROUP BY 1),
+        """WITH p AS (SELECT audit_finding_id, min(project_id) AS project_id FROM project_finding GROUP BY 1),
         l AS (SELECT project_id, string_agg(DISTINCT category, '|' ORDER BY category) AS cats FROM project_category GROUP BY 1)
         SELECT id, CASE WHEN id % 2 = 0 THEN severity ELSE coalesce(cats, 'Others') END AS categories FROM audit_finding LEFT JOIN p ON p.audit_finding_id = id LEFT JOIN l USING (project_id)""",
     ),
     "j15_rendered_or_raw": (
-        lambda r: fx(r, "rendered").select("id", F.coalesce(rules.rendered_or_raw(F.col("rendered"), F.col("raw")), F.lit("none")).alias("text")),
-        "SELECT * FROM (VALUES (1, 'told'), (2, 'raw 2'), (3, 'raw 3'), (4, 'none')) AS t(id, text)",
+        lambda r: r["reflection"].select("id", rules.rendered_or_raw(F.col("claim"), F.col("result")).alias("told")),
+        "SELECT id, CASE WHEN trim(coalesce(claim, '')) <> '' THEN claim ELSE result END AS told FROM reflection",
     ),
     "j17_complete_runs": (
         lambda r: rules.complete_or_raise(r["reflection"].select("id", "run_id"), r["harness_run"], "run_id", "id"),
         "SELECT id, run_id FROM reflection WHERE run_id IN (SELECT id FROM harness_run)",
     ),
     "w04_batch_results": (
-        lambda r: rules.batch_results(fx(r, "progress")),
-        f"""WITH p AS {_in("progress")}, ok AS (SELECT finding_id FROM p GROUP BY 1 HAVING count(DISTINCT context) = max(expected) AND NOT bool_or(failed))
-        SELECT semantic_id, finding_id, CASE max(CASE strength WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS strength
-        FROM p JOIN ok USING (finding_id) WHERE semantic_id IS NOT NULL GROUP BY 1, 2""",
+        lambda r: rules.batch_results(_progress(r)),
+        f"""WITH p AS (SELECT l_orderkey AS finding_id, l_orderkey // 4 AS target_id, l_linenumber AS context, l_partkey AS semantic_id, l_shipdate AS d, CAST(l_suppkey AS VARCHAR) AS evidence, l_quantity > 49 AS failed,
+          CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END AS k, count(DISTINCT l_linenumber) OVER (PARTITION BY l_orderkey) + CAST(l_orderkey % 9 = 0 AS INT) AS expected FROM lineitem),
+        ok AS (SELECT finding_id FROM p GROUP BY 1 HAVING count(DISTINCT context) = max(expected) AND NOT bool_or(failed)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY semantic_id, finding_id // 4 ORDER BY k DESC, finding_id * 10 + context) AS rn FROM p JOIN ok USING (finding_id))
+        SELECT semantic_id::INT AS semantic_id, target_id::INT AS finding_id, CASE k WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS strength, evidence FROM b WHERE rn = 1""",
     ),
     "w13_grouped_candidates": (
         lambda r: rules.grouped_candidates(r["semantic_merge"].select(F.col("from_id").alias("node"), F.col("to_id").alias("canonical")).unionByName(r["semantic_merge"].select(F.col("to_id").alias("node"), F.col("to_id").alias("canonical")).distinct()).join(r["semantic_node"].select(F.col("id").alias("canonical")), "canonical", "left_semi"), r["semantic_node"]).select("canonical", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members")),
@@ -186,8 +179,9 @@ QUERIES = {
         SELECT canonical, string_agg(node::VARCHAR, ',' ORDER BY node <> canonical, name, node) AS members FROM c JOIN semantic_node n ON n.id = node WHERE canonical IN (SELECT id FROM semantic_node) GROUP BY 1""",
     ),
     "u14_json_operations": (
-        lambda r: rules.record_operations(fx(r, "history"), fx(r, "operations")).select("id", "type", "args"),
-        f"""SELECT id, type, args FROM {_in("history")} UNION ALL SELECT 3 + row_number() OVER (ORDER BY ord), type, args FROM {_in("operations")} WHERE NOT known""",
+        lambda r: rules.record_operations(r["operation_history"].where("id % 2 = 0").select("id", "type", "args"), r["operation_history"].select((F.col("id") + 7).alias("ord"), "type", "args")),
+        """WITH h AS (SELECT id, type, args FROM operation_history WHERE id % 2 = 0), n AS (SELECT type, args, min(id) AS o FROM operation_history WHERE (type, args) NOT IN (SELECT type, args FROM h) GROUP BY 1, 2)
+        SELECT id, type, args FROM h UNION ALL SELECT (SELECT max(id) FROM h) + row_number() OVER (ORDER BY o), type, args FROM n""",
     ),
     "u17_regenerated_runs": (
         _regeneration,
@@ -221,8 +215,15 @@ QUERIES = {
           WHEN violated AND id % 5 <> 0 AND id % 13 <> 0 AND id % 3 <> 0 THEN 'disjoint' ELSE '' END AS why FROM harness_run) x""",
     ),
     "g12_call_graph_problems": (
-        lambda r: rules.call_graph_problems(fx(r, "places"), fx(r, "held")),
-        "SELECT * FROM (VALUES ('repeated function', 5), ('repeated call', 3), ('held elsewhere', 2), ('missing target', 3), ('missing target', 4), ('bad place', 2), ('bad place', 3), ('bad place', 4)) AS t(problem, id)",
+        lambda r: rules.call_graph_problems(
+            r["function_t"].select("id", (F.col("start_line") / 10 - 1).cast("int").alias("start_line"), F.lit(4).alias("start_column"), ((F.col("start_line") / 10 - 1) + F.col("id") % 3 - 1).cast("int").alias("end_line"), (F.col("id") % 7).cast("int").alias("end_column")),
+            r["lineitem"].select((F.col("l_orderkey") * 10 + F.col("l_linenumber") % 5).alias("id"), (F.col("l_orderkey") % 2000).alias("holder_id"), F.when(F.col("l_linenumber") == 7, F.col("l_suppkey")).otherwise(F.col("l_orderkey") % 2000).alias("from_id"),
+                                 F.when(F.col("l_quantity") > 49, -1).otherwise(F.col("l_partkey")).alias("to_id")),
+        ),
+        """WITH f AS (SELECT id, start_line // 10 - 1 AS a, 4 AS ac, start_line // 10 - 1 + id % 3 - 1 AS b, id % 7 AS bc FROM function_t),
+        c AS (SELECT l_orderkey * 10 + l_linenumber % 5 AS id, l_orderkey % 2000 AS h, CASE WHEN l_linenumber = 7 THEN l_suppkey ELSE l_orderkey % 2000 END AS s, CASE WHEN l_quantity > 49 THEN -1 ELSE l_partkey END AS t FROM lineitem)
+        SELECT 'repeated call' AS problem, id FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'held elsewhere', id FROM c WHERE h <> s
+        UNION ALL SELECT DISTINCT 'missing target', id FROM c WHERE t NOT IN (SELECT id FROM f) UNION ALL SELECT 'bad place', id FROM f WHERE a < 1 OR b < a OR (b = a AND bc < ac)""",
     ),
     "y01_resident_sources": (
         _resident,
@@ -234,12 +235,13 @@ QUERIES = {
     ),
     "y02_container_degrees": (
         _degrees,
-        """WITH e AS (SELECT caller_id AS f FROM function_call UNION ALL SELECT callee_id FROM function_call), d AS (SELECT owner_id, count(*) AS n FROM e JOIN function_t ON id = f GROUP BY 1)
+        """WITH k AS (SELECT * FROM function_call WHERE caller_id IN (SELECT f.id FROM function_t f JOIN contract c ON c.id = owner_id WHERE c.id % 3 <> 1)), e AS (SELECT caller_id AS f FROM k UNION ALL SELECT callee_id FROM k), d AS (SELECT owner_id, count(*) AS n FROM e JOIN function_t ON id = f GROUP BY 1)
         SELECT id, CASE WHEN id % 3 = 1 THEN 0 ELSE coalesce(n, 0) END AS degree FROM contract LEFT JOIN d ON owner_id = id WHERE id % 9 <> 0""",
     ),
     "y03_core_ranks": (
-        lambda r: rules.core_ranks(fx(r, "parts"), fx(r, "core")).select("id", "core_rank"),
-        "SELECT * FROM (VALUES (1, 0), (2, 0), (3, 1), (4, 2), (5, 2), (6, 2147483647)) AS t(id, core_rank)",
+        lambda r: rules.core_ranks(r["contract"].select("id", "name", "path"), _core(r)).select("id", "core_rank"),
+        """WITH core AS (SELECT n_nationkey AS pos, concat('C', n_nationkey * 5) AS name, CASE n_nationkey % 3 WHEN 0 THEN concat('src/BUILDING/C', n_nationkey * 5, '.sol') WHEN 1 THEN '' ELSE 'src/nowhere.sol' END AS path FROM nation)
+        SELECT id, coalesce(least((SELECT min(pos) FROM core k WHERE k.path <> '' AND k.path = c.path), (SELECT min(pos) FROM core k WHERE k.path = '' AND k.name = c.name)), (SELECT min(pos) FROM core k WHERE k.name = c.name), 2147483647) AS core_rank FROM contract c""",
     ),
     "y04_window_split": (
         lambda r: r["orders"].select("o_orderkey", *[c.alias(n) for c, n in zip(rules.split_window((F.col("o_custkey") * 10).cast("long"), (F.col("o_orderkey") % 11) / 10), ("new_items", "candidates"), strict=True)]),
@@ -247,12 +249,13 @@ QUERIES = {
         FROM (SELECT o_orderkey, o_custkey * 10 AS u, o_orderkey % 11 AS k FROM orders) x) y""",
     ),
     "y05_slugs": (
-        lambda r: fx(r, "titles").select("id", rules.slug(F.col("title")).alias("slug")),
-        "SELECT * FROM (VALUES (1, 'fee-on-transfer'), (2, 'project'), (3, 'n-code-tokens-1-000-more'), (4, 'a-very-long-title-that-goes-on-and-on-far-past-f'), (5, 'project'), (6, 'forty-seven-characters-and-then-a-dash-come-h-x')) AS t(id, slug)",
+        lambda r: r["documents"].select("doc_id", rules.slug(F.coalesce("text", F.lit(""))).alias("slug")),
+        """SELECT doc_id, CASE WHEN s = '' THEN 'project' ELSE s END AS slug FROM (SELECT doc_id, trim(left(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', '-', 'g')), 48), '-') AS s FROM documents) x""",
     ),
     "y14_merge_choices": (
-        lambda r: rules.merge_choices(fx(r, "asked")).select("item", "choice", F.concat_ws(",", F.transform("targets", lambda x: x.cast("string"))).alias("targets")),
-        "SELECT * FROM (VALUES (1, 'new', ''), (2, 'merge', '7'), (3, 'ask again', '7,9'), (4, 'merge', '5')) AS t(item, choice, targets)",
+        lambda r: rules.merge_choices(r["lineitem"].select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("chunk"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 3).alias("target"))).select("item", "choice", F.concat_ws(",", F.transform("targets", lambda x: x.cast("string"))).alias("targets")),
+        """SELECT item, CASE len(t) WHEN 0 THEN 'new' WHEN 1 THEN 'merge' ELSE 'ask again' END AS choice, array_to_string(t, ',') AS targets
+        FROM (SELECT l_orderkey AS item, coalesce(list_sort(list(DISTINCT l_partkey % 3) FILTER (l_returnflag = 'R')), []) AS t FROM lineitem GROUP BY 1) x""",
     ),
     "y17_external_summary": (
         lambda r: r["audit_finding"].agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "High").alias("grounded"), F.count_if(F.col("severity") != "High").alias("skipped")),
@@ -268,18 +271,17 @@ QUERIES = {
         FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) x) y""",
     ),
     "x20_wrapped_labels": (
-        lambda r: fx(r, "labels_in").select("id", t.wrap_label(F.col("text"), 5).alias("label")),
-        r"SELECT * FROM (VALUES (1, E'aa bb\ncc dd'), (2, '  '), (3, E'toolongword\nx'), (4, E'é é\né'), (5, NULL), (6, 'a b c')) AS t(id, label)",
+        lambda r: r["part"].select("p_partkey", t.wrap_label(F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name"), 14).alias("label")),
+        """SELECT p_partkey, list_reduce(string_split(concat_ws(' ', p_name, p_type, p_brand, p_name), ' '), lambda a, w: CASE WHEN strlen(string_split(a, chr(10))[-1]) + 1 + strlen(w) <= 14 THEN concat(a, ' ', w) ELSE concat(a, chr(10), w) END) AS label FROM part""",
     ),
     "x24_line_columns": (
-        lambda r: fx(r, "offsets").select("id", t.line_column(F.col("text"), F.col("at")).alias("p")).select("id", "p.line", "p.column"),
-        'SELECT * FROM (VALUES (1, 2, 0), (2, 3, 0), (3, 2, 2), (4, 3, 3), (5, 1, 1), (6, 2, 0), (7, 1, 0)) AS t(id, line, "column")',
+        lambda r: r["documents"].where("text IS NOT NULL").select("doc_id", t.line_column(F.col("text"), F.octet_length("text")).alias("p")).select("doc_id", "p.line", "p.column"),
+        'SELECT doc_id, len(string_split(text, chr(10))) AS line, length(string_split(text, chr(10))[-1]) AS "column" FROM documents WHERE text IS NOT NULL',
     ),
     "x25_byte_cuts": (
-        lambda r: fx(r, "cuts").select("id", t.head_bytes(F.col("text"), 5).alias("head"), t.tail_bytes(F.col("text"), 5).alias("tail"), t.tail_bytes(F.col("text"), 5, note=False).alias("bare")),
-        r"""SELECT * FROM (VALUES (1, 'abcde', 'abcde', 'abcde'), (2, 'abcd … [2 bytes truncated]', E'…[1 bytes earlier]\nbcdé', 'bcdé'),
-        (3, 'éabc … [1 bytes truncated]', E'…[1 bytes earlier]\nabcd', 'abcd'), (4, '𝄞 … [4 bytes truncated]', E'…[3 bytes earlier]\n𝄞', '𝄞'), (5, '', '', ''), (6, NULL, NULL, NULL),
-        (7, 'abcd … [6 bytes truncated]', E'…[5 bytes earlier]\n�', '�')) AS t(id, head, tail, bare)""",
+        lambda r: r["documents"].where("text IS NOT NULL").select("doc_id", F.md5(t.head_bytes(F.col("text"), 300)).alias("head")),
+        """SELECT doc_id, md5(CASE WHEN strlen(text) <= 300 THEN text ELSE concat(h, ' … [', strlen(text) - strlen(h), ' bytes truncated]') END) AS head
+        FROM (SELECT doc_id, text, left(text, list_max(list_filter(range(0, 301), lambda k: strlen(left(t3, k)) <= 300 AND k <= length(t3)))) AS h FROM (SELECT doc_id, text, left(text, 300) AS t3 FROM documents WHERE text IS NOT NULL) x) y""",
     ),
     "x25_document_cuts": (
         lambda r: r["documents"].where("text IS NOT NULL").select("doc_id", F.octet_length(t.tail_bytes(F.col("text"), 101, note=False)).alias("n"), F.md5(t.tail_bytes(F.col("text"), 400, note=False)).alias("tail")).select("doc_id", F.col("n").between(0, 101).alias("short"), "tail"),
@@ -287,28 +289,32 @@ QUERIES = {
         FROM (SELECT doc_id, text, right(text, 400) AS t4 FROM documents WHERE text IS NOT NULL) x""",
     ),
     "x21_identifiers": (
-        lambda r: fx(r, "names").select("id", t.dot_identifier(F.col("name")).alias("name")),
-        "SELECT * FROM (VALUES (1, 'defi_lending_v2'), (2, 'cluster'), (3, 'n_x'), (4, 'a_b'), (5, 'cluster'), (6, NULL)) AS t(id, name)",
+        lambda r: r["path_t"].select("id", t.dot_identifier(F.concat(F.lit("./"), "path")).alias("name")),
+        "SELECT id, lower(regexp_replace(regexp_replace(concat('./', path), '[^A-Za-z0-9]+', '_', 'g'), '^_|_$', '', 'g')) AS name FROM path_t",
     ),
     "x21_short_labels": (
-        lambda r: fx(r, "long_labels").select("id", t.short_label(F.col("text")).alias("label")),
-        "SELECT * FROM (VALUES (1, 'a b'), (2, 'a  b'), (3, concat(repeat('é', 117), '...')), (4, repeat('é', 120)), (5, ''), (6, 'a ')) AS t(id, label)",
+        lambda r: r["documents"].where("text IS NOT NULL").select("doc_id", t.short_label(F.col("text")).alias("label")),
+        r"""SELECT doc_id, CASE WHEN length(l) <= 120 THEN l ELSE concat(left(l, 117), '...') END AS label FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\r?\n\z', ''), '\r?\n', ' ', 'g') AS l FROM documents WHERE text IS NOT NULL) x""",
     ),
     "x34_setup_failures": (
-        lambda r: fx(r, "tests").select("id", t.setup_failed(F.col("status"), F.col("test"), F.col("reason")).alias("failed")),
-        "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, false), (6, false), (7, false)) AS t(id, failed)",
+        lambda r: _tests(r).select("id", t.setup_failed(F.col("status"), F.col("test"), F.col("reason")).alias("failed")),
+        """SELECT id, violated AND (id % 3 = 0 OR id % 17 = 0) AS failed FROM harness_run""",
     ),
     "x34_first_reasons": (
-        lambda r: fx(r, "tests").groupBy("run").agg(F.min_by("reason", F.when((F.col("status") == "Failure") & (F.col("reason") != ""), F.col("id"))).alias("reason")),
-        "SELECT * FROM (VALUES (1, 'FAILED to Set Up: x'), (2, 'overflow'), (3, NULL)) AS t(run, reason)",
+        lambda r: _tests(r).groupBy("code_id").agg(F.min_by("reason", F.when((F.col("status") == "Failure") & (F.col("reason") != ""), F.col("id"))).alias("reason")),
+        "SELECT code_id, arg_min(CASE WHEN id % 17 = 0 THEN concat('Failed to SET up ', id) ELSE reason END, id) FILTER (violated) AS reason FROM harness_run GROUP BY 1",
     ),
     "x35_invariant_stats": (
-        lambda r: fx(r, "kinds").select("id", t.invariant_stats(F.col("kind")).alias("s")).select("id", "s.runs", "s.calls", "s.reverts"),
-        "SELECT * FROM (VALUES (1, 3, 40, 5), (2, 3, 0, 0), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL)) AS t(id, runs, calls, reverts)",
+        lambda r: r["harness_run"].select("id", t.invariant_stats(F.when(F.col("id") % 4 == 0, F.concat(F.lit('{"Unit": {"gas": '), "calls", F.lit("}}"))).when(F.col("id") % 5 == 0, F.lit("not JSON")).otherwise(
+            F.concat(F.lit('{"Invariant": {"calls": '), "calls", F.lit(', "reverts": '), "reverts", F.when(F.col("id") % 7 == 0, "").otherwise(F.concat(F.lit(', "runs": '), "code_id")), F.lit("}}")))).alias("s")).select("id", "s.runs", "s.calls", "s.reverts"),
+        """SELECT id, CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN CASE WHEN id % 7 = 0 THEN 0 ELSE code_id END END AS runs, CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN calls END AS calls,
+        CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN reverts END AS reverts FROM harness_run""",
     ),
     "x36_deterministic": (
-        lambda r: r["documents"].select("doc_id", t.is_deterministic_violation(F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, F.lit(" deterministic run")).otherwise(F.lit("")))).alias("marked")),
-        "SELECT doc_id, doc_id % 2 = 0 OR coalesce(contains(text, 'deterministic'), false) AS marked FROM documents",
+        lambda r: r["documents"].select(
+            "doc_id", t.is_deterministic_violation(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" attack reached: yes")).otherwise(F.lit(" deterministic"))), "attack reached:", F.concat(F.when(F.col("doc_id") % 3 == 0, "invariant").otherwise("test"), "lang"), F.col("doc_id") % 5 == 0).alias("marked")
+        ),
+        "SELECT doc_id, text IS NOT NULL AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND (doc_id % 2 = 0 OR contains(text, 'attack reached:')) AS marked FROM documents",
     ),
     "x38_checked_places": (
         lambda r: r["lineitem"].select("l_orderkey", "l_linenumber", rules.checked_int(F.col("l_partkey").cast("long") * 1000).alias("place")),

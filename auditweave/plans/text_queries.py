@@ -86,7 +86,7 @@ QUERIES = {
         lambda r: formats.lcov_lines(
             r["line_coverage"].select("run_id", "path", "line_number", "hit_count").distinct().groupBy(F.col("run_id").alias("id"), "path").agg(
                 F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("DA:"), "line_number", F.lit(","), (F.col("hit_count") - 1).cast("string")))), "\n").alias("lines")
-            ).groupBy("id").agg(F.concat(F.lit("DA:1,9\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("SF:"), "path", F.lit("\n"), "lines", F.lit("\nend_of_record\nDA:2,9")))), "\n")).alias("text"))
+            ).groupBy("id").agg(F.concat(F.lit("DA:1,9\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("SF:"), "path", F.lit("\t\r\n"), "lines", F.lit("\nDA:7,3x\nDA:8\n  SF:not/at/the/front\nend_of_record \nDA:2,9")))), "\n")).alias("text"))
         ),
         "SELECT DISTINCT run_id AS id, path, line_number, hit_count - 1 AS hit_count FROM line_coverage WHERE hit_count > 1",
     ),

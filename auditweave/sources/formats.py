@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.enums import trim_all
 from ..functions.text import sql_identifier, sql_literal
+from ..storage import cut
 
 
 def lcov_lines(texts: DataFrame) -> DataFrame:
-    """(id, text) -> (id, path, line_number, hit_count).  ``SF:`` sets the file, ``end_of_record`` clears
-    it; rows outside a file, unreadable ones and those without a hit are dropped."""
-    rows = texts.select("id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
-    clean = F.trim("line")
-    mark = F.when(clean.startswith("SF:"), F.substring(clean, 4, 1 << 30)).when(clean == "end_of_record", "")
-    w = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = rows.withColumn("path", F.last(mark, ignorenulls=True).over(w))
-    number = F.regexp_extract(clean, r"^DA:\s*([0-9]+)\s*,\s*(-?[0-9]+)", 1)
-    hits = F.regexp_extract(clean, r"^DA:\s*([0-9]+)\s*,\s*(-?[0-9]+)", 2)
-    out = filled.select("id", "path", number.try_cast("int").alias("line_number"), hits.try_cast("long").alias("hit_count"))
-    return out.where("path <> '' AND line_number IS NOT NULL AND hit_count > 0")
+    """(id, text) -> (id, path, line_number, hit_count).  ``SF:`` at a line's front sets the file, a line
+    ``end_of_record`` ends it; lines outside a file, unreadable ones and those without a hit are dropped.
+    A text is split at its files first, so no order of lines is needed."""
+    files = texts.select("id", F.explode(F.split("text", r"(?md)^(?=SF:)")).alias("f")).where(F.col("f").startswith("SF:"))
+    own = files.select("id", trim_all(F.substring(F.substring_index("f", "\n", 1), 4, 1 << 30)).alias("path"), F.split("f", r"(?mdU)^end_of_record[^\S\n]*$")[0].alias("body"))
+    rows = own.select("id", "path", F.explode(F.split("body", "\n")).alias("line")).where(F.col("line").startswith("DA:"))
+    parts = F.split(F.substring("line", 4, 1 << 30), ",")
+    whole = lambda c, kind: F.when(trim_all(c).rlike(r"^[+-]?[0-9]+$"), trim_all(c).try_cast(kind))
+    out = rows.select("id", "path", whole(parts[0], "int").alias("line_number"), whole(F.get(parts, F.lit(1)), "long").alias("hit_count"))
+    return out.where("line_number IS NOT NULL AND hit_count > 0")
 
 
 def run_summary(texts: DataFrame) -> DataFrame:
@@ -55,41 +55,6 @@ def findings_json(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(F.from_json("text", schema)).alias("pos", "f")).select("id", "pos", "f.contract", "f.function", "f.title", F.coalesce("f.severity", F.lit("Medium")).alias("severity"))
 
 
-def split_sql(script: str) -> Iterator[str]:
-    """Statements of a SQL script; quotes and comments may hold semicolons."""
-    out: list[str] = []
-    i, n, quote = 0, len(script), ""
-    while i < n:
-        c = script[i]
-        if quote:
-            out.append(c)
-            if c == "\\" and quote != "`" and i + 1 < n and script[i + 1] == quote:
-                out.append(script[i + 1])
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "'\"`":
-            quote = c
-            out.append(c)
-        elif script.startswith("--", i) or c == "#":
-            end = script.find("\n", i)
-            i = n if end < 0 else end
-            continue
-        elif script.startswith("/*", i):
-            end = script.find("*/", i + 2)
-            i = n if end < 0 else end + 2
-            continue
-        elif c == ";":
-            if text := "".join(out).strip():
-                yield text
-            out = []
-        else:
-            out.append(c)
-        i += 1
-    if text := "".join(out).strip():
-        yield text
-
-
 def insert_statements(df: DataFrame, table: str, dialect: str = "sqlite") -> DataFrame:
     """One INSERT a row."""
     head = f"INSERT INTO {sql_identifier(table, dialect)} ({', '.join(sql_identifier(c, dialect) for c in df.columns)}) VALUES ("
@@ -144,7 +109,7 @@ def merge_tables(own: DataFrame, other: DataFrame, key: str) -> tuple[DataFrame,
     marked = other.join(there, other[key] == there["_key"], "left").drop("_key")
     fresh = marked.where("there IS NULL").drop("there")
     # ids of new rows count within ranges of the old id, then over the ranges: no single task holds all
-    parts = fresh.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    parts = cut(fresh.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()))  # read twice: its ranges must not move
     sizes = parts.groupBy("part").count().withColumn("before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
     nth = F.row_number().over(W.partitionBy("part").orderBy("id"))
     numbered = parts.withColumn("nth", nth).join(sizes, "part").crossJoin(most).select("id", (F.col("most") + F.coalesce("before", F.lit(0)) + F.col("nth")).cast("int").alias("new_id"))

@@ -67,7 +67,10 @@ def test_globs(spark):
 
 def test_lcov(spark):
     lines = "DA:1,5\nSF:a.sol\nDA:3,2\nDA:4,0\nDA:x,1\nDA:5,-1\nend_of_record\nDA:9,9\nSF:b.sol\nDA:7,1"
+    odd = "SF: c.sol\t\r\nDA: 1 , 3 ,x\r\n  SF:no\nDA:2,3x\nDA:3\nDA:99999999999,1\n end_of_record\nDA:4,1\nend_of_record  \nDA:5,1\nSF:d\nSF:e\nDA:+6,1"
     df = spark.createDataFrame([(1, lines)], "id int, text string")
+    others = spark.createDataFrame([(2, odd), (3, None), (4, ""), (5, "SF:x")], "id int, text string")
+    assert sorted(tuple(r) for r in formats.lcov_lines(others).collect()) == [(2, "c.sol", 1, 3), (2, "c.sol", 4, 1), (2, "e", 6, 1)]
     assert {(r.path, r.line_number, r.hit_count) for r in formats.lcov_lines(df).collect()} == {("a.sol", 3, 2), ("b.sol", 7, 1)}
 
 
@@ -78,11 +81,6 @@ def test_sequence_json(spark):
     assert formats.run_summary(df).count() == 0
 
 
-def test_split_sql():
-    script = "a 'x;y' -- no;\n; /* ; */ b \"q;\" # c;\n;;`k;`"
-    assert [" ".join(s.split()) for s in formats.split_sql(script)] == ["a 'x;y'", 'b "q;"', "`k;`"]
-
-
 def test_snapshot_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "it's", None)], "id int, name string, note string")
     formats.export_tables({"t": df}, str(tmp_path))

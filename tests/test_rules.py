@@ -23,10 +23,72 @@ def test_partners(spark):
         rules.complete_or_raise(rows(spark, [(1, 5)], "id int, run_id int"), rows(spark, [(4,)], "id int"), "run_id", "id")
 
 
-def test_batches_that_disagree(spark):
-    p = rows(spark, [(1, "a", 2, False, 3, "Low"), (1, "b", 3, False, 3, "Low")], "finding_id int, context string, expected int, failed boolean, semantic_id int, strength string")
-    with pytest.raises(ValueError, match="expect"):
-        rules.batch_results(p)
+PROGRESS = "finding_id int, target_id int, context int, expected int, failed boolean, semantic_id int, strength string, evidence string"
+
+
+def test_targets_that_disagree(spark):
+    with pytest.raises(ValueError, match="targets"):
+        rules.batch_results(rows(spark, [(1, 7, 1, 2, False, 3, "Low", ""), (1, 8, 2, 2, False, 3, "Low", "")], PROGRESS))
+
+
+def test_results_of_batches(spark):
+    p = [(1, 1, 1, 2, False, 10, "Low", "a"), (1, 1, 2, 2, False, 10, "High", "b"), (1, 1, 2, 2, False, 11, "Medium", "c"), (2, 2, 1, 2, False, 10, "High", "d"), (3, 3, 1, 1, True, 10, "High", "e"),
+         (4, 4, 1, 1, False, None, None, None), (5, 9, 2, 2, False, 12, "Low", "late"), (5, 9, 1, 2, False, 12, "Low", "first")]
+    assert sorted(map(tuple, rules.batch_results(rows(spark, p, PROGRESS)).collect())) == [(10, 1, "High", "b"), (11, 1, "Medium", "c"), (12, 9, "Low", "first")]
+
+
+def test_rules_are_part_of_the_operators(spark):
+    """Work lists and hydration raise on what the data model forbids."""
+    from auditweave.operators import knowledge, project
+
+    f = rows(spark, [(1, "t"), (2, "u")], "id int, title string")
+    none = rows(spark, [], "from_id int, to_id int")
+    pf, pc = rows(spark, [(1, 5), (1, 3)], "project_id int, audit_finding_id int"), rows(spark, [(1, "DEX")], "project_id int, category string")
+    done = rows(spark, [(2,)], "audit_finding_id int")
+    for bad in ([(1, 1, "a")], [(1, 1, "a"), (2, 1, "b"), (2, 2, "c")]):  # of a finding that is done, too
+        with pytest.raises(ValueError, match="category"):
+            knowledge.pending_findings(f, done, rows(spark, bad, "audit_finding_id int, category_id int, category string"), pf, pc, none)
+    two = rows(spark, [(1, 4, "b"), (1, 2, "a"), (2, 1, "x")], "audit_finding_id int, category_id int, category string")
+    assert [tuple(r) for r in knowledge.linked_findings(f, rows(spark, [(1,)], "audit_finding_id int"), two, none).select("id", "taxonomy").collect()] == [(1, "a")]
+    reflections = rows(spark, [(1, 5, "ValidFinding", None)], "id int, run_id int, result string, claim string")
+    runs, codes = rows(spark, [(5, 6)], "id int, code_id int"), rows(spark, [(6, 7)], "id int, spec_id int")
+    with pytest.raises(Exception, match="misses"):
+        project.hydrated_findings(reflections, runs, codes, rows(spark, [], "id int, extract_id int, historical_id int, finding_id int")).collect()
+    matched = rows(spark, [(1, 2, "Low", 1), (1, 2, "High", 2)], "extract_id int, historical_id int, strength string, ord int")
+    links = rows(spark, [(2, 3, "High", "e", 1), (2, 3, "Low", "f", 2)], "semantic_node_id int, audit_finding_id int, strength string, evidence string, ord int")
+    out = knowledge.link_fan_out(matched, rows(spark, [(1, "x")], "id int, name string"), rows(spark, [(2, "h")], "id int, name string"), links, rows(spark, [(3, "t")], "id int, title string"))
+    assert [(r["match"], r.link) for r in out.collect()] == [("Low", "High")]
+
+
+def test_scope_falls_back(spark):
+    from auditweave.operators import knowledge
+
+    f, n = rows(spark, [(1,), (2,), (3,)], "id int"), rows(spark, [(9, "n", "DEX")], "id int, name string, category string")
+    links = rows(spark, [(9, 1)], "semantic_node_id int, audit_finding_id int")
+    none = rows(spark, [], "from_id int, to_id int")
+    out = knowledge.vulnerability_scope(links, f, n, none, none, rows(spark, [(4, 2)], "project_id int, audit_finding_id int"), rows(spark, [(4, "Oracle")], "project_id int, category string"))
+    assert sorted((r.finding_id, r.names, r.categories) for r in out.collect()) == [(1, ["n"], ["DEX"]), (2, [], ["Oracle"]), (3, [], ["Others"])]
+
+
+def test_kinds_of_numbers_differ(spark):
+    history = rows(spark, [(1, "a", '{"x":1}')], "id int, type string, args string")
+    new = rows(spark, [(1, "a", '{"x":1.0}'), (2, "a", ' {"x" : 1}')], "ord int, type string, args string")
+    assert sorted(r.args for r in rules.record_operations(history, new).collect()) == ['{"x":1.0}', '{"x":1}']
+
+
+def test_places_and_degrees(spark):
+    from pyspark.sql import functions as F
+
+    one = rows(spark, [("abc\ndef",)], "t string")
+    cut = lambda *p: one.select(rules.source_chunk(F.col("t"), *map(F.lit, p))).head()[0]
+    assert cut(1, 0, 1, 4) == "abc\n" and cut(1, 4, 2, 3) == "def"
+    for bad in ((1, 0, 1, 5), (2, 0, 2, 4), (3, 0, 3, 0)):
+        with pytest.raises(Exception, match="place"):
+            cut(*bad)
+    containers = rows(spark, [(1, False, False), (2, True, False), (3, False, False)], "id int, is_interface boolean, vendored boolean")
+    functions = rows(spark, [(10, 1), (20, 2), (30, 3)], "id int, owner_id int")
+    calls = rows(spark, [(20, 30), (10, 30), (10, 20)], "caller_id int, callee_id int")
+    assert {r.id: r.degree for r in rules.degrees(containers, functions, calls).collect()} == {1: 2, 2: 0, 3: 1}
 
 
 def test_missing_canonical(spark):
@@ -74,7 +136,7 @@ def test_gate(spark):
 def test_texts_that_raise(spark):
     one = rows(spark, [("ab\nc",)], "text string")
     assert one.select(rules.source_chunk(F.col("text"), F.lit(1), F.lit(1), F.lit(2), F.lit(1))).head()[0] == "b\nc"
-    for place in ((0, 0, 1, 1), (1, 3, 2, 0), (1, 0, 3, 0), (2, 0, 1, 0)):
+    for place in ((0, 0, 1, 1), (1, 4, 2, 0), (2, 2, 2, 2), (1, 0, 3, 0), (2, 0, 1, 0)):
         with pytest.raises(PySparkException):
             one.select(rules.source_chunk(F.col("text"), *map(F.lit, place))).collect()
     with pytest.raises(PySparkException):
@@ -91,13 +153,8 @@ def test_cycles_raise(spark):
         graph.chain_depth(rows(spark, [(1,)], "id int"), edges)
 
 
-def test_tables_are_replaced(spark, tmp_path):
+def test_catalog_probe(spark):
     there = {"a": rows(spark, [(1,)], "id int")}
-    assert rules.copy_tables(there, str(tmp_path), wanted=("a", "pending_semantic")) == ["a"]
-    rules.copy_tables({"a": rows(spark, [(2,)], "id int")}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/a.parquet").collect()[0][0] == 2
-    with pytest.raises(ValueError, match="no table b"):
-        rules.copy_tables(there, str(tmp_path), wanted=("a", "b"))
     there["a"].createOrReplaceTempView("here_it_is")
     assert rules.schema_probe(spark, ["here_it_is", "not_there"]) == {"here_it_is": True, "not_there": False}
 
