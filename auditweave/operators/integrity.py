@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import Table, ordered
+from ..storage import cut
+
 
 def dangling(rows: DataFrame, table: str, key: list[str], targets: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
     """One issue a row that misses a target; the problem lists every missing side.  ``targets``:
@@ -57,6 +62,47 @@ def repair_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
 
+@dataclass
+class Repaired:
+    """tables without rows that point nowhere; report: table_name, detected (rows that point nowhere as the
+    tables were), repaired (rows that went), remaining."""
+
+    tables: dict[str, DataFrame]
+    report: DataFrame
+
+
+def pointing_nowhere(tables: dict[str, DataFrame], spec: Table) -> DataFrame:
+    """Rows of one table of which a reference, null aside, finds no row."""
+    rows = tables[spec.name]
+    bad = F.lit(False)
+    for k, (column, (other, own)) in enumerate(spec.refs.items()):
+        there = tables[other].select(F.col(own).alias(f"_k{k}")).distinct().withColumn(f"_h{k}", F.lit(True))
+        rows = rows.join(there, rows[column] == F.col(f"_k{k}"), "left")
+        bad = bad | (F.col(f"`{column}`").isNotNull() & F.col(f"_h{k}").isNull())
+    return rows.withColumn("_bad", bad).select(*[f"`{c}`" for c in tables[spec.name].columns], "_bad")
+
+
+def repaired(tables: dict[str, DataFrame], specs: list[Table]) -> Repaired:
+    """Rows that point nowhere go, and then those that pointed to them: tables in the order of their
+    references, so that one pass reaches the end; a table that references itself is passed until it holds."""
+    out, counts = dict(tables), []
+    for spec in ordered([s for s in specs if s.name in tables]):
+        if not spec.refs:
+            counts.append((spec.name, 0, 0, 0))
+            continue
+        n = tables[spec.name].count()
+        detected = pointing_nowhere(tables, spec).where("_bad").count()
+        while True:
+            marked = cut(pointing_nowhere(out, spec))
+            out[spec.name] = marked.where("NOT _bad").drop("_bad")
+            left = pointing_nowhere(out, spec).where("_bad").count()
+            if not left or all(other != spec.name for other, _ in spec.refs.values()):
+                break
+        counts.append((spec.name, detected, n - out[spec.name].count(), left))
+    spark = next(iter(tables.values())).sparkSession
+    return Repaired(out, spark.createDataFrame(counts, "table_name string, detected long, repaired long, remaining long"))
+
+
 def gate(found: DataFrame, force: bool = False) -> None:
     """Refuse a graph with issues, unless forced."""
     if not force and not found.isEmpty():

@@ -65,14 +65,14 @@ def batch_results(progress: DataFrame) -> DataFrame:
     """Links of findings whose every expected context is there and none failed.  ``progress`` has finding_id,
     target_id (the finding that links are written to), context, expected, failed, semantic_id, strength and
     evidence; a finding of several targets raises.  Per (concept, finding) the strongest stays, of equals that of
-    the first context, with its own evidence."""
+    the first context and then of the greatest evidence, which it brings."""
     of = progress.groupBy("finding_id").agg(
         F.max("expected").alias("expected"), F.min("target_id").alias("target"), F.max("target_id").alias("other"), F.countDistinct("context").alias("contexts"), F.bool_or("failed").alias("failed")
     )
     refuse(of.where("target <> other").select("finding_id", "target", "other"), "a finding has several link targets")
     done = of.where("contexts = expected AND NOT failed").select("finding_id")
     own = progress.where("semantic_id IS NOT NULL").join(done, "finding_id")
-    best = F.struct(rank("strength", STRENGTHS).alias("rank"), (-F.col("context")).alias("late"))
+    best = F.struct(rank("strength", STRENGTHS).alias("rank"), (-F.col("context")).alias("late"), "evidence")
     return own.groupBy("semantic_id", F.col("target_id").alias("finding_id")).agg(F.max_by(F.struct("strength", "evidence"), best).alias("b")).select("semantic_id", "finding_id", "b.*")
 
 

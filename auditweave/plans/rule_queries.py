@@ -170,7 +170,7 @@ QUERIES = {
         f"""WITH p AS (SELECT l_orderkey AS finding_id, l_orderkey // 4 AS target_id, l_linenumber AS context, l_partkey AS semantic_id, l_shipdate AS d, CAST(l_suppkey AS VARCHAR) AS evidence, l_quantity > 49 AS failed,
           CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END AS k, count(DISTINCT l_linenumber) OVER (PARTITION BY l_orderkey) + CAST(l_orderkey % 9 = 0 AS INT) AS expected FROM lineitem),
         ok AS (SELECT finding_id FROM p GROUP BY 1 HAVING count(DISTINCT context) = max(expected) AND NOT bool_or(failed)),
-        b AS (SELECT *, row_number() OVER (PARTITION BY semantic_id, finding_id // 4 ORDER BY k DESC, finding_id * 10 + context) AS rn FROM p JOIN ok USING (finding_id))
+        b AS (SELECT *, row_number() OVER (PARTITION BY semantic_id, finding_id // 4 ORDER BY k DESC, finding_id * 10 + context, evidence DESC) AS rn FROM p JOIN ok USING (finding_id))
         SELECT semantic_id::INT AS semantic_id, target_id::INT AS finding_id, CASE k WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS strength, evidence FROM b WHERE rn = 1""",
     ),
     "w13_grouped_candidates": (

@@ -42,23 +42,3 @@ def _keep(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
 def strongest_links(links: DataFrame) -> DataFrame:
     """A stream of links -> after each batch the strongest of every pair that it touches."""
     return links.groupBy("semantic_node_id", "audit_finding_id").applyInPandasWithState(_keep, LINKS, "strength string", "update", "NoTimeout")
-
-
-def drain(queue: DataFrame, done: str, work, key: str):
-    """A stream of work rows -> ``foreachBatch``: rows whose key isn't in the table at ``done`` are worked on
-    once, and their keys appended there."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            seen = spark.read.schema(batch.select(key).schema).parquet(done)
-            batch = batch.join(seen, key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh = batch.dropDuplicates([key]).persist()
-        work(fresh, number)
-        fresh.select(key).write.mode("append").parquet(done)
-        fresh.unpersist()
-
-    return queue.writeStream.foreachBatch(run)

@@ -162,3 +162,18 @@ def test_catalog_probe(spark):
 def test_new_ids_are_distinct(spark):
     made = state.with_new_ids(spark.range(5), spark.range(2000).withColumnRenamed("id", "ord"), "ord").select("id").collect()
     assert sorted(x.id for x in made) == list(range(5, 2005))
+
+
+def test_repair_cascades(spark):
+    """What pointed to a row that goes, goes too; null points to nothing and stays."""
+    from auditweave.operators import integrity
+    from auditweave.sources.snapshots import Table
+
+    specs = [Table("a", "id int"), Table("b", "id int, a_id int", {"a_id": ("a", "id")}), Table("c", "id int, b_id int", {"b_id": ("b", "id")}), Table("t", "id int, up int", {"up": ("t", "id")})]
+    tables = {
+        "a": rows(spark, [(1,)], "id int"), "b": rows(spark, [(1, 1), (2, 9), (3, None)], "id int, a_id int"), "c": rows(spark, [(1, 1), (2, 2), (3, 3), (4, 8)], "id int, b_id int"),
+        "t": rows(spark, [(1, None), (2, 1), (3, 9), (4, 3), (5, 4)], "id int, up int"),
+    }
+    out = integrity.repaired(tables, specs)
+    assert {n: sorted(r.id for r in df.collect()) for n, df in out.tables.items()} == {"a": [1], "b": [1, 3], "c": [1, 3], "t": [1, 2]}
+    assert sorted(map(tuple, out.report.collect())) == [("a", 0, 0, 0), ("b", 1, 1, 0), ("c", 1, 2, 0), ("t", 1, 3, 0)]

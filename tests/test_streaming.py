@@ -35,11 +35,59 @@ def test_first_events(spark, tmp_path):
     assert spark.sql("SELECT * FROM firsts").count() == spark.read.parquet(str(tmp_path / "in")).select("user_id", "event_type").distinct().count()
 
 
-def test_drain_works_once(spark, tmp_path):
-    spark.range(20).select((F.col("id") % 10).alias("id")).repartition(2).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    worked = []
-    q = events.drain(stream, str(tmp_path / "done"), lambda df, n: worked.extend(r.id for r in df.collect()), "id").option("checkpointLocation", str(tmp_path / "cp")).start()
+def test_a_batch_counts_once(spark, tmp_path, monkeypatch):
+    """A writer that dies after the work and before its version is published, and one that dies right after."""
+    from auditweave.sources.versions import Store
+    from auditweave.streaming import drains
+
+    spark.range(30).select((F.col("id") % 10).alias("id")).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = Store(spark, f"file://{tmp_path}/store")
+    worked, publish, fails = [], Store._publish, {1: "before", 3: "after"}
+
+    def work(fresh, base):
+        worked.append(fresh.count())
+        return {}, {"out": fresh.withColumn("twice", F.col("id") * 2)}
+
+    def dying(self, version, entries):
+        how = fails.pop(version, None)
+        if how != "before":
+            publish(self, version, entries)
+        if how:
+            raise RuntimeError("the writer dies")
+
+    monkeypatch.setattr(Store, "_publish", dying)
+    for _ in range(5):
+        q = drains.drain(stream(), store, "queue", ["id"], work).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+            break
+        except Exception as e:
+            assert "the writer dies" in str(e)
+        finally:
+            q.stop()
+    assert not fails and len(worked) > 3
+    now = store.snapshot()
+    assert sorted(map(tuple, now["out"].collect())) == [(k, 2 * k) for k in range(10)]
+    assert now[drains.BATCHES].count() == now[drains.BATCHES].distinct().count() == 3
+
+
+def test_another_writer_in_between(spark, tmp_path):
+    from auditweave.sources.versions import Store
+    from auditweave.streaming import drains
+
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    store = Store(spark, f"file://{tmp_path}/store")
+    seen = []
+
+    def work(fresh, base):
+        if not seen:
+            store.commit(base, append={"other": spark.range(2)})
+        seen.append(base.version)
+        return {}, {"out": fresh}
+
+    q = drains.drain(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), store, "q", ["id"], work).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(worked) == list(range(10))
+    now = store.snapshot()
+    assert seen == [0, 1] and now["out"].count() == 4 and now["other"].count() == 2
