@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .knowledge import canonical_only, folded, split_links
 
 
@@ -73,3 +74,69 @@ def category_counts(nodes: DataFrame, merges: DataFrame, project_category: DataF
 
 def folded_share(nodes: DataFrame, merges: DataFrame) -> DataFrame:
     return nodes.join(folded(merges).withColumn("gone", F.lit(1)), "id", "left").groupBy("category").agg(F.count("gone").alias("folded"), F.count(F.lit(1)).alias("total"))
+
+
+def overview(t) -> DataFrame:
+    """(measure, value) of the whole graph: one aggregate a table, each turned into rows, then ratios of these.
+    ``t`` gives the graph's tables by name; links are in ``sfl``."""
+
+    def rows(df: DataFrame, *measures) -> DataFrame:
+        """One aggregate with a column a measure -> a row a measure."""
+        one = df.agg(*[m.cast("double").alias(n) for n, m in measures])
+        return one.unpivot([], [n for n, _ in measures], "measure", "value")
+
+    def named(df: DataFrame, prefix: str, column: str) -> DataFrame:
+        return df.groupBy(F.concat(F.lit(prefix), column).alias("measure")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+    n, cond = F.count(F.lit(1)), F.count_if
+    sem, fin = t["semantic_node"], t["audit_finding"]
+    raw = t["semantic_merge"].select(F.col("from_id").alias("id")).distinct().withColumn("folded", F.lit(True))
+    folded_findings = folded(t["finding_merge"]).select("id").distinct()
+    links = split_links(t["sfl"]).join(folded_findings.select(F.col("id").alias("audit_finding_id")).withColumn("on_folded", F.lit(True)), "audit_finding_id", "left")
+    cross, own = F.col("kind") == "cross", F.col("kind") == "in_project"
+
+    def reach(nodes: DataFrame, merges: DataFrame, held: DataFrame, column: str) -> DataFrame:
+        mine = held.select(F.col(column).alias("id"), "project_id")
+        lent = mine.join(merges, mine["id"] == merges["from_id"]).select(F.col("to_id").alias("id"), "project_id")
+        return mine.unionByName(lent).join(canonical_only(nodes, merges).select("id"), "id", "left_semi").groupBy("id").agg(F.countDistinct("project_id").alias("n"))
+
+    lengths = lambda columns, prefix: [(f"{prefix}_{c}_length", F.floor(F.coalesce(F.avg(F.char_length(c)), F.lit(0)))) for c in columns]
+    parts = [
+        rows(t["project"], ("projects_total", n), ("projects_completed", cond(F.col("status") == "completed"))),
+        named(t["project_platform"].withColumn("platform", F.substring_index("platform_id", "-", 1)), "platform:", "platform"),
+        rows(sem.join(raw, "id", "left"), ("semantics_total", n), ("semantics_there_folded", F.count("folded")), *lengths(["name", "definition", "description"], "semantic")),
+        rows(raw, ("semantics_folded", n)),
+        rows(fin, ("findings_total", n), *[(f"findings_{s.lower()}", cond(F.col("severity") == s)) for s in ("High", "Medium", "Low")], *lengths(["title", "root_cause", "description"], "finding")),
+        rows(folded_findings, ("findings_folded", n)),
+        rows(t["semantic_merge"].groupBy("from_id").count(), ("semantic_merge_edges", F.coalesce(F.sum("count"), F.lit(0))), ("semantic_max_parents", F.coalesce(F.max("count"), F.lit(0)))),
+        rows(t["finding_merge"].groupBy("from_id").count(), ("finding_merge_edges", F.coalesce(F.sum("count"), F.lit(0))), ("finding_max_parents", F.coalesce(F.max("count"), F.lit(0)))),
+        rows(t["finding_link_status"], ("link_processed_findings", n)),
+        rows(t["pending_semantic"], ("pending_semantics", n)),
+        rows(t["merge_status"], ("merge_status_rows", n)),
+        rows(t["semantic_function"], ("semantic_functions_total", n)),
+        rows(reach(sem, t["semantic_merge"], t["project_semantic"], "semantic_node_id"), ("semantic_projects", F.coalesce(F.sum("n"), F.lit(0))), ("max_projects_per_canonical_semantic", F.coalesce(F.max("n"), F.lit(0)))),
+        rows(reach(fin, t["finding_merge"], t["project_finding"], "audit_finding_id"), ("finding_projects", F.coalesce(F.sum("n"), F.lit(0)))),
+        rows(t["project_category"], ("project_categories", n)),
+        named(canonical_only(sem, t["semantic_merge"]), "semantic_category:", "category"),
+        named(t["finding_taxonomy"], "finding_category:", "category"),
+        rows(
+            links, ("links_total", n), ("links_in_project", cond(own)), ("links_cross", cond(cross)),
+            *[(f"{k}_{s.lower()}", cond(w & (F.col("strength") == s))) for k, w in (("total", F.lit(True)), ("in_project", own), ("cross", cross)) for s in ("High", "Medium", "Low")],
+            ("cross_links_on_folded_findings", cond(cross & F.col("on_folded"))), ("cross_linked_findings", F.count_distinct(F.when(cross, F.col("audit_finding_id")))),
+            ("cross_linked_semantics", F.count_distinct(F.when(cross, F.col("semantic_node_id")))),
+        ),
+    ]
+    told = parts[0]
+    for p in parts[1:]:
+        told = told.unionByName(p)
+    told = cut(told)
+    ratios = [
+        ("functions_per_raw_semantic", "semantic_functions_total", "semantics_total", None), ("projects_per_canonical_semantic", "semantic_projects", "semantics_total", "semantics_folded"),
+        ("projects_per_canonical_finding", "finding_projects", "findings_total", "findings_folded"), ("categories_per_project", "project_categories", "projects_total", None),
+        ("cross_links_per_canonical_finding", "links_cross", "findings_total", "findings_folded"), ("cross_high_per_canonical_finding", "cross_high", "findings_total", "findings_folded"),
+        ("cross_links_per_canonical_semantic", "links_cross", "semantics_total", "semantics_folded"),
+    ]
+    at = lambda name: F.coalesce(F.max(F.when(F.col("measure") == name, F.col("value"))), F.lit(0.0))
+    canonical = [("semantics_canonical", at("semantics_total") - at("semantics_folded")), ("findings_canonical", at("findings_total") - at("findings_folded"))]
+    made = [(n, F.round(_ratio(at(a), at(b) - (at(less) if less else F.lit(0.0))), 6)) for n, a, b, less in ratios]
+    return told.unionByName(rows(told, *canonical, *made))

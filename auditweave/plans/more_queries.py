@@ -140,6 +140,70 @@ QUERIES = {
         c AS (SELECT canonical AS s, audit_finding_id AS f, strength, row_number() OVER (PARTITION BY canonical, audit_finding_id ORDER BY semantic_node_id, ord) AS rn FROM sfl JOIN res ON node = semantic_node_id WHERE semantic_node_id % 4 <> 0)
         SELECT s AS semantic_node_id, f AS audit_finding_id, strength FROM e UNION ALL SELECT s, f, strength FROM c WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.s = c.s AND e.f = c.f)""",
     ),
+    "a01_kg_stats": (
+        stats.overview,
+        """WITH sr AS (SELECT id, count(DISTINCT project_id) AS n FROM (SELECT semantic_node_id AS id, project_id FROM project_semantic UNION ALL SELECT to_id, project_id FROM project_semantic JOIN semantic_merge ON from_id = semantic_node_id) x
+          WHERE id IN (SELECT id FROM semantic_node) AND id NOT IN (SELECT from_id FROM semantic_merge) GROUP BY 1),
+        fr AS (SELECT id, count(DISTINCT project_id) AS n FROM (SELECT audit_finding_id AS id, project_id FROM project_finding UNION ALL SELECT to_id, project_id FROM project_finding JOIN finding_merge ON from_id = audit_finding_id) x
+          WHERE id IN (SELECT id FROM audit_finding) AND id NOT IN (SELECT from_id FROM finding_merge) GROUP BY 1),
+        m(measure, value) AS (
+        SELECT 'projects_total', CAST(count(*) AS DOUBLE) FROM project
+        UNION ALL SELECT 'projects_completed', CAST(count(*) FILTER (status = 'completed') AS DOUBLE) FROM project
+        UNION ALL SELECT concat('platform:', string_split(platform_id, '-')[1]), count(*)::DOUBLE FROM project_platform GROUP BY 1
+        UNION ALL SELECT 'semantics_total', CAST(count(*) AS DOUBLE) FROM semantic_node
+        UNION ALL SELECT 'semantics_there_folded', CAST(count(*) FILTER (id IN (SELECT from_id FROM semantic_merge)) AS DOUBLE) FROM semantic_node
+        UNION ALL SELECT 'semantic_name_length', CAST(floor(avg(length(name))) AS DOUBLE) FROM semantic_node
+        UNION ALL SELECT 'semantic_definition_length', CAST(floor(avg(length(definition))) AS DOUBLE) FROM semantic_node
+        UNION ALL SELECT 'semantic_description_length', CAST(floor(avg(length(description))) AS DOUBLE) FROM semantic_node
+        UNION ALL SELECT 'semantics_folded', CAST(count(DISTINCT from_id) AS DOUBLE) FROM semantic_merge
+        UNION ALL SELECT 'semantic_merge_edges', CAST(count(*) AS DOUBLE) FROM semantic_merge
+        UNION ALL SELECT 'findings_total', CAST(count(*) AS DOUBLE) FROM audit_finding
+        UNION ALL SELECT 'findings_high', CAST(count(*) FILTER (severity = 'High') AS DOUBLE) FROM audit_finding
+        UNION ALL SELECT 'findings_medium', CAST(count(*) FILTER (severity = 'Medium') AS DOUBLE) FROM audit_finding
+        UNION ALL SELECT 'findings_low', CAST(count(*) FILTER (severity = 'Low') AS DOUBLE) FROM audit_finding
+        UNION ALL SELECT 'finding_title_length', CAST(floor(avg(length(title))) AS DOUBLE) FROM audit_finding
+        UNION ALL SELECT 'finding_root_cause_length', CAST(floor(avg(length(root_cause))) AS DOUBLE) FROM audit_finding
+        UNION ALL SELECT 'finding_description_length', CAST(floor(avg(length(description))) AS DOUBLE) FROM audit_finding
+        UNION ALL SELECT 'findings_folded', CAST(count(DISTINCT from_id) AS DOUBLE) FROM finding_merge
+        UNION ALL SELECT 'finding_merge_edges', CAST(count(*) AS DOUBLE) FROM finding_merge
+        UNION ALL SELECT 'semantic_max_parents', CAST(max(n) AS DOUBLE) FROM (SELECT count(*) AS n FROM semantic_merge GROUP BY from_id)
+        UNION ALL SELECT 'finding_max_parents', CAST(max(n) AS DOUBLE) FROM (SELECT count(*) AS n FROM finding_merge GROUP BY from_id)
+        UNION ALL SELECT 'link_processed_findings', CAST(count(*) AS DOUBLE) FROM finding_link_status
+        UNION ALL SELECT 'pending_semantics', CAST(count(*) AS DOUBLE) FROM pending_semantic
+        UNION ALL SELECT 'merge_status_rows', CAST(count(*) AS DOUBLE) FROM merge_status
+        UNION ALL SELECT 'semantic_functions_total', CAST(count(*) AS DOUBLE) FROM semantic_function
+        UNION ALL SELECT 'project_categories', CAST(count(*) AS DOUBLE) FROM project_category
+        UNION ALL SELECT 'semantic_projects', CAST(sum(n) AS DOUBLE) FROM sr
+        UNION ALL SELECT 'max_projects_per_canonical_semantic', CAST(max(n) AS DOUBLE) FROM sr
+        UNION ALL SELECT 'finding_projects', CAST(sum(n) AS DOUBLE) FROM fr
+        UNION ALL SELECT concat('semantic_category:', category), count(*)::DOUBLE FROM semantic_node WHERE id NOT IN (SELECT from_id FROM semantic_merge) GROUP BY 1
+        UNION ALL SELECT concat('finding_category:', category), count(*)::DOUBLE FROM finding_taxonomy GROUP BY 1
+        UNION ALL SELECT 'links_total', CAST(count(*) AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'links_in_project', CAST(count(*) FILTER (NOT (NOT starts_with(evidence, 'in-project link:'))) AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'links_cross', CAST(count(*) FILTER (NOT starts_with(evidence, 'in-project link:')) AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'cross_links_on_folded_findings', CAST(count(*) FILTER (NOT starts_with(evidence, 'in-project link:') AND audit_finding_id IN (SELECT from_id FROM finding_merge)) AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'cross_linked_findings', CAST(count(DISTINCT audit_finding_id) FILTER (NOT starts_with(evidence, 'in-project link:')) AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'cross_linked_semantics', CAST(count(DISTINCT semantic_node_id) FILTER (NOT starts_with(evidence, 'in-project link:')) AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'total_high', CAST(count(*) FILTER (true AND strength = 'High') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'total_medium', CAST(count(*) FILTER (true AND strength = 'Medium') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'total_low', CAST(count(*) FILTER (true AND strength = 'Low') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'in_project_high', CAST(count(*) FILTER (NOT (NOT starts_with(evidence, 'in-project link:')) AND strength = 'High') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'in_project_medium', CAST(count(*) FILTER (NOT (NOT starts_with(evidence, 'in-project link:')) AND strength = 'Medium') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'in_project_low', CAST(count(*) FILTER (NOT (NOT starts_with(evidence, 'in-project link:')) AND strength = 'Low') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'cross_high', CAST(count(*) FILTER (NOT starts_with(evidence, 'in-project link:') AND strength = 'High') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'cross_medium', CAST(count(*) FILTER (NOT starts_with(evidence, 'in-project link:') AND strength = 'Medium') AS DOUBLE) FROM sfl
+        UNION ALL SELECT 'cross_low', CAST(count(*) FILTER (NOT starts_with(evidence, 'in-project link:') AND strength = 'Low') AS DOUBLE) FROM sfl)
+        SELECT measure, value FROM m
+        UNION ALL SELECT 'semantics_canonical', (SELECT value FROM m WHERE measure = 'semantics_total') - (SELECT value FROM m WHERE measure = 'semantics_folded')
+        UNION ALL SELECT 'findings_canonical', (SELECT value FROM m WHERE measure = 'findings_total') - (SELECT value FROM m WHERE measure = 'findings_folded')
+        UNION ALL SELECT 'functions_per_raw_semantic', round((SELECT value FROM m WHERE measure = 'semantic_functions_total') / (SELECT value FROM m WHERE measure = 'semantics_total'), 6)
+        UNION ALL SELECT 'projects_per_canonical_semantic', round((SELECT value FROM m WHERE measure = 'semantic_projects') / ((SELECT value FROM m WHERE measure = 'semantics_total') - (SELECT value FROM m WHERE measure = 'semantics_folded')), 6)
+        UNION ALL SELECT 'projects_per_canonical_finding', round((SELECT value FROM m WHERE measure = 'finding_projects') / ((SELECT value FROM m WHERE measure = 'findings_total') - (SELECT value FROM m WHERE measure = 'findings_folded')), 6)
+        UNION ALL SELECT 'categories_per_project', round((SELECT value FROM m WHERE measure = 'project_categories') / (SELECT value FROM m WHERE measure = 'projects_total'), 6)
+        UNION ALL SELECT 'cross_links_per_canonical_finding', round((SELECT value FROM m WHERE measure = 'links_cross') / ((SELECT value FROM m WHERE measure = 'findings_total') - (SELECT value FROM m WHERE measure = 'findings_folded')), 6)
+        UNION ALL SELECT 'cross_high_per_canonical_finding', round((SELECT value FROM m WHERE measure = 'cross_high') / ((SELECT value FROM m WHERE measure = 'findings_total') - (SELECT value FROM m WHERE measure = 'findings_folded')), 6)
+        UNION ALL SELECT 'cross_links_per_canonical_semantic', round((SELECT value FROM m WHERE measure = 'links_cross') / ((SELECT value FROM m WHERE measure = 'semantics_total') - (SELECT value FROM m WHERE measure = 'semantics_folded')), 6)""",
+    ),
     "a01_kg_overview": (
         lambda r: r["project"].agg(F.count(F.lit(1)).alias("projects"), F.count_if(F.col("status") == "completed").alias("completed")).crossJoin(r["project_semantic"].agg(F.count(F.lit(1)).alias("project_semantics"))).crossJoin(
             r["semantic_function"].agg(F.count(F.lit(1)).alias("functions"))).crossJoin(r["pending_semantic"].agg(F.count(F.lit(1)).alias("pending"))).crossJoin(r["finding_link_status"].agg(F.count(F.lit(1)).alias("processed"))),
