@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over the documents, each on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir).  All but the last return the columns of documents; the last
-returns the pieces of packed sequences.
+returns the pieces of packed sequences.  In every stage null text counts as empty text, an empty table
+gives an empty result, and columns beyond those of documents are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,32 +13,39 @@ from auditweave.llm import common, lines, packing, secret_scan, simhash, toxicit
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go.  Empty text scores like text without words; repeated rows score
+    alike and stay or go together, null doc_id too; without labels of both kinds every score is the share of
+    toxic labels."""
     common.findable(spark)
     return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go; every document stays."""
+    """Lines that many documents share go; every document stays, repeated rows and null doc_id too, each a
+    document of its own; what is left of a text may be empty."""
     common.findable(spark)
     return lines.drop_lines(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: near by fingerprint, or by five-word
-    shingles of a Jaccard similarity of at least 0.8."""
+    shingles of a Jaccard similarity of at least 0.8.  That of the smallest doc_id stays (null last), of equal
+    ones that of the smallest text hash, and of rows equal in both one; texts without words are one group."""
     common.findable(spark)
     return simhash.keep_one(docs, near=True)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, repeated rows and null doc_id too; overlapping
+    secrets get one mark."""
     common.findable(spark)
     return secret_scan.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in sequences of one length."""
+    """Token ids of all documents in sequences of one length.  Every row is a document, also with null or
+    repeated doc_id; an empty text is its end id alone; a document longer than a sequence is cut, no id is
+    lost; of equal windows the first opened is filled."""
     common.findable(spark)
     return packing.piece_digests(packing.pack(docs))
 
