@@ -88,3 +88,43 @@ def test_a_failed_batch_leaves_the_store(spark, tmp_path):
         store.commit(held, good.replace, bad)
     assert store.snapshot().version == 1 and store.snapshot()["semantic_node"].count() == 1
     assert store.commit(held, good.replace, good.append).rows["semantic_node"] == 2
+
+
+INCOMING = (
+    "src_id int, name string, definition string, description string, category string, functions array<struct<name:string,contract:string>>, targets array<int>, new_description string, projects array<int>",
+    "src_id int, title string, severity string, root_cause string, description string, category_id int, targets array<int>, new_description string, projects array<int>",
+    "src_semantic_id int, src_finding_id int, strength string, evidence string, ord int",
+)
+
+
+def imported(spark, semantics=(), findings=(), links=(), **more):
+    from auditweave.operators import importing
+
+    tables = base(spark) | {"pending_semantic": spark.createDataFrame([], "semantic_node_id int"), "finding_link_status": spark.createDataFrame([], "audit_finding_id int"),
+                            "merge_status": spark.createDataFrame([(3, "x", "link")], "id int, source_key string, phase string")} | more
+    s = [(i, f"s{i}", "d", "t", "DEX", [("f", "c")], t, u, p) for i, t, u, p in semantics]
+    f = [(i, f"f{i}", "Low", "r", "t", c, t, None, p) for i, c, t, p in findings]
+    return importing.import_canonicals(tables, importing.Incoming(*[spark.createDataFrame(list(x), k) for x, k in zip((s, f, links), INCOMING)]), "other")
+
+
+def test_canonicals_of_another_graph(spark):
+    # 10 is folded into 8 already, so what folds into 10 has its links carried to 8
+    more = {"semantic_node": spark.createDataFrame([(8, "m", "d", "o", "DEX"), (10, "n", "d", "old", "DEX")], "id int, name string, definition string, description string, category string"),
+            "semantic_merge": spark.createDataFrame([(10, 8)], "from_id int, to_id int"), "semantic_finding_link": spark.createDataFrame([(8, 6, "Low", "there")], "semantic_node_id int, audit_finding_id int, strength string, evidence string")}
+    out = imported(
+        spark, semantics=[(1, [10], " new ", [2]), (2, [], None, [1, 2])], findings=[(7, 7, [], [1]), (9, 7, [5], [1, 1])],
+        links=[(1, 9, "Low", "first", 1), (1, 9, "High", "second", 2), (1, 7, "High", "is there", 3), (2, 9, "High", "own", 4), (2, 99, "High", "gone", 5)], **more,
+    )
+    assert rows(out.semantic_ids) == [(1, 11), (2, 12)] and rows(out.finding_ids) == [(7, 6), (9, 7)]
+    assert rows(out.append["semantic_merge"]) == [(11, 10)] and rows(out.append["finding_merge"]) == [(7, 5)]
+    assert rows(out.append["semantic_finding_link"]) == [(12, 5, "High", "own"), (8, 5, "Low", "first")]
+    assert rows(out.append["pending_semantic"]) == [(12,)] and rows(out.append["finding_link_status"]) == [(7,)]
+    assert rows(out.append["project_semantic"]) == [(1, 12), (2, 11), (2, 12)] and rows(out.append["project_finding"]) == [(1, 5), (1, 6), (1, 7)]
+    assert rows(out.append["merge_status"]) == [(4, "other", "imported")]
+    assert {r.id: r.description for r in out.replace["semantic_node"].collect()} == {8: "o", 10: "new", 11: "t", 12: "t"}
+
+
+@pytest.mark.parametrize(("more", "what"), [({"semantics": [(1, [99], None, [])]}, "folds into none"), ({"findings": [(1, 8, [], [])]}, "taxonomy")])
+def test_imports_that_must_raise(spark, more, what):
+    with pytest.raises(ValueError, match=what):
+        imported(spark, **more)
