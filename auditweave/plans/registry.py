@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import graph_queries, more_queries, project_queries, report_queries, rule_queries, store_queries, text_queries
+from ..storage import findable
 from .roles import Roles, with_roles
 
 _ALL = {**graph_queries.QUERIES, **project_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES, **report_queries.QUERIES, **rule_queries.QUERIES, **store_queries.QUERIES}
@@ -14,7 +15,11 @@ _ALL = {**graph_queries.QUERIES, **project_queries.QUERIES, **text_queries.QUERI
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(make):
-        return lambda spark, sf_dir: make(Roles(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            findable(spark)
+            return make(Roles(spark, sf_dir))
+
+        return run
 
     return {name: over(make) for name, (make, _) in _ALL.items()}
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers that share the driver's disk import the package from here; a cluster has it
+    installed or gets it by --py-files."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in (environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
