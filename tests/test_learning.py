@@ -128,3 +128,30 @@ def test_canonicals_of_another_graph(spark):
 def test_imports_that_must_raise(spark, more, what):
     with pytest.raises(ValueError, match=what):
         imported(spark, **more)
+
+
+def test_joins_are_broadcast_by_measured_size_only(spark, tmp_path, monkeypatch):
+    """Many ids in a small file would be a large table in the driver."""
+    from auditweave.operators import importing
+    from auditweave.sources.versions import Store
+
+    seen, threshold = [], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold, None)
+
+    def noted(real):
+        return lambda *a: (seen.append(spark.conf.get(threshold, None)), real(*a))[1]
+
+    for module in (learning, importing):
+        monkeypatch.setattr(module, "cut", noted(module.cut))
+    b = base(spark)
+    learning.write_projects(b, learned(spark, [(1, "a", None)]))
+    imported(spark, semantics=[(1, [], None, [])])
+    assert len(seen) >= 4 and set(seen) == {"-1"}
+    assert spark.conf.get(threshold, None) == before
+    # the store plans what it writes in the same way
+    spark.range(100_000).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids"))
+    store = Store(spark, f"file://{tmp_path}/store")
+    monkeypatch.setattr(type(ids.write), "parquet", noted(type(ids.write).parquet))
+    seen.clear()
+    assert store.commit(store.snapshot(), replace={"t": ids}).rows == {"t": 100_000} and set(seen) == {"-1"}
