@@ -32,7 +32,7 @@ QUERIES = {
         "SELECT concat('c4-', p.id) AS platform, p.name, c.path FROM project p JOIN project_platform f ON f.project_id = p.id AND p.id % 4 = 0 LEFT JOIN contract c ON c.id = p.id AND c.id % 8 = 0",
     ),
     "s22_newest_artifacts": (
-        lambda r: state.latest(r["path_t"].select((F.col("id") % 60).alias("file_id"), (F.col("id") * 7919 % 101).alias("mtime"), "id", "path"), "file_id", "mtime", "id").select("file_id", "mtime", "path"),
+        lambda r: state.latest(r["path_t"].select((F.col("id") % 60).alias("file_id"), (F.col("id").cast("long") * 7919 % 101).cast("int").alias("mtime"), "id", "path"), "file_id", "mtime", "id").select("file_id", "mtime", "path"),
         "SELECT file_id, mtime, path FROM (SELECT id % 60 AS file_id, id * 7919 % 101 AS mtime, path, row_number() OVER (PARTITION BY id % 60 ORDER BY id * 7919 % 101 DESC, id) AS rn FROM path_t) x WHERE rn = 1",
     ),
     "s27_nested_call_graph": (

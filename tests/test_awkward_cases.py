@@ -115,3 +115,15 @@ def test_case(spark, name):
     assert sorted(want.columns) == columns
     order = [want.columns.index(c) for c in columns]
     assert plain(df.select(*[f"`{c}`" for c in columns]).collect()) == plain([[r[k] for k in order] for r in want.fetchall()])
+
+
+def test_artifacts_of_large_ids(spark, tmp_path):
+    """Ids whose product with the query's factor is beyond 32 bits."""
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(1_200_000 + k,) for k in range(120)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.file_id: (r.mtime, r.path) for r in queries()["s22_newest_artifacts"](spark, str(tmp_path)).collect()}
+    assert len(got) == 60
+    for k in range(60):
+        newest = max((1_200_000 + k, 1_200_060 + k), key=lambda i: (i * 7919 % 101, -i))
+        assert got[k][0] == newest * 7919 % 101 and f"F{newest}.sol" in got[k][1]
