@@ -279,9 +279,11 @@ QUERIES = {
         'SELECT doc_id, len(string_split(text, chr(10))) AS line, length(string_split(text, chr(10))[-1]) AS "column" FROM documents WHERE text IS NOT NULL',
     ),
     "x25_byte_cuts": (
-        lambda r: r["documents"].where("text IS NOT NULL").select("doc_id", F.md5(t.head_bytes(F.col("text"), 300)).alias("head")),
-        """SELECT doc_id, md5(CASE WHEN strlen(text) <= 300 THEN text ELSE concat(h, ' … [', strlen(text) - strlen(h), ' bytes truncated]') END) AS head
-        FROM (SELECT doc_id, text, left(text, list_max(list_filter(range(0, 301), lambda k: strlen(left(t3, k)) <= 300 AND k <= length(t3)))) AS h FROM (SELECT doc_id, text, left(text, 300) AS t3 FROM documents WHERE text IS NOT NULL) x) y""",
+        lambda r: r["documents"].select("doc_id", F.md5(t.head_bytes(F.col("text"), 300)).alias("head"), F.md5(t.tail_bytes(F.col("text"), 300)).alias("tail"), F.md5(t.tail_bytes(F.col("text"), 300, note=False)).alias("bare")),
+        """SELECT doc_id, md5(CASE WHEN strlen(text) <= 300 THEN text WHEN text IS NOT NULL THEN concat(h, ' … [', strlen(text) - strlen(h), ' bytes truncated]') END) AS head,
+        md5(CASE WHEN strlen(text) <= 300 THEN text WHEN text IS NOT NULL THEN concat('…[', strlen(text) - 300, ' bytes earlier]', chr(10), b) END) AS tail, md5(CASE WHEN strlen(text) <= 300 THEN text ELSE b END) AS bare
+        FROM (SELECT doc_id, text, left(text, list_max(list_filter(range(0, 301), lambda k: strlen(left(t3, k)) <= 300 AND k <= length(t3)))) AS h, right(text, list_max(list_filter(range(0, 301), lambda k: strlen(right(r3, k)) <= 300 AND k <= length(r3)))) AS b
+          FROM (SELECT doc_id, text, left(text, 300) AS t3, right(text, 300) AS r3 FROM documents) x) y""",
     ),
     "x25_document_cuts": (
         lambda r: r["documents"].where("text IS NOT NULL").select("doc_id", F.octet_length(t.tail_bytes(F.col("text"), 101, note=False)).alias("n"), F.md5(t.tail_bytes(F.col("text"), 400, note=False)).alias("tail")).select("doc_id", F.col("n").between(0, 101).alias("short"), "tail"),

@@ -127,3 +127,19 @@ def test_artifacts_of_large_ids(spark, tmp_path):
     for k in range(60):
         newest = max((1_200_000 + k, 1_200_060 + k), key=lambda i: (i * 7919 % 101, -i))
         assert got[k][0] == newest * 7919 % 101 and f"F{newest}.sol" in got[k][1]
+
+
+def test_byte_cuts_of_every_document(spark, tmp_path):
+    """Null texts too, and all three cuts."""
+    import hashlib
+
+    from __spark_entry__ import queries
+
+    texts = {1: None, 2: "", 3: "é" * 150, 4: "a" + "é" * 200, 5: "x" * 301, 6: "𝄞" * 100 + "ab"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:] for r in queries()["x25_byte_cuts"](spark, str(tmp_path)).collect()}
+    for i, text in texts.items():
+        data = text.encode() if text is not None else b""
+        head, tail = data[:300].decode(errors="ignore"), data[-300:].decode(errors="ignore")
+        told = (f"{head} … [{len(data) - len(head.encode())} bytes truncated]", f"…[{len(data) - 300} bytes earlier]\n{tail}", tail) if len(data) > 300 else (text,) * 3
+        assert got[i] == tuple(x if x is None else hashlib.md5(x.encode()).hexdigest() for x in told)
