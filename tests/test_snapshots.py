@@ -205,3 +205,29 @@ def test_clobber_and_clear(spark, tmp_path):
     assert copied == 14 + 60 and set(made) == {"parent", "child", "edge"} and rows(made["child"]) == rows(tables(spark)["child"])
     empty = cleared(store, ["child", "absent"])
     assert empty.rows == {"parent": 14, "child": 0, "edge": 0}
+
+
+def test_a_restored_table_reads_its_own_rows_only(spark, tmp_path):
+    specs = [sn.Table(n, "id int, name string") for n in ("one", "two")]
+    tables = {n: spark.createDataFrame([(k, f"{n} -- {k}") for k in range(3)], "id int, name string") for n in ("one", "two")}
+    sn.export_sql(tables, specs, f"{tmp_path}/s")
+    got = sn.import_sql(spark, specs, f"{tmp_path}/s").tables
+    for n in tables:
+        assert sorted(map(tuple, got[n].collect())) == sorted(map(tuple, tables[n].collect()))
+        assert "(known#" in (plan := got[n]._jdf.queryExecution().executedPlan().toString()) and f"= {n})" in plan.split("PartitionFilters: ")[1].split("]")[0]
+
+
+def test_a_task_splits_one_stretch_at_a_time(spark, tmp_path, monkeypatch):
+    """However many stretches a partition has: the splitter gets a table of one of them."""
+    from auditweave.sources import sql_scripts
+
+    real = sql_scripts._pieces
+
+    def one(key, stretch, first):
+        if stretch.num_rows != 1 or first.num_rows != 1:
+            raise ValueError("several stretches at once")
+        return real(key, stretch, first)
+
+    monkeypatch.setattr(sql_scripts, "_pieces", one)
+    (tmp_path / "a.sql").write_text("".join(f"insert {k} 'a;\n';\n" for k in range(200)))
+    assert sql_scripts.statements(spark, str(tmp_path / "a.sql"), piece=50).count() == 200
