@@ -6,11 +6,12 @@ aggregate or anti-join and brings a single row to the driver.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import STRENGTHS, rank, trim_all
-from ..storage import cut
+from ..storage import cut, findable
 from .state import unique_or_raise, with_new_ids
 
 VALID = "ValidFinding"
@@ -191,19 +192,32 @@ def core_ranks(containers: DataFrame, core: DataFrame) -> DataFrame:
 def resident(candidates: DataFrame, group: str, budget: Column) -> DataFrame:
     """Per project the containers whose sources fit the window, taken by core rank, degree, size and name; one
     that doesn't fit is skipped and the next tried.  ``candidates``: core_rank, degree, bytes, name, id, tokens.
-    An ordered fold over one project's containers is inherent; projects are folded apart."""
-    order = F.struct("core_rank", (-F.col("degree")).alias("d"), (-F.col("bytes")).alias("b"), "name", "id", "tokens")
-    start = F.struct(F.lit(0).cast("long").alias("tokens"), F.array().cast("array<int>").alias("kept"), F.array().cast("array<string>").alias("omitted"))
-
-    def step(s, c):
-        fits = s["tokens"] + c["tokens"] <= F.col("budget")
-        return F.when(fits, F.struct((s["tokens"] + c["tokens"]).alias("tokens"), F.array_append(s["kept"], c["id"]).alias("kept"), s["omitted"].alias("omitted"))).otherwise(
-            F.struct(s["tokens"].alias("tokens"), s["kept"].alias("kept"), F.array_append(s["omitted"], c["name"]).alias("omitted"))
-        )
-
-    lists = candidates.groupBy(group).agg(F.array_sort(F.collect_list(order)).alias("all"), F.max(budget).cast("long").alias("budget"))
-    out = lists.select(group, F.aggregate("all", start, step).alias("s"))
-    return out.select(group, "s.tokens", F.col("s.kept").alias("kept"), F.array_sort("s.omitted").alias("omitted"))
+    An ordered fold over one project's containers is inherent; projects are folded apart, over their tokens alone
+    and each in one pass."""
+    findable(candidates.sparkSession)
+    order = F.struct("core_rank", (-F.col("degree")).alias("d"), (-F.col("bytes")).alias("b"), "name", "id", F.col("tokens").cast("long").alias("tokens"))
+
+    @F.pandas_udf("array<boolean>")
+    def taken(tokens: pd.Series, budget: pd.Series) -> pd.Series:
+        return pd.Series([_taken(t.tolist(), int(b)) for t, b in zip(tokens, budget, strict=True)], dtype=object)
+
+    none = F.lit(2**63 - 1).cast("long")
+    lists = candidates.groupBy(group).agg(F.array_sort(F.collect_list(order)).alias("all"), F.coalesce(F.max(budget).cast("long"), -none - 1).alias("budget"))
+    lists = lists.withColumn("taken", taken(F.transform("all", lambda c: F.coalesce(c["tokens"], none)), F.col("budget")))
+    kept = F.filter("all", lambda c, i: F.get("taken", i))
+    omitted = F.filter("all", lambda c, i: ~F.get("taken", i))
+    return lists.select(
+        group, F.aggregate(kept, F.lit(0).cast("long"), lambda n, c: n + c["tokens"]).alias("tokens"), F.transform(kept, lambda c: c["id"].cast("int")).alias("kept"), F.array_sort(F.transform(omitted, lambda c: c["name"])).alias("omitted")
+    )
+
+
+def _taken(tokens: list[int], budget: int) -> list[bool]:
+    """Which of the items fit, each after those before it that did."""
+    used, out = 0, []
+    for t in tokens:
+        out.append(fits := used + t <= budget)
+        used += t if fits else 0
+    return out
 
 
 # -- budgets and texts ----------------------------------------------------------------------------

@@ -177,3 +177,19 @@ def test_repair_cascades(spark):
     out = integrity.repaired(tables, specs)
     assert {n: sorted(r.id for r in df.collect()) for n, df in out.tables.items()} == {"a": [1], "b": [1, 3], "c": [1, 3], "t": [1, 2]}
     assert sorted(map(tuple, out.report.collect())) == [("a", 0, 0, 0), ("b", 1, 1, 0), ("c", 1, 2, 0), ("t", 1, 3, 0)]
+
+
+def test_a_project_of_many_containers_is_folded_in_one_pass(spark):
+    """100,000 containers of which few fit: copying the list at each of them took minutes."""
+    import time
+
+    c = spark.range(100_000).select(F.lit(1).alias("project"), F.lit(0).alias("core_rank"), F.col("id").alias("degree"), F.lit(1).alias("bytes"), F.format_string("n%06d", "id").alias("name"), F.col("id").cast("int").alias("id"), (F.col("id") % 7 + 1).alias("tokens"))
+    began = time.time()
+    (got,) = rules.resident(c, "project", F.lit(10)).collect()
+    kept, used = [], 0
+    for i in range(99_999, -1, -1):
+        if used + i % 7 + 1 <= 10:
+            used += i % 7 + 1
+            kept.append(i)
+    assert (got.tokens, got.kept) == (used, kept) and got.omitted == [f"n{i:06}" for i in range(100_000) if i not in kept]
+    assert time.time() - began < 60
