@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .graph import closure
 
 
@@ -56,13 +57,19 @@ def ground(findings: DataFrame, contracts: DataFrame, functions: DataFrame) -> D
 
 
 def interface_methods(functions: DataFrame, inherits: DataFrame, owners: DataFrame) -> DataFrame:
-    """(id, target): for each function the functions of its name in its owner, where concrete, and in all
-    that inherit from it."""
-    down = closure(inherits, "contract_id", "inherited_id").select(F.col("ancestor").alias("owner_id"), F.col("node").alias("impl"))
-    own = owners.where("concrete").select(F.col("id").alias("owner_id"), F.col("id").alias("impl"))
-    reach = own.unionByName(down).distinct()
-    target = functions.select(F.col("id").alias("target"), F.col("owner_id").alias("impl"), "name")
-    return functions.select("id", "owner_id", "name").join(reach, "owner_id").join(target, ["impl", "name"]).select("id", "target")
+    """(id, target), each pair once: for each function the functions of its name in its owner, where concrete, and in
+    all that inherit from it.  Ancestors are followed from owners of functions only.  Pairs of functions of one row
+    each can't repeat, so only others are compared: what is shuffled grows with the functions, not with the pairs."""
+    rows = functions.select("id", "owner_id", "name").distinct()
+    rows = rows.join(rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("again")), "id")
+    owning = rows.select(F.col("owner_id").alias("node")).distinct()
+    down = closure(inherits, "contract_id", "inherited_id", owning).select(F.col("ancestor").alias("owner_id"), F.col("node").alias("impl"))
+    own = owners.where("concrete").select(F.col("id").alias("owner_id"), F.col("id").alias("impl")).join(owning.select(F.col("node").alias("impl")), "impl", "left_semi")
+    reach = cut(own.select("owner_id", "impl").unionByName(down).distinct())
+    target = rows.select(F.col("id").alias("target"), F.col("owner_id").alias("impl"), "name", F.col("again").alias("target_again"))
+    pairs = rows.join(reach, "owner_id").join(target, ["impl", "name"])
+    once = pairs.where("NOT (again OR target_again)").select("id", "target")
+    return once.unionByName(pairs.where("again OR target_again").select("id", "target").distinct())
 
 
 def inherit_by_name(contracts: DataFrame, bases: DataFrame) -> DataFrame:

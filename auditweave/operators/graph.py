@@ -40,11 +40,12 @@ def resolve(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None)
     return out
 
 
-def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """(node, ancestor) for all ancestors; a node is its own ancestor only on a cycle."""
+def closure(edges: DataFrame, child: str, parent: str, of: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor) for all ancestors; a node is its own ancestor only on a cycle.  With ``of`` (node) only those
+    of its nodes are followed."""
     one = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
     step = one.select(F.col("node").alias("mid"), F.col("ancestor").alias("next"))
-    known = cut(one)
+    known = cut(one if of is None else one.join(of.select("node"), "node", "left_semi"))
     fresh = known
     while not fresh.isEmpty():
         more = fresh.join(step, fresh["ancestor"] == step["mid"]).select("node", F.col("next").alias("ancestor")).distinct()

@@ -94,7 +94,7 @@ QUERIES = {
         FROM function_t f LEFT JOIN contract c ON c.id < 97 AND f.id % 5 <> 0 AND c.id = f.owner_id * (f.id % 2 + 1)""",
     ),
     "j35_interface_methods": (
-        lambda r: code.interface_methods(r["function_t"].select("id", F.col("owner_id"), F.concat(F.lit("m"), F.col("id") % 4).alias("name")), r["contract_inherit"], r["contract"].select("id", (F.col("id") % 2 == 0).alias("concrete"))).distinct(),
+        lambda r: code.interface_methods(r["function_t"].select("id", F.col("owner_id"), F.concat(F.lit("m"), F.col("id") % 4).alias("name")), r["contract_inherit"], r["contract"].select("id", (F.col("id") % 2 == 0).alias("concrete"))),
         """WITH RECURSIVE up AS (SELECT contract_id AS node, inherited_id AS a FROM contract_inherit UNION SELECT u.node, c.inherited_id FROM up u JOIN contract_inherit c ON c.contract_id = u.a),
         reach AS (SELECT id AS o, id AS impl FROM contract WHERE id % 2 = 0 UNION SELECT a, node FROM up)
         SELECT DISTINCT f.id, g.id AS target FROM function_t f JOIN reach ON o = f.owner_id JOIN function_t g ON g.owner_id = impl AND g.id % 4 = f.id % 4""",
