@@ -193,3 +193,43 @@ def test_a_project_of_many_containers_is_folded_in_one_pass(spark):
             kept.append(i)
     assert (got.tokens, got.kept) == (used, kept) and got.omitted == [f"n{i:06}" for i in range(100_000) if i not in kept]
     assert time.time() - began < 60
+
+
+def test_interface_methods_of_few_owners(spark):
+    """A long chain of contracts of which few own functions: only those are followed; pairs come once."""
+    from auditweave.operators import code
+
+    inherits = spark.createDataFrame([(k + 1, k) for k in range(1, 12)], "contract_id int, inherited_id int")
+    owners = spark.createDataFrame([(k, k % 2 == 0) for k in range(1, 13)], "id int, concrete boolean")
+    functions = spark.createDataFrame([(1, 1, "f"), (2, 2, "f"), (3, 4, "f"), (4, 4, "g"), (5, 2, "f"), (5, 4, "f"), (5, 4, "f")], "id int, owner_id int, name string")
+    df = code.interface_methods(functions, inherits, owners)
+    reach = {(a, b) for a in range(1, 13) for b in range(a, 13) if b > a or a % 2 == 0}
+    own = {tuple(r) for r in functions.collect()}
+    want = sorted({(f, g) for f, o, n in own for g, p, m in own if n == m and (o, p) in reach})
+    assert sorted(map(tuple, df.collect())) == want
+    # what is compared by a shuffle of all pairs are those of repeated ids only
+    seen = graph.closure(inherits, "contract_id", "inherited_id", functions.select(functions.owner_id.alias("node")).distinct())
+    assert {r.node for r in seen.collect()} == {2, 4}
+
+
+def test_contexts_of_equal_room_are_packed_once(spark, monkeypatch):
+    from auditweave.operators import link_plan
+
+    real, asked = link_plan.greedy_batches, []
+
+    def counted(df, *rest):
+        asked.append(df.count())
+        return real(df, *rest)
+
+    monkeypatch.setattr(link_plan, "greedy_batches", counted)
+    findings = spark.createDataFrame([(k, k, 3 + k % 4) for k in range(50)], "finding_id int, ord int, tokens int")
+    made = spark.createDataFrame([(c, 20 if c % 3 else 9) for c in range(30)], "chunk int, finding_tokens long")
+    got = {(r.chunk, r.finding_id): (r.batch, r.expected) for r in link_plan.batches(findings, made, link_plan.Budgets(1000)).collect()}
+    assert asked == [100] and len(got) == 30 * 50
+    for c in range(30):
+        batch, used = 0, 0
+        for k in range(50):
+            if used and used + 3 + k % 4 > (20 if c % 3 else 9):
+                batch, used = batch + 1, 0
+            used += 3 + k % 4
+            assert got[c, k] == (batch, 30)
