@@ -105,14 +105,16 @@ def scope_seed(nodes: DataFrame, merges: DataFrame, functions: DataFrame) -> Dat
 
 def link_fan_out(matched: DataFrame, extracts: DataFrame, nodes: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:
     """Match, extract, concept, link and finding as one row for each (extract, concept, finding), of several
-    the first: matches and links are made unique before they meet."""
+    the first: matches and links are made unique and get their texts before they meet, so that no join shuffles
+    the rows that they fan out to."""
     matched, links = first_by(matched, ["extract_id", "historical_id"]), first_by(links, ["semantic_node_id", "audit_finding_id"])
     m = matched.select("extract_id", "historical_id", F.col("strength").alias("match"))
     e = extracts.select(F.col("id").alias("extract_id"), F.col("name").alias("extract_name"))
     h = nodes.select(F.col("id").alias("historical_id"), F.col("name").alias("historical_name"))
     x = links.select(F.col("semantic_node_id").alias("historical_id"), F.col("audit_finding_id").alias("finding_id"), F.col("strength").alias("link"))
     f = findings.select(F.col("id").alias("finding_id"), "title")
-    return m.join(e, "extract_id").join(h, "historical_id").join(x, "historical_id").join(f, "finding_id")
+    told = m.join(e, "extract_id").join(h, "historical_id").join(x.join(f, "finding_id"), "historical_id")
+    return told.select("finding_id", "historical_id", "extract_id", "match", "extract_name", "historical_name", "link", "title")
 
 
 def split_links(links: DataFrame) -> DataFrame:

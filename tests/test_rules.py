@@ -233,3 +233,16 @@ def test_contexts_of_equal_room_are_packed_once(spark, monkeypatch):
                 batch, used = batch + 1, 0
             used += 3 + k % 4
             assert got[c, k] == (batch, 30)
+
+
+def test_the_fan_out_of_links_is_not_shuffled(spark):
+    from auditweave.operators import knowledge
+
+    mk = spark.createDataFrame
+    df = knowledge.link_fan_out(
+        mk([(1, 2, "High", 1)], "extract_id int, historical_id int, strength string, ord int"), mk([(1, "e")], "id int, name string"), mk([(2, "n")], "id int, name string"),
+        mk([(2, 5, "Low", "v", 1)], "semantic_node_id int, audit_finding_id int, strength string, evidence string, ord int"), mk([(5, "t")], "id int, title string"),
+    )
+    assert [tuple(r) for r in df.collect()] == [(5, 2, 1, "High", "e", "n", "Low", "t")]
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert "historical_id" in joins[0] and "finding_id" not in joins[0]
