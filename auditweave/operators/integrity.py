@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.snapshots import Table, ordered
-from ..storage import cut
+from ..storage import dealt, written
 
 
-def dangling(rows: DataFrame, table: str, key: list[str], targets: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
+def dangling(rows: DataFrame, table: str, key: list[str], targets: list[tuple[str, str, DataFrame, str]], parts: int = 0) -> DataFrame:
     """One issue a row that misses a target; the problem lists every missing side.  ``targets``:
-    (column, name, table, its key)."""
-    marked = rows
+    (column, name, table, its key); ``parts``: as of ``dealt``."""
+    marked = rows.select(*dict.fromkeys([*key, *[column for column, *_ in targets]]))
     for k, (column, _, target, own) in enumerate(targets):
-        there = target.select(F.col(own).alias(f"_k{k}")).distinct().withColumn(f"_h{k}", F.lit(1))
+        there = dealt(target.select(F.col(own).alias(f"_k{k}")), parts, f"_k{k}").distinct().withColumn(f"_h{k}", F.lit(1))
+        marked = dealt(marked, parts, column)
         marked = marked.join(there, marked[column] == F.col(f"_k{k}"), "left")
     missing = F.array_compact(F.array(*[F.when(F.col(f"_h{k}").isNull(), F.lit(f"missing {name}")) for k, (_, name, _, _) in enumerate(targets)]))
     return marked.where(F.size(missing) > 0).select(
@@ -24,24 +25,25 @@ def dangling(rows: DataFrame, table: str, key: list[str], targets: list[tuple[st
     )
 
 
-def issues(t: dict[str, DataFrame]) -> DataFrame:
-    """All rules over the graph's tables, in order of table, key and problem."""
+def issues(t: dict[str, DataFrame], parts: int = 0) -> DataFrame:
+    """All rules over the graph's tables.  Tables with a row a link go to ``parts`` tasks (see ``dealt``)."""
     node, finding, project = t["semantic_node"], t["audit_finding"], t["project"]
     out = [
         dangling(t["project_platform"], "project_platform", ["project_id"], [("project_id", "project", project, "id")]),
         dangling(t["project_category"], "project_category", ["project_id", "category"], [("project_id", "project", project, "id")]),
         dangling(t["semantic_function"], "semantic_function", ["semantic_node_id", "function_name"], [("semantic_node_id", "semantic", node, "id")]),
         dangling(t["semantic_merge"], "semantic_merge", ["from_id", "to_id"], [("from_id", "from", node, "id"), ("to_id", "to", node, "id")]),
-        dangling(t["finding_merge"], "finding_merge", ["from_id", "to_id"], [("from_id", "from", finding, "id"), ("to_id", "to", finding, "id")]),
-        dangling(t["finding_taxonomy"], "finding_taxonomy", ["audit_finding_id"], [("audit_finding_id", "finding", finding, "id")]),
-        dangling(t["sfl"], "semantic_finding_link", ["semantic_node_id", "audit_finding_id"], [("semantic_node_id", "semantic", node, "id"), ("audit_finding_id", "finding", finding, "id")]),
-        dangling(t["finding_link_status"], "finding_link_status", ["audit_finding_id"], [("audit_finding_id", "finding", finding, "id")]),
+        dangling(t["finding_merge"], "finding_merge", ["from_id", "to_id"], [("from_id", "from", finding, "id"), ("to_id", "to", finding, "id")], parts),
+        dangling(t["finding_taxonomy"], "finding_taxonomy", ["audit_finding_id"], [("audit_finding_id", "finding", finding, "id")], parts),
+        dangling(t["sfl"], "semantic_finding_link", ["semantic_node_id", "audit_finding_id"], [("semantic_node_id", "semantic", node, "id"), ("audit_finding_id", "finding", finding, "id")], parts),
+        dangling(t["finding_link_status"], "finding_link_status", ["audit_finding_id"], [("audit_finding_id", "finding", finding, "id")], parts),
     ]
 
     def told(df: DataFrame, table: str, key: str, problem: str) -> DataFrame:
         return df.select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.lit(problem).alias("problem"))
 
-    partial = t["sfl"].select("audit_finding_id").distinct().join(t["finding_link_status"], "audit_finding_id", "left_anti")
+    linked = dealt(t["sfl"].select("audit_finding_id"), parts, "audit_finding_id").distinct()
+    partial = linked.join(dealt(t["finding_link_status"], parts, "audit_finding_id"), "audit_finding_id", "left_anti")
     out.append(told(partial, "semantic_finding_link", "audit_finding_id", "linked without status"))
     out.append(told(t["pending_semantic"], "pending_semantic", "semantic_node_id", "queue not drained"))
     latest = t["merge_status"].groupBy("source_key").agg(F.max_by("phase", "id").alias("phase")).where("phase <> 'link'")

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import dealt, task_count
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -55,22 +58,41 @@ ROLES = {
 }
 
 
+#: Roles of a row a line or nearly: the source that is dealt out by their key before they are made.
+DEALT = {
+    "sfl": ("sfl_raw", "semantic_node_id", "audit_finding_id"),
+    "semantic_matched": ("match_raw", "extract_id", "historical_id"),
+    "project_semantic": ("lineitem", "CAST(l_suppkey AS INT)", "CAST(l_partkey AS INT)"),
+    "project_finding": ("lineitem", "CAST(l_suppkey AS INT)", "CAST(l_orderkey AS INT)"),
+}
+
+
 class Roles:
     """Base tables and roles of one input folder, by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
+        self._parts: dict[str, int] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in ROLES:
                 used = {n: self[n] for n in re.findall(r"\{(\w+)\}", ROLES[name])}
+                if name in DEALT:
+                    source, *keys = DEALT[name]
+                    used[source] = dealt(used[source], self.parts("lineitem"), *map(F.expr, keys))
                 self._made[name] = self.spark.sql(ROLES[name], **used)
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
+    def parts(self, table: str) -> int:
+        """Tasks for the rows of a base table, by the counts in its files' footers."""
+        if table not in self._parts:
+            self._parts[table] = task_count(self[table].count())
+        return self._parts[table]
+
 
 def with_roles(statement: str) -> str:
     """The statement for DuckDB, with the roles it names as common table expressions."""

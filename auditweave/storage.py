@@ -38,6 +38,21 @@ def findable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+#: Rows that a task of a shuffle over a large table takes, about.
+TASK_ROWS = 1 << 17
+
+
+def task_count(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, parts: int, *keys) -> DataFrame:
+    """Dealt out by keys to a number of tasks that follows the rows; 0 leaves the number to the engine, which joins
+    partitions by their bytes on disk: of sorted ids, that pack to a few bytes a row, a task would then take tens of
+    millions of rows."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
