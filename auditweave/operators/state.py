@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.enums import REVIEW_SEVERITIES, rank, trim_all
+from ..storage import dealt
 from .graph import cut
 
 
@@ -19,9 +20,9 @@ def put(state: DataFrame, rows: DataFrame, key: list[str], order: str | None = N
     return state.join(rows.select(*key), key, "left_anti").select(*state.columns).unionByName(rows)
 
 
-def add_missing(state: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Insert where the key is absent."""
-    new = rows.select(*state.columns).join(state.select(*key), key, "left_anti").dropDuplicates(key)
+def add_missing(state: DataFrame, rows: DataFrame, key: list[str], parts: int = 0) -> DataFrame:
+    """Insert where the key is absent; ``parts``: as of ``dealt``."""
+    new = dealt(rows.select(*state.columns), parts, *key).join(dealt(state.select(*key), parts, *key), key, "left_anti").dropDuplicates(key)
     return state.unionByName(new.select(*state.columns))
 
 

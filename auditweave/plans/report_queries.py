@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.enums import REVIEW_SEVERITIES, rank, trim_all
 from ..operators import graph, keep, knowledge, project, state
+from ..storage import dealt
 from .project_queries import every_spec
 
 _CANON = "SELECT n.* FROM semantic_node n WHERE n.id NOT IN (SELECT from_id FROM semantic_merge)"
@@ -172,7 +173,7 @@ QUERIES = {
         "SELECT concat('imported ', project_id) AS name, project_id AS id FROM project_platform WHERE project_id % 3 = 0 UNION ALL SELECT name, id FROM project WHERE id % 7 = 0",
     ),
     "u11_provenance_rows": (
-        lambda r: state.add_missing(r["project_semantic"], r["semantic_merge"].join(r["project_semantic"], F.col("from_id") == F.col("semantic_node_id")).select("project_id", F.col("to_id").alias("semantic_node_id")), ["project_id", "semantic_node_id"]),
+        lambda r: state.add_missing(r["project_semantic"], dealt(r["semantic_merge"], r.parts("lineitem"), "from_id").join(dealt(r["project_semantic"], r.parts("lineitem"), "semantic_node_id"), F.col("from_id") == F.col("semantic_node_id")).select("project_id", F.col("to_id").alias("semantic_node_id")), ["project_id", "semantic_node_id"], r.parts("lineitem")),
         "SELECT project_id, semantic_node_id FROM project_semantic UNION SELECT project_id, to_id FROM semantic_merge JOIN project_semantic ON from_id = semantic_node_id",
     ),
     "u12_imported_links": (

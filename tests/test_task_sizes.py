@@ -33,3 +33,8 @@ def test_links_are_dealt_by_their_rows(spark, monkeypatch):
 
 def test_issues_in_tasks(roles):
     dealt_the_same(integrity.issues(roles), integrity.issues(roles, PARTS))
+
+
+def test_missing_rows_in_tasks(spark):
+    there, new = spark.range(50).selectExpr("id % 9 AS a", "id AS b"), spark.range(40, 70).selectExpr("id % 9 AS a", "id AS b")
+    dealt_the_same(state.add_missing(there, new, ["a", "b"]), state.add_missing(there, new, ["a", "b"], PARTS))
