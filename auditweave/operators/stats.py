@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, dealt
 from .knowledge import canonical_only, folded, split_links
 
 
@@ -39,12 +39,20 @@ def totals(nodes: DataFrame, semantic_merges: DataFrame, findings: DataFrame, fi
     )
 
 
-def project_reach(nodes: DataFrame, merges: DataFrame, project_semantic: DataFrame) -> DataFrame:
+def _reach(nodes: DataFrame, merges: DataFrame, held: DataFrame, column: str, parts: int) -> DataFrame:
+    """id of each canonical node that a project holds, and its or its children's projects as rows, each once; all of a
+    node's are in one of ``parts`` tasks (see ``dealt``)."""
+    own = dealt(held.select(F.col(column).alias("id"), "project_id"), parts, "id")
+    edges = dealt(merges.select("from_id", "to_id"), parts, "from_id")
+    lent = own.join(edges, own["id"] == edges["from_id"]).select(F.col("to_id").alias("id"), "project_id")
+    canonical = dealt(canonical_only(nodes, merges).select("id"), parts, "id")
+    return dealt(own.unionByName(lent), parts, "id").join(canonical, "id", "left_semi").distinct()
+
+
+def project_reach(nodes: DataFrame, merges: DataFrame, project_semantic: DataFrame, parts: int = 0) -> DataFrame:
     """Distinct projects of each canonical node or of what is merged into it (every parent is
     credited): average over canonical nodes, and the most."""
-    own = project_semantic.select(F.col("semantic_node_id").alias("id"), "project_id")
-    lent = own.join(merges, own["id"] == merges["from_id"]).select(F.col("to_id").alias("id"), "project_id")
-    reach = own.unionByName(lent).join(canonical_only(nodes, merges).select("id"), "id", "left_semi").distinct().groupBy("id").count()
+    reach = _reach(nodes, merges, project_semantic, "semantic_node_id", parts).groupBy("id").count()
     n = canonical_only(nodes, merges).agg(F.count(F.lit(1)).alias("canonical"))
     sums = reach.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("reached"), F.coalesce(F.max("count"), F.lit(0)).alias("max_reach"))
     return n.crossJoin(sums).select("canonical", "max_reach", F.round(_ratio(F.col("reached"), F.col("canonical")), 6).alias("avg_reach"))

@@ -239,7 +239,7 @@ QUERIES = {
         round(c::DOUBLE / s, 6) AS links_per_semantic, round(c::DOUBLE / f, 6) AS links_per_finding FROM x, b""",
     ),
     "a07_project_reach": (
-        lambda r: stats.project_reach(r["semantic_node"], r["semantic_merge"], r["project_semantic"]),
+        lambda r: stats.project_reach(r["semantic_node"], r["semantic_merge"], r["project_semantic"], r.parts("lineitem")),
         f"""WITH c AS (SELECT id FROM ({_CANON}) q), p AS (SELECT semantic_node_id AS id, project_id FROM project_semantic UNION SELECT to_id, project_id FROM project_semantic JOIN semantic_merge ON from_id = semantic_node_id),
         k AS (SELECT c.id, count(DISTINCT project_id) AS n FROM c LEFT JOIN p ON p.id = c.id GROUP BY c.id)
         SELECT count(*) AS canonical, max(n) AS max_reach, round(sum(n)::DOUBLE / count(*), 6) AS avg_reach FROM k""",

@@ -38,3 +38,8 @@ def test_issues_in_tasks(roles):
 def test_missing_rows_in_tasks(spark):
     there, new = spark.range(50).selectExpr("id % 9 AS a", "id AS b"), spark.range(40, 70).selectExpr("id % 9 AS a", "id AS b")
     dealt_the_same(state.add_missing(there, new, ["a", "b"]), state.add_missing(there, new, ["a", "b"], PARTS))
+
+
+def test_reach_in_tasks(roles):
+    of = [roles[n] for n in ("semantic_node", "semantic_merge", "project_semantic")]
+    dealt_the_same(stats.project_reach(*of), stats.project_reach(*of, PARTS))
