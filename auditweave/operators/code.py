@@ -28,8 +28,9 @@ def resolve_steps(steps: DataFrame, owned: DataFrame) -> DataFrame:
     """Steps (id, contract, function) -> function_id: in the contract, else the interface, of that name,
     else any function of the name; of several the smallest id; null if none."""
     named = owned.select(F.col("id").alias("fid"), F.col("name").alias("function"), "owner", "kind")
-    exact = steps.join(named, (steps["contract"] == named["owner"]) & (steps["function"] == named["function"]))
-    exact = exact.select(steps["id"], F.when(F.col("kind") == "contract", 0).otherwise(1).alias("tier"), "fid")
+    tier = F.when(F.col("kind") == "contract", 0).otherwise(1).alias("tier")
+    first = named.groupBy("owner", "function").agg(F.min(F.struct(tier, "fid")).alias("first"))  # a row a name, however many functions have it
+    exact = steps.join(first, (steps["contract"] == first["owner"]) & (steps["function"] == first["function"])).select(steps["id"], "first.tier", "first.fid")
     loose = steps.select("id", "function").join(named.groupBy("function").agg(F.min("fid").alias("fid")), "function").select("id", F.lit(2).alias("tier"), "fid")
     best = exact.unionByName(loose).groupBy("id").agg(F.min(F.struct("tier", "fid")).alias("best"))
     return steps.join(best, "id", "left").select("id", "contract", "function", F.col("best.fid").alias("function_id"), F.col("best.tier").alias("tier"))

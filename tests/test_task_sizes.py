@@ -43,3 +43,15 @@ def test_missing_rows_in_tasks(spark):
 def test_reach_in_tasks(roles):
     of = [roles[n] for n in ("semantic_node", "semantic_merge", "project_semantic")]
     dealt_the_same(stats.project_reach(*of), stats.project_reach(*of, PARTS))
+
+
+def test_steps_meet_a_row_a_name(spark):
+    """Three thousand functions of one name and owner: nine million pairs, of which no join may make a row."""
+    steps = spark.range(3000).selectExpr("id", "concat('C', id % 1) AS contract", "concat('f', id % 1) AS function")
+    owned = spark.range(3000).selectExpr("id", "concat('f', id % 1) AS name", "concat('C', id % 1) AS owner", "'contract' AS kind")
+    out = code.resolve_steps(steps, owned)
+    got = out.groupBy("function_id", "tier").count().collect()
+    assert [tuple(x) for x in got] == [(0, 0, 3000)]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    inner = next(k for k, line in enumerate(lines) if "Join Inner" in line and "owner" in line)
+    assert any("Aggregate [owner" in line for line in lines[inner:])
