@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import IN_PROJECT, rank, STRENGTHS
-from ..storage import cut
+from ..storage import cut, dealt
 from .graph import resolve, single_parent
 from .keep import first_by, strongest
 from .rules import first_category, one_category, scope_categories
@@ -67,11 +67,12 @@ def linked_findings(findings: DataFrame, status: DataFrame, taxonomy: DataFrame,
     return done.join(first_category(taxonomy).withColumnRenamed("category", "taxonomy"), "id")
 
 
-def processed_without_links(status: DataFrame, links: DataFrame, merges: DataFrame) -> DataFrame:
-    """Marked findings whose canonical finding has no link."""
+def processed_without_links(status: DataFrame, links: DataFrame, merges: DataFrame, parts: int = 0) -> DataFrame:
+    """Marked findings whose canonical finding has no link; ``parts``: as of ``dealt``."""
     ids = status.select(F.col("audit_finding_id").alias("id"))
-    at = resolve(ids, merges)
-    return at.join(links.select(F.col("audit_finding_id").alias("canonical")), "canonical", "left_anti").select(F.col("node").alias("id"))
+    at = dealt(resolve(ids, merges), parts, "canonical")
+    linked = dealt(links.select(F.col("audit_finding_id").alias("canonical")), parts, "canonical")
+    return at.join(linked, "canonical", "left_anti").select(F.col("node").alias("id"))
 
 
 def link_candidates(nodes: DataFrame, merges: DataFrame, categories: list[str]) -> DataFrame:

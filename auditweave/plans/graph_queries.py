@@ -120,7 +120,7 @@ QUERIES = {
         WHERE f.id IN (SELECT audit_finding_id FROM finding_link_status) AND f.id NOT IN (SELECT from_id FROM finding_merge)""",
     ),
     "j08_processed_without_links": (
-        lambda r: knowledge.processed_without_links(r["finding_link_status"], r["sfl"].where("strength = 'High'"), r["finding_merge"]),
+        lambda r: knowledge.processed_without_links(r["finding_link_status"], r["sfl"].where("strength = 'High'"), r["finding_merge"], r.parts("lineitem")),
         f"""WITH RECURSIVE {_walk("audit_finding", "finding_merge")}
         SELECT node AS id FROM res WHERE node IN (SELECT audit_finding_id FROM finding_link_status) AND canonical NOT IN (SELECT audit_finding_id FROM sfl WHERE strength = 'High')""",
     ),

@@ -55,3 +55,8 @@ def test_steps_meet_a_row_a_name(spark):
     lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     inner = next(k for k, line in enumerate(lines) if "Join Inner" in line and "owner" in line)
     assert any("Aggregate [owner" in line for line in lines[inner:])
+
+
+def test_processed_without_links_in_tasks(roles):
+    of = [roles["finding_link_status"], roles["sfl"].where("strength = 'High'"), roles["finding_merge"]]
+    dealt_the_same(knowledge.processed_without_links(*of), knowledge.processed_without_links(*of, PARTS))
