@@ -92,15 +92,14 @@ def repaired(tables: dict[str, DataFrame], specs: list[Table]) -> Repaired:
         if not spec.refs:
             counts.append((spec.name, 0, 0, 0))
             continue
-        n = tables[spec.name].count()
-        detected = pointing_nowhere(tables, spec).where("_bad").count()
+        out[spec.name] = written(tables[spec.name], spec.name)  # a table may be costly to make, and is read several times
+        n, detected = pointing_nowhere({**tables, spec.name: out[spec.name]}, spec).agg(F.count(F.lit(1)), F.count_if("_bad")).head()
         while True:
-            marked = cut(pointing_nowhere(out, spec))
-            out[spec.name] = marked.where("NOT _bad").drop("_bad")
-            left = pointing_nowhere(out, spec).where("_bad").count()
+            out[spec.name] = written(pointing_nowhere(out, spec).where("NOT _bad").drop("_bad"), spec.name)
+            kept, left = pointing_nowhere(out, spec).agg(F.count(F.lit(1)), F.count_if("_bad")).head()
             if not left or all(other != spec.name for other, _ in spec.refs.values()):
                 break
-        counts.append((spec.name, detected, n - out[spec.name].count(), left))
+        counts.append((spec.name, detected, n - kept, left))
     spark = next(iter(tables.values())).sparkSession
     return Repaired(out, spark.createDataFrame(counts, "table_name string, detected long, repaired long, remaining long"))
 

@@ -60,3 +60,13 @@ def test_steps_meet_a_row_a_name(spark):
 def test_processed_without_links_in_tasks(roles):
     of = [roles["finding_link_status"], roles["sfl"].where("strength = 'High'"), roles["finding_merge"]]
     dealt_the_same(knowledge.processed_without_links(*of), knowledge.processed_without_links(*of, PARTS))
+
+
+def test_repair_reads_a_table_once(spark):
+    from auditweave.sources.snapshots import Table
+
+    specs = [Table("a", "id long"), Table("b", "id long, a long", {"a": ("a", "id")})]
+    rows, made = counted(spark, spark.range(100).selectExpr("id", "id % 10 AS a"))
+    got = integrity.repaired({"a": spark.range(8), "b": rows}, specs)
+    assert sorted(map(tuple, got.report.collect())) == [("a", 0, 0, 0), ("b", 20, 20, 0)] and got.tables["b"].count() == 80
+    assert made.value == 100
