@@ -242,7 +242,8 @@ def context_budget(most: Column, utilization: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Letters and digits in lower case, anything else one dash, 48 characters at most."""
-    short = F.btrim(F.substring(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "-")), 1, 48), F.lit("-"))
+    head = F.regexp_extract(c, "^(?:[A-Za-z0-9]|[^A-Za-z0-9]++){0,48}", 0)  # what the first 48 characters come from, however long the rest
+    short = F.btrim(F.substring(F.lower(F.regexp_replace(head, "[^A-Za-z0-9]+", "-")), 1, 48), F.lit("-"))
     return F.when(short == "", F.lit("project")).otherwise(short)
 
 

@@ -70,3 +70,12 @@ def test_repair_reads_a_table_once(spark):
     got = integrity.repaired({"a": spark.range(8), "b": rows}, specs)
     assert sorted(map(tuple, got.report.collect())) == [("a", 0, 0, 0), ("b", 20, 20, 0)] and got.tables["b"].count() == 80
     assert made.value == 100
+
+
+def test_slugs_read_what_they_need(spark):
+    texts = ["", " - ", "a" * 100, "é" * 5000 + "b" + "é" * 5000 + "c" * 60, "x--y " * 40, "ab\n\r𝄞" * 30, "a-" * 24 + "é", "a-" * 23 + "bé" * 3, "-" * 9000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.btrim(F.substring(F.lower(F.regexp_replace("t", "[^A-Za-z0-9]+", "-")), 1, 48), F.lit("-"))
+    got = df.select(rules.slug(F.col("t")).alias("slug"), F.when(plain == "", "project").otherwise(plain).alias("plain"))
+    assert all(r.slug == r.plain for r in got.collect())
+    assert "regexp_extract" in got.select("slug")._jdf.queryExecution().optimizedPlan().toString()
