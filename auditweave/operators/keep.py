@@ -34,6 +34,14 @@ def quota(df: DataFrame, keys: list[str], cap: int, order: list[Column]) -> Data
     return df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= cap).drop("_nth")
 
 
+def first_links(links: DataFrame, least: str, cap: int) -> DataFrame:
+    """Of each concept's links (historical_id, finding_id, link) those that can stay under a cap of ``cap`` links a pair
+    of ``plan_links``: within a pair match and arrival are the same, so that every extract keeps the same first
+    links of a concept.  Taken before links fan out to extracts."""
+    strong = links.where(rank("link", STRENGTHS) >= STRENGTHS[least])
+    return quota(strong, ["historical_id"], cap, [rank("link", STRENGTHS).desc(), F.col("finding_id").asc()])
+
+
 def plan_links(links: DataFrame, built: DataFrame, least_match: str = "Low", least_link: str = "Low", per_pair: int = 0, per_extract: int = 0, total: int = 0) -> DataFrame:
     """Links (extract_id, historical_id, finding_id, match, link, ord) in the order of work.
 

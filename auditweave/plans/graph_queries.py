@@ -170,8 +170,8 @@ QUERIES = {
     ),
     "w05_planned_links": (
         lambda r: keep.plan_links(
-            r["semantic_matched"].select("extract_id", "historical_id", F.col("strength").alias("match"), "ord").join(
-                r["sfl"].select(F.col("semantic_node_id").alias("historical_id"), F.col("audit_finding_id").alias("finding_id"), F.col("strength").alias("link")), "historical_id"
+            dealt(r["semantic_matched"].select("extract_id", "historical_id", F.col("strength").alias("match"), "ord").where("match <> 'Low'"), r.parts("lineitem"), "historical_id").join(
+                dealt(keep.first_links(r["sfl"].select(F.col("semantic_node_id").alias("historical_id"), F.col("audit_finding_id").alias("finding_id"), F.col("strength").alias("link")), "Medium", 2), r.parts("lineitem"), "historical_id"), "historical_id"
             ).withColumn("ord", F.struct("ord", "finding_id", "historical_id")),
             r["specification"], "Medium", "Medium", 2, 20, 400,
         ).select("extract_id", "historical_id", "finding_id", "match", "link", "turn"),

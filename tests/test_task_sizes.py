@@ -79,3 +79,18 @@ def test_slugs_read_what_they_need(spark):
     got = df.select(rules.slug(F.col("t")).alias("slug"), F.when(plain == "", "project").otherwise(plain).alias("plain"))
     assert all(r.slug == r.plain for r in got.collect())
     assert "regexp_extract" in got.select("slug")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_caps_before_the_fan_out(spark):
+    """A concept's links beyond the cap of a pair never meet its extracts, and the plan stays the same."""
+    links = spark.range(90).selectExpr("id % 3 AS historical_id", "id AS finding_id", "CASE id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' ELSE 'Medium' END AS link")
+    first = keep.first_links(links, "Medium", 2)
+    assert sorted(map(tuple, first.collect())) == [(0, 0, "High"), (0, 12, "High"), (1, 4, "High"), (1, 16, "High"), (2, 8, "High"), (2, 20, "High")]
+    matched = spark.range(12).selectExpr("id % 4 AS extract_id", "id % 3 AS historical_id", "CASE id % 2 WHEN 0 THEN 'High' ELSE 'Medium' END AS match", "id AS ord")
+    built = links.where("finding_id = 12").select(F.lit(0).alias("extract_id"), "historical_id", "finding_id")
+
+    def plan(of):
+        fan = matched.join(of, "historical_id").withColumn("ord", F.struct("ord", "finding_id", "historical_id"))
+        return sorted(map(str, keep.plan_links(fan, built, "Medium", "Medium", 2, 3, 10).collect()))
+
+    assert plan(links) == plan(first)
