@@ -141,7 +141,7 @@ QUERIES = {
         SELECT s AS semantic_node_id, f AS audit_finding_id, strength FROM e UNION ALL SELECT s, f, strength FROM c WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.s = c.s AND e.f = c.f)""",
     ),
     "a01_kg_stats": (
-        stats.overview,
+        lambda r: stats.overview(r, r.parts("lineitem")),
         """WITH sr AS (SELECT id, count(DISTINCT project_id) AS n FROM (SELECT semantic_node_id AS id, project_id FROM project_semantic UNION ALL SELECT to_id, project_id FROM project_semantic JOIN semantic_merge ON from_id = semantic_node_id) x
           WHERE id IN (SELECT id FROM semantic_node) AND id NOT IN (SELECT from_id FROM semantic_merge) GROUP BY 1),
         fr AS (SELECT id, count(DISTINCT project_id) AS n FROM (SELECT audit_finding_id AS id, project_id FROM project_finding UNION ALL SELECT to_id, project_id FROM project_finding JOIN finding_merge ON from_id = audit_finding_id) x

@@ -94,3 +94,9 @@ def test_caps_before_the_fan_out(spark):
         return sorted(map(str, keep.plan_links(fan, built, "Medium", "Medium", 2, 3, 10).collect()))
 
     assert plan(links) == plan(first)
+
+
+def test_overview_in_tasks(roles):
+    assert sorted(map(str, stats.overview(roles).collect())) == sorted(map(str, stats.overview(roles, PARTS).collect()))
+    of = [roles[n] for n in ("semantic_node", "semantic_merge", "project_semantic")]
+    dealt_the_same(stats._reach(*of, "semantic_node_id", 0), stats._reach(*of, "semantic_node_id", PARTS))
