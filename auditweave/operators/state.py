@@ -29,6 +29,7 @@ def add_missing(state: DataFrame, rows: DataFrame, key: list[str], parts: int =
 def with_new_ids(state: DataFrame, rows: DataFrame, order: str) -> DataFrame:
     """Incoming rows with ids after the largest there, in order.  Ranges of ``order`` are numbered each on
     their own and shifted, so no task holds all rows."""
+    rows = cut(rows)  # ranges are drawn from a first reading
     most = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
     parts = cut(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))  # read twice: its ranges must not move
     sizes = parts.groupBy("part").count()

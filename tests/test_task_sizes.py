@@ -100,3 +100,22 @@ def test_overview_in_tasks(roles):
     assert sorted(map(str, stats.overview(roles).collect())) == sorted(map(str, stats.overview(roles, PARTS).collect()))
     of = [roles[n] for n in ("semantic_node", "semantic_merge", "project_semantic")]
     dealt_the_same(stats._reach(*of, "semantic_node_id", 0), stats._reach(*of, "semantic_node_id", PARTS))
+
+
+def counted(spark, df):
+    """The frame, and how often its rows have been made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return df.mapInPandas(one, df.schema), made
+
+
+def test_new_ids_read_their_rows_once(spark):
+    rows, made = counted(spark, spark.range(100).withColumnRenamed("id", "at"))
+    out = state.with_new_ids(spark.range(5), rows, "at")
+    assert sorted(map(tuple, out.select("at", "id").collect())) == [(k, 5 + k) for k in range(100)]
+    assert made.value == 100
