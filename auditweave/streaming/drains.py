@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rules import batch_results
 from ..sources.versions import Conflict, Snapshot, Store
+from ..storage import adaptive, written
 
 #: Tables to replace and rows to append, of a batch's fresh rows and the version it starts from.
 Work = Callable[[DataFrame, Snapshot], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
@@ -25,6 +26,10 @@ def drain(queue: DataFrame, store: Store, name: str, key: list[str], work: Work,
     of one key in a batch any.  Another writer's version in between means another attempt on top of it."""
 
     def run(batch: DataFrame, number: int) -> None:
+        with adaptive(batch.sparkSession):
+            once(batch, number)
+
+    def once(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         for attempt in range(attempts):
             base = store.snapshot()
@@ -58,5 +63,6 @@ def link_findings(fresh: DataFrame, base: Snapshot) -> tuple[dict[str, DataFrame
     ready = counts.where("n = expected AND NOT failed").select("finding_id")
     if "link_complete" in base:
         ready = ready.join(base["link_complete"].select("finding_id"), "finding_id", "left_anti")
-    whole = touched.join(ready, "finding_id", "left_semi")
+    ready = written(ready, "ready")  # both are read more than once
+    whole = written(touched.join(ready, "finding_id", "left_semi"), "whole")
     return {}, {"link_progress": fresh, "link_rows": batch_results(whole), "link_complete": ready}

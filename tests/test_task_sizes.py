@@ -119,3 +119,40 @@ def test_new_ids_read_their_rows_once(spark):
     out = state.with_new_ids(spark.range(5), rows, "at")
     assert sorted(map(tuple, out.select("at", "id").collect())) == [(k, 5 + k) for k in range(100)]
     assert made.value == 100
+
+
+def test_batches_size_their_shuffles(spark, tmp_path):
+    from auditweave.sources.versions import Store
+    from auditweave.streaming import drains
+
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def work(fresh, base):
+        seen.append(fresh.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return {}, {"out": fresh}
+
+    queue = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    q = drains.drain(queue, Store(spark, f"file://{tmp_path}/store"), "q", ["id"], work).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == ["true"]
+
+def test_drained_files_follow_the_rows(spark, monkeypatch, tmp_path):
+    from auditweave.plans import store_queries
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    monkeypatch.setattr(store_queries, "scratch_path", lambda spark, what: f"file://{tmp_path}/{what}")
+    parts = Roles(spark, SF).parts("lineitem")
+    out = queries()["t08_drained_results"](spark, SF)
+    assert out.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert len(spark.read.parquet(f"file://{tmp_path}/drain/in").inputFiles()) >= parts > 6
+
+
+def test_complete_findings_are_made_once(spark):
+    from auditweave.sources.versions import Snapshot
+    from auditweave.streaming import drains
+
+    fresh = spark.createDataFrame([(1, 1, 1, 1, False, 3, "Low", "")], "finding_id int, target_id int, context int, expected int, failed boolean, semantic_id int, strength string, evidence string")
+    out = drains.link_findings(fresh, Snapshot(spark, 0, {}))[1]
+    assert [tuple(r) for r in out["link_complete"].collect()] == [(1,)]
+    assert "Exchange" not in out["link_complete"]._jdf.queryExecution().executedPlan().toString()
