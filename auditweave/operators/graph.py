@@ -20,13 +20,29 @@ def single_parent(edges: DataFrame) -> DataFrame:
 def resolve(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, canonical: edges followed to their end.  On a cycle the first repeated node is the
     end; with ``known`` ids, edges to others are not followed."""
+    one = _followed(edges, known)
+    ids = nodes.select(F.col("id").alias("node"))
+    still = ids.join(one.select(F.col("from_id").alias("node")), "node", "left_anti").select("node", F.col("node").alias("canonical"))
+    return still.unionByName(_walked(ids, one))
+
+
+def resolve_moved(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``resolve`` of the nodes that have an edge to follow; all others are their own canonical ones."""
+    return _walked(nodes.select(F.col("id").alias("node")), _followed(edges, known))
+
+
+def _followed(edges: DataFrame, known: DataFrame | None) -> DataFrame:
+    """One edge a node, made once for all levels of a walk."""
     one = single_parent(edges)
     if known is not None:
         one = one.join(known.select(F.col("id").alias("to_id")), "to_id", "left_semi")
-    ids = nodes.select(F.col("id").alias("node"))
+    return cut(one.select("from_id", "to_id"))
+
+
+def _walked(ids: DataFrame, one: DataFrame) -> DataFrame:
     linked = ids.join(one.select(F.col("from_id").alias("node")), "node", "left_semi")
-    done = [ids.join(one.select(F.col("from_id").alias("node")), "node", "left_anti").select("node", F.col("node").alias("canonical"))]
     live = cut(linked.select("node", F.array("node").alias("path")))
+    done = []
     while not live.isEmpty():
         step = live.join(one, F.element_at("path", -1) == one["from_id"], "left")
         again = F.array_contains("path", F.col("to_id"))
@@ -34,8 +50,8 @@ def resolve(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None)
         done.append(step.where("to_id IS NULL").select("node", F.element_at("path", -1).alias("canonical")))
         done.append(step.where("again").select("node", F.col("to_id").alias("canonical")))
         live = step.where("to_id IS NOT NULL AND NOT again").select("node", F.concat("path", F.array("to_id")).alias("path"))
-    out = done[0]
-    for d in done[1:]:
+    out = live.select("node", F.element_at("path", -1).alias("canonical"))  # of no rows by now
+    for d in done:
         out = out.unionByName(d)
     return out
 

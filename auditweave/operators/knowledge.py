@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.enums import IN_PROJECT, rank, STRENGTHS
 from ..storage import cut, dealt
-from .graph import resolve, single_parent
+from .graph import resolve, resolve_moved, single_parent
 from .keep import first_by, strongest
 from .rules import first_category, one_category, scope_categories
 
@@ -84,19 +84,27 @@ def link_candidates(nodes: DataFrame, merges: DataFrame, categories: list[str])
 
 
 def vulnerability_scope(
-    links: DataFrame, findings: DataFrame, nodes: DataFrame, finding_merges: DataFrame, semantic_merges: DataFrame, project_finding: DataFrame, project_category: DataFrame
+    links: DataFrame, findings: DataFrame, nodes: DataFrame, finding_merges: DataFrame, semantic_merges: DataFrame, project_finding: DataFrame, project_category: DataFrame, parts: int = 0
 ) -> DataFrame:
     """Per canonical finding the sorted distinct names and categories of its canonical concepts; without
-    any, the categories of its first project, or Others."""
-    f = resolve(findings, finding_merges, findings).select(F.col("node").alias("audit_finding_id"), F.col("canonical").alias("finding_id"))
-    s = resolve(nodes, semantic_merges, nodes).select(F.col("node").alias("semantic_node_id"), F.col("canonical").alias("id"))
-    pairs = links.select("semantic_node_id", "audit_finding_id").join(f, "audit_finding_id").join(s, "semantic_node_id").select("finding_id", "id").distinct()
-    named = pairs.join(nodes.select("id", "name", "category"), "id")
-    own = named.groupBy(F.col("finding_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("category")).alias("categories"))
+    any, the categories of its first project, or Others.  Repeated links are as good as one.  Links of unknown
+    concepts and findings meet no name, or no finding in the end.  ``parts``: as of ``dealt``."""
+    f = resolve_moved(findings, finding_merges, findings).select(F.col("node").alias("audit_finding_id"), F.col("canonical").alias("moved_to"))
+    s = resolve_moved(nodes, semantic_merges, nodes).select(F.col("node").alias("id"), "canonical")
+    of = nodes.select("id").join(s, "id", "left").select(F.col("id").alias("semantic_node_id"), F.coalesce("canonical", "id").alias("id"))
+    named = of.join(nodes.select("id", "name", "category"), "id").drop("id")
+
+    def met(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+        """Both sides dealt alike; of the right, a row a key, a task holds its share, so that links needn't be sorted."""
+        return dealt(left, parts, key).join(dealt(right, parts, key).hint("shuffle_hash"), key, how)
+
+    pairs = met(links.select("semantic_node_id", "audit_finding_id"), f, "audit_finding_id", "left")
+    pairs = pairs.select("semantic_node_id", F.coalesce("moved_to", "audit_finding_id").alias("id"))
+    told = dealt(met(pairs, named, "semantic_node_id", "inner").select("id", "name", "category"), parts, "id")
+    own = told.groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("names"), F.sort_array(F.collect_set("category")).alias("categories"))
     none = F.array().cast("array<string>")
     every = canonical_only(findings, finding_merges).select("id").join(own, "id", "left").select("id", F.coalesce("names", none).alias("names"), F.coalesce("categories", none).alias("categories"))
-    filled = scope_categories(every.select("id", "categories"), project_finding, project_category)
-    return every.select("id", "names").join(filled, "id").withColumnRenamed("id", "finding_id")
+    return scope_categories(every, project_finding, project_category).select(F.col("id").alias("finding_id"), "names", "categories")
 
 
 def scope_seed(nodes: DataFrame, merges: DataFrame, functions: DataFrame) -> DataFrame:

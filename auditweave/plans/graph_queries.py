@@ -139,7 +139,7 @@ QUERIES = {
         FROM ({_CANON}) c LEFT JOIN semantic_function f ON f.semantic_node_id = c.id GROUP BY c.id""",
     ),
     "j12_vulnerability_scope": (
-        lambda r: _lists(knowledge.vulnerability_scope(r["sfl"], r["audit_finding"], r["semantic_node"], r["finding_merge"], r["semantic_merge"], r["project_finding"], r["project_category"]), "names", "categories"),
+        lambda r: _lists(knowledge.vulnerability_scope(r["sfl_raw"], r["audit_finding"], r["semantic_node"], r["finding_merge"], r["semantic_merge"], r["project_finding"], r["project_category"], r.parts("lineitem")), "names", "categories"),
         f"""WITH RECURSIVE {_walk("audit_finding", "finding_merge", "rf", True)}, {_walk("semantic_node", "semantic_merge", "rs", True)},
         own AS (SELECT rf.canonical AS id, string_agg(DISTINCT n.name, '|' ORDER BY n.name) AS names, string_agg(DISTINCT n.category, '|' ORDER BY n.category) AS categories
           FROM sfl JOIN rf ON rf.node = audit_finding_id JOIN rs ON rs.node = semantic_node_id JOIN semantic_node n ON n.id = rs.canonical GROUP BY 1),

@@ -156,3 +156,27 @@ def test_complete_findings_are_made_once(spark):
     out = drains.link_findings(fresh, Snapshot(spark, 0, {}))[1]
     assert [tuple(r) for r in out["link_complete"].collect()] == [(1,)]
     assert "Exchange" not in out["link_complete"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scope_reads_links_once(roles):
+    """Names and categories come of one pass over the links, in tasks by their rows, and no link is ranked before."""
+    made = knowledge.vulnerability_scope(
+        *[roles[n] for n in ("sfl_raw", "audit_finding", "semantic_node", "finding_merge", "semantic_merge", "project_finding", "project_category")], PARTS
+    )
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey#") and plan.count("collect_set(name") == plan.count("collect_set(category") - 1 == 1  # the projects' categories are another
+    whole = queries()["j12_vulnerability_scope"](roles.spark, SF)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    few = knowledge.vulnerability_scope(*[roles[n] for n in ("sfl", "audit_finding", "semantic_node", "finding_merge", "semantic_merge", "project_finding", "project_category")])
+    dealt_the_same(few, made)
+
+
+def test_moved_nodes_only(spark):
+    from auditweave.operators import graph
+
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 7, 11)], "id int")
+    edges = spark.createDataFrame([(4, 2), (2, 1), (7, 11), (11, 7), (3, 99), (98, 1)], "from_id int, to_id int")
+    every = {r.node: r.canonical for r in graph.resolve(nodes, edges, nodes).collect()}
+    moved = {r.node: r.canonical for r in graph.resolve_moved(nodes, edges, nodes).collect()}
+    assert moved == {4: 1, 2: 1, 7: 7, 11: 11} and every == moved | {1: 1, 3: 3}
+    assert not graph.resolve_moved(nodes, edges.limit(0), nodes).collect()
