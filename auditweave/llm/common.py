@@ -29,6 +29,33 @@ def findable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+#: Bytes of rows that go to a Python worker at once.  Executor and worker hold a batch several times over, on
+#: its way there and back; the engine's own bound is 64 MB.
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Python workers get whole texts in batches of about ``BATCH``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(key: str, make):
+    """What a Python worker keeps from task to task, one thing at a time: what another stage has left goes
+    before the new one is made."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """A stage that keeps nothing doesn't carry what another one has left."""
+    _REMEMBERED.clear()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.  Without it, a session
     within one machine gets one of its own; a cluster is refused."""

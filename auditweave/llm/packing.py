@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .vocab import END_ID, default_path, ids_of, packed
+from .vocab import END_ID, MEMO_ENTRIES, default_path, ids_of, packed
 
 SEQUENCE = 2048
 WINDOWS = 32
@@ -113,17 +113,17 @@ def cut(piece: Piece, n: int) -> tuple[Piece, Piece | None]:
 
 
 def pack(
-    docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, windows: int = WINDOWS, max_pad: int = MAX_PAD, end_id: int = END_ID
+    docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, windows: int = WINDOWS, max_pad: int = MAX_PAD, end_id: int = END_ID, memo: int = MEMO_ENTRIES
 ) -> DataFrame:
     """All pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset."""
+    doc_tokens, sequence_id, offset.  ``memo``: entries of a worker's memo of ids."""
     path = path or default_path()
     spark = docs.sparkSession
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = ids_of(path), packed([end_id])
+        encode, end = ids_of(path, memo), packed([end_id])
         packer = Packer(TaskContext.get().partitionId(), 0, sequence, windows, max_pad)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

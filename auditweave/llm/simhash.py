@@ -318,6 +318,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: in
     a, b = F.xxhash64(common.text_of()), F.xxhash64(F.lit("second"), common.text_of())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for batch in batches:
             fps, s1, s2, keys = [], [], [], []
             for t in batch.column(3):

@@ -56,6 +56,9 @@ SEPARATORS = frozenset(".-_*~'`·•^/\\,:; ")
 _PRICE_SIGN, _PRICE_WILD, _PRICE_SILENT, _PRICE_REPEAT, _PRICE_DOUBLE = 0.7, 2.0, 0.4, 0.2, 2.5
 #: Chunks up to this length are remembered; longer ones are decoded each time.
 REMEMBERED = 40
+#: Entries of each of a memo's two generations, and features counted before they are told; they bound a
+#: worker's memory, never a result.
+MEMO_ENTRIES, COUNTED = 100_000, 100_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SPACED = re.compile(r"(?: [^\W_]| [@$!|]){3,}(?= )")
@@ -113,7 +116,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self._remembered = lru_cache(50_000)(self._restore)
+        self._remembered = lru_cache(10_000)(self._restore)
 
     def restore(self, chunk: str) -> str:
         """The words of a chunk, with spaces between them."""
@@ -162,11 +165,12 @@ class Restorer:
 
 
 class Words(dict):
-    """Memo: chunk -> what ``pick`` makes of its plain and restored words."""
+    """Memo in two generations: chunk -> what ``pick`` makes of its plain and restored words."""
 
     def __init__(self, model: np.ndarray, pick):
         super().__init__()
         self.restorer, self.pick = Restorer(model), pick
+        self.older: dict = {}
 
     def words(self, chunk: str) -> list[str]:
         words = _WORDS(chunk)
@@ -182,10 +186,13 @@ class Words(dict):
         return words
 
     def __missing__(self, chunk: str):
-        words = self.spaced(chunk) if " " in chunk else self.words(chunk)
-        value = self.pick([f for w in words for f in features(w)])
+        value = self.older.get(chunk)
+        if value is None:
+            words = self.spaced(chunk) if " " in chunk else self.words(chunk)
+            value = self.pick([f for w in words for f in features(w)])
         if len(chunk) <= REMEMBERED:
-            if len(self) >= 300_000:
+            if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = value
         return value
@@ -277,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen.setdefault(int(y), Counter()).update(words.of(t.as_py()))
                 seen[int(y)][""] += 1
-            if sum(map(len, seen.values())) > 500_000:
+            if sum(map(len, seen.values())) > COUNTED:
                 yield from _told(seen)
                 seen = {}
         yield from _told(seen)
@@ -313,16 +320,6 @@ def _told(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "toxic", "n"])
 
 
-_SCORERS: dict[str, object] = {}
-
-
-def _scorer(key: str, model: ToxicityModel):
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = model.scorer()
-    return _SCORERS[key]
-
-
 def score_texts(docs: DataFrame, model: ToxicityModel, score: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` and a probability."""
     import uuid
@@ -334,7 +331,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, score: str = "score") ->
     docs = docs if kind == "string" else docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _scorer(key, sent.value)
+        own = common.remembered(key, lambda: sent.value.scorer())
         for batch in batches:
             scores = pa.array([own(t.as_py() or "") for t in batch.column(text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score])

@@ -17,6 +17,8 @@ import unicodedata
 
 import regex
 
+from . import common
+
 #: Entries a memo holds before it starts anew; bounds a worker's memory, never a result.
 MEMO_ENTRIES = 300_000
 #: Longer chunks are encoded each time.
@@ -94,9 +96,9 @@ def unpacked(ids: bytes) -> array:
 class Pieces(dict):
     """Memo in two generations: chunk without white space -> its packed ids.  Subclasses merge."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.entries = vocabulary, entries
         self.older: dict = {}
 
     def piece(self, piece: str) -> bytes:
@@ -113,7 +115,7 @@ class Pieces(dict):
             else:
                 value = b"".join([self.piece_again(p) for p in self.vocabulary.find(chunk)])
         if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = value
@@ -146,10 +148,10 @@ class Pieces(dict):
 class ModelPieces(Pieces):
     """Ids as little-endian unsigned 32-bit integers; the tokenizers library merges."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
 
-        super().__init__(Vocabulary(path))
+        super().__init__(Vocabulary(path), entries)
         self.library = Tokenizer.from_file(path)
         self.tokenize = self.library.model.tokenize
 
@@ -162,11 +164,6 @@ class ModelPieces(Pieces):
         return [packed(self.library.encode(text, add_special_tokens=False).ids)]
 
 
-_KEPT: dict[str, ModelPieces] = {}
-
-
-def ids_of(path: str) -> ModelPieces:
+def ids_of(path: str, entries: int = MEMO_ENTRIES) -> ModelPieces:
     """The worker's encoder for a tokenizer file."""
-    if path not in _KEPT:
-        _KEPT[path] = ModelPieces(path)
-    return _KEPT[path]
+    return common.remembered(f"ids of {path}, {entries}", lambda: ModelPieces(path, entries))

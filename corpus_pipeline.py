@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditweave.llm import common, lines, packing, secret_scan, simhash, toxicity
 
+#: The packing stage's workers live beside an executor that five stages have filled.
+MEMO_ENTRIES = 60_000
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go.  Empty text scores like text without words; repeated rows score
     alike and stay or go together, null doc_id too; without labels of both kinds every score is the share of
     toxic labels."""
     common.findable(spark)
+    common.small_batches(spark)
     return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
 
 
@@ -24,6 +28,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go; every document stays, repeated rows and null doc_id too, each a
     document of its own; what is left of a text may be empty."""
     common.findable(spark)
+    common.small_batches(spark)
     return lines.drop_lines(docs)
 
 
@@ -32,6 +37,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     shingles of a Jaccard similarity of at least 0.8.  That of the smallest doc_id stays (null last), of equal
     ones that of the smallest text hash, and of rows equal in both one; texts without words are one group."""
     common.findable(spark)
+    common.small_batches(spark)
     return simhash.keep_one(docs, near=True)
 
 
@@ -39,6 +45,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secrets are replaced by a mark; every document stays, repeated rows and null doc_id too; overlapping
     secrets get one mark."""
     common.findable(spark)
+    common.small_batches(spark)
     return secret_scan.redact(docs)
 
 
@@ -47,7 +54,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     repeated doc_id; an empty text is its end id alone; a document longer than a sequence is cut, no id is
     lost; of equal windows the first opened is filled."""
     common.findable(spark)
-    return packing.piece_digests(packing.pack(docs))
+    common.small_batches(spark)
+    return packing.piece_digests(packing.pack(docs, memo=MEMO_ENTRIES))
 
 
 STAGES = [

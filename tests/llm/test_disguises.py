@@ -101,3 +101,41 @@ print("rows", __spark_entry__.queries()[sys.argv[1]](spark, "/root/testdata/sf0.
     for name in ("op2_toxicity", "op13_lexical"):
         done = subprocess.run([sys.executable, "-c", code, name], capture_output=True, text=True, env=env, timeout=300, check=False)
         assert done.returncode == 0 and "rows " in done.stdout, done.stderr[-2000:]
+
+
+def test_memos_are_bounded_and_change_nothing(words, monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO_ENTRIES", 3)
+    few = toxicity.Words(words.restorer.model, tuple)
+    for text in ("you 1d10t and sc.um , what a l0ser", " ".join(PROSE), "st*pid you 1d10t and trash"):
+        assert few.of(text) == words.of(text)
+        assert len(few) <= 3 and len(few.older) <= 3
+
+
+def test_worker_keeps_one_thing():
+    from auditweave.llm import vocab
+
+    path = vocab.default_path()
+    small, made = vocab.ids_of(path, 5), []
+    want = [small(" ".join(PROSE)) for _ in range(2)]
+    assert vocab.ids_of(path, 5) is small and len(small) <= 5 and len(small.older) <= 5
+    assert vocab.ids_of(path)(" ".join(PROSE)) == want[0] == want[1] and vocab.ids_of(path, 5) is not small
+    common.remembered("other", lambda: made.append(dict(common._REMEMBERED)) or 1)
+    assert made == [{}] and list(common._REMEMBERED) == ["other"]
+    common.forget()
+    assert not common._REMEMBERED
+
+
+def test_pipeline_sends_small_batches(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        corpus_pipeline.secret_stage(spark, spark.createDataFrame([], "doc_id long, text string"), "")
+        sizes = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS t").mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long"
+        ).collect()
+        assert len(sizes) > 5 and max(r.n for r in sizes) < 5 << 20
+    finally:
+        spark.conf.set(name, before)
