@@ -22,9 +22,11 @@ an empty table gives an empty result; other columns are ignored (by ``keep_clean
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,7 @@ _LATIN = [c for c in map(chr, range(0xDF, 0x100)) if c.isalpha()]
 LETTERS = [" ", *map(chr, range(ord("a"), ord("z") + 1)), *_LATIN]
 _K = len(LETTERS)
 _CODE = {c: i for i, c in enumerate(LETTERS)}
+_PLAIN = {c: i for c, i in _CODE.items() if c != " "}
 _TABLE = bytes(_CODE.get(chr(b), 0) for b in range(256))
 
 #: What signs may stand for.
@@ -52,6 +55,7 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "*": "aeiou", "#": "aeiou",
 }
+_SIGNS = frozenset(SIGNS)
 SEPARATORS = frozenset(".-_*~'`·•^/\\,:; ")
 _PRICE_SIGN, _PRICE_WILD, _PRICE_SILENT, _PRICE_REPEAT, _PRICE_DOUBLE = 0.7, 2.0, 0.4, 0.2, 2.5
 #: Chunks up to this length are remembered; longer ones are decoded each time.
@@ -116,6 +120,8 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
+        self._prices = array("f", np.ascontiguousarray(model, np.float32).tobytes())  # the same numbers, quick to look up one by one
+        self._steps = lru_cache(4096)(self._of)
         self._remembered = lru_cache(10_000)(self._restore)
 
     def restore(self, chunk: str) -> str:
@@ -131,32 +137,65 @@ class Restorer:
 
     def suspicious(self, chunk: str) -> bool:
         """It may stand for another word too: disguised, or a letter twice in a row."""
-        return self.disguised(chunk) or _DOUBLED.search(chunk) is not None
+        if _DOUBLED.search(chunk) is not None:  # as in any letter three times in a row
+            return True
+        core = chunk.strip(_EDGES) or chunk
+        return chunk[:1] in SIGNS if core.isalpha() else any(map(str.isalpha, core))
+
+    @staticmethod
+    def _of(c: str) -> tuple[list[tuple[int, float]], bool, bool, bool]:
+        """What a character may stand for, whether it may be silent inside and at an end, and whether it may end a word."""
+        options = [(_CODE[c], 0.0)] if c in _CODE and c != " " else []
+        options += [(_CODE[x], _PRICE_WILD if c in "*#" else _PRICE_SIGN) for x in SIGNS.get(c, "")]
+        silent = c in SEPARATORS or not (c.isalnum() or c in SIGNS)
+        return options, silent or not options, silent or not options or not c.isalnum(), c in SEPARATORS
 
     def _restore(self, chunk: str) -> str:
-        cost = self.model
-        # state: last two emitted letters -> (price, (letters before, letter))
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for at, c in enumerate(chunk):
-            options = [(_CODE[c], 0.0)] if c in _CODE and c != " " else []
-            wild = c in "*#"
-            options += [(_CODE[x], _PRICE_WILD if wild else _PRICE_SIGN) for x in SIGNS.get(c, "")]
-            silent = c in SEPARATORS or not (c.isalnum() or c in SIGNS) or (not c.isalnum() and at in (0, len(chunk) - 1))
-            repeat = at > 0 and c == chunk[at - 1] and c.isalpha()
-            ends = c in SEPARATORS
-            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (price, word) in states.items():
-                steps = [((b, x), price + p + float(cost[a, b, x]) + (_PRICE_DOUBLE if repeat and x == b else 0.0), (word, x)) for x, p in options]
-                if silent or (repeat and options and options[0][0] == b) or not options:
-                    steps.append(((a, b), price + (_PRICE_REPEAT if repeat else _PRICE_SILENT), word))
+        cost, steps, plain, n = self._prices, self._steps, _PLAIN.get, _K
+        # state: last two emitted letters, as one number -> (price, (letters before, letter))
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        at, size, before = 0, len(chunk), ""
+        while at < size:
+            if len(states) == 1:  # as long as letters stand for themselves alone, one state follows another
+                ((key, (price, word)),) = states.items()
+                start = at
+                while at < size and (x := plain(chunk[at])) is not None and chunk[at] != before:
+                    price += cost[key * n + x]
+                    key = key % n * n + x
+                    word = (word, x)
+                    before = chunk[at]
+                    at += 1
+                if at > start:
+                    states = {key: (price, word)}
+                    continue
+            c = chunk[at]
+            options, inside, edge, ends = steps(c)
+            silent = edge if at in (0, size - 1) else inside
+            repeat = c == before and c.isalpha()
+            before = c
+            at += 1
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for key, (price, word) in states.items():
+                b = key % n
+                for x, p in options:
+                    total = price + p + cost[key * n + x]
+                    if repeat and x == b:
+                        total += _PRICE_DOUBLE
+                    to = b * n + x
+                    if to not in new or total < new[to][0]:
+                        new[to] = (total, (word, x))
+                if silent or (repeat and options[0][0] == b):
+                    total = price + (_PRICE_REPEAT if repeat else _PRICE_SILENT)
+                    if key not in new or total < new[key][0]:
+                        new[key] = (total, word)
                 if ends and b:
-                    steps.append(((b, 0), price + _PRICE_SILENT + float(cost[a, b, 0]), (word, 0)))
-                for key, p, w in steps:
-                    if key not in new or p < new[key][0]:
-                        new[key] = (p, w)
+                    total = price + _PRICE_SILENT + cost[key * n]
+                    to = b * n
+                    if to not in new or total < new[to][0]:
+                        new[to] = (total, (word, 0))
             states = new
         # a boundary that is emitted at the end has its price already
-        word = min(((p + (float(cost[a, b, 0]) if b else 0.0), w) for (a, b), (p, w) in states.items()), key=lambda x: x[0])[1]
+        word = min(((p + (cost[key * n] if key % n else 0.0), w) for key, (p, w) in states.items()), key=lambda x: x[0])[1]
         out = []
         while word is not None:
             word, x = word
@@ -185,8 +224,30 @@ class Words(dict):
             words += [w for w in self.restorer.restore(run).split() if w not in words]
         return words
 
+    def _plain(self, chunk: str):
+        """The value of a chunk that needs no decoding; None: it has to be decoded.  Letters twice in a row that
+        ``pick`` finds nothing new in, whichever are left out, are as good as plain."""
+        core = chunk.strip(_EDGES)
+        if not core.isalpha() or chunk[0] in SIGNS:
+            return None
+        value = self.pick(features(core))
+        if True not in map(eq, core, core[1:]):
+            return value
+        if not (_SIGNS.isdisjoint(chunk) and _PLAIN.keys() >= set(core)):
+            return None
+        at = [k for k in range(1, len(core)) if core[k] == core[k - 1]]
+        if len(at) > 3:
+            return None
+        ways = [core]
+        for k in reversed(at):
+            ways += [w[:k] + w[k + 1 :] for w in ways]
+        own = set(value)
+        return value if all(own.issuperset(self.pick(features(w))) for w in ways[1:]) else None
+
     def __missing__(self, chunk: str):
         value = self.older.get(chunk)
+        if value is None:
+            value = self._plain(chunk)
         if value is None:
             words = self.spaced(chunk) if " " in chunk else self.words(chunk)
             value = self.pick([f for w in words for f in features(w)])
@@ -199,7 +260,11 @@ class Words(dict):
 
     def of(self, text: str) -> set:
         chunks = text.lower().split()
-        out = set().union(*map(self.__getitem__, set(chunks)))
+        own = set(chunks)
+        out = set().union(*map(self.__getitem__, own))
+        alone = [k for k, c in enumerate(chunks) if len(c) == 1] if min(map(len, own), default=0) == 1 else []
+        if all(k + 2 != m for k, m in zip(alone, alone[2:], strict=False)):  # no three signs in a row by themselves
+            return out
         for run in _SPACED.findall(" " + " ".join(chunks) + " "):
             out.update(self[run.strip()])
         return out
@@ -233,12 +298,12 @@ class ToxicityModel:
 
     def scorer(self):
         index = {f: i for i, f in enumerate(self.names)}
-        words = Words(self.prices, lambda fs: tuple(index[f] for f in fs if f in index))
+        words = Words(self.prices, lambda fs: tuple([index[f] for f in fs if f in index]))
         weights, bias = self.weights, self.bias
 
         def score(text: str) -> float:
-            own = words.of(text)
-            return float(1 / (1 + np.exp(-np.clip(bias + weights[list(own)].sum(), -40, 40)))) if own else float(1 / (1 + np.exp(-bias)))
+            own = sorted(words.of(text))  # the same order, and sum, in every process
+            return float(1 / (1 + np.exp(-min(max(bias + weights[own].sum(), -40.0), 40.0)))) if own else float(1 / (1 + np.exp(-bias)))
 
         return score
 
@@ -304,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     index = {f: i for i, f in enumerate(names)}
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(prices, lambda fs: tuple(index[f] for f in fs if f in index))
+        words = Words(prices, lambda fs: tuple([index[f] for f in fs if f in index]))
         for batch in batches:
             own = [sorted(words.of(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "own"])

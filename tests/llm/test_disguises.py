@@ -139,3 +139,24 @@ def test_pipeline_sends_small_batches(spark):
         assert len(sizes) > 5 and max(r.n for r in sizes) < 5 << 20
     finally:
         spark.conf.set(name, before)
+
+
+def test_only_what_may_tell_is_decoded(words, monkeypatch):
+    """Doubled letters that can hide no known feature cost no decoding, and no feature is lost by that."""
+    index = {f: k for k, f in enumerate(f for w in ("idiot", "scum", "stupid", "loser", "utter") for f in toxicity.features(w))}
+
+    def pick(fs):
+        return tuple([index[f] for f in fs if f in index])
+
+    model, decoded = words.restorer.model, []
+    plain = toxicity.Restorer._restore
+    monkeypatch.setattr(toxicity.Restorer, "_restore", lambda self, chunk: decoded.append(chunk) or plain(self, chunk))
+    memo = toxicity.Words(model, pick)
+    assert memo.of("thharesh etreeaioique, addition. plainly") == set() and not decoded
+    r = np.random.default_rng(4)
+    for word in ("idiot", "scum", "stupid", "loser", "utter", "butter", "scrum", "losers"):
+        for _ in range(150):
+            chunk = "".join(c * int(r.choice([1, 1, 1, 2, 3])) for c in word)
+            chunk = str(r.choice(["", "", '"', "$", "("])) + chunk + str(r.choice(["", "", ",", ".", "!", "|"]))
+            assert set(memo[chunk]) == set(pick([f for w in memo.words(chunk) for f in toxicity.features(w)])), chunk
+    assert decoded
