@@ -139,3 +139,35 @@ def test_awkward_rows(spark):
     clean = secret_scan.redact(df)
     assert clean.columns == df.columns and clean.count() == 5
     assert secret_scan.scan(df.limit(0)).count() == 0 and secret_scan.redact(df.limit(0)).count() == 0
+
+
+def test_everything_else_calibrates(spark):
+    """All findings and tokens that weren't trained on are counted, however small the sample, and the threshold keeps 0.99 of the findings."""
+    r = np.random.default_rng(5)
+    letters = list("abcdefghijkmnopqrstuvwxyz0123456789")
+    texts = []
+    for k in range(40):
+        own = [f"token = {''.join(r.choice(letters, 14 + k % 9))}1" for _ in range(9)]
+        texts.append(" ".join(f"{f} {''.join(r.choice(letters[:20], 9))} and then" for f in own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.labelled(df).checkpoint()
+    train, check = secret_scan.parted(secret_scan.sampled(rows, 20))
+    net = secret_scan.trained_on(train)
+    known = {row[1:] for row in train}
+    found, other = set(), 0
+    for t in texts:
+        block = Block([t], [secret_scan.base_spans(t)])
+        for a, b, base in zip(block.a - block.offset[0], block.b - block.offset[0], block.base, strict=True):
+            row = (t[max(0, a - BEFORE) : a], t[a:b], t[b : b + AFTER])
+            if row not in known and base:
+                found.add(row)
+            elif row not in known:
+                other += 1
+    good, bad = secret_scan.finding_counts(rows, net, train, check), secret_scan.token_counts(df, net, train)
+    assert len(found) > 300 and good.sum() % len(found) == 0 and good.sum() >= 4 * len(found)
+    assert bad.sum() == other > 250
+    net.calibrate_counts(good, bad)
+    edges = np.arange(-secret_scan._BINS, secret_scan._BINS) / secret_scan._FINE
+    kept = 1 / (1 + np.exp(-np.clip(net.slope * edges + net.shift, -40, 40))) >= net.threshold
+    assert 0.99 <= good[kept].sum() / good.sum() and good[1:][kept[:-1]].sum() / good.sum() < 0.99 + 1e-9 + good.max() / good.sum()
+    assert (net.scores(*secret_scan.side_by_side(sorted(found))) >= net.threshold).mean() >= 0.98
