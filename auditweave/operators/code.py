@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..storage import cut
 from .graph import closure
 
+#: Functions of one name and owner that travel as a row, of which a shorter list is repeated for each of another row (files
+#: shrink short repeats to little), and pairs that a task makes, about.
+BLOCK, TILE, MADE = 1 << 11, 1 << 8, 1 << 21
+
 
 def owner_of(functions: DataFrame, contracts: DataFrame, interfaces: DataFrame) -> DataFrame:
     """Functions with their owner: a contract if there is one, else an interface, else unknown."""
@@ -60,17 +64,33 @@ def ground(findings: DataFrame, contracts: DataFrame, functions: DataFrame) -> D
 def interface_methods(functions: DataFrame, inherits: DataFrame, owners: DataFrame) -> DataFrame:
     """(id, target), each pair once: for each function the functions of its name in its owner, where concrete, and in
     all that inherit from it.  Ancestors are followed from owners of functions only.  Pairs of functions of one row
-    each can't repeat, so only others are compared: what is shuffled grows with the functions, not with the pairs."""
+    each can't repeat, so only others are compared: what is shuffled is lists of functions, not pairs."""
     rows = functions.select("id", "owner_id", "name").distinct()
-    rows = rows.join(rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("again")), "id")
+    rows = cut(rows.join(rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("again")), "id"))
     owning = rows.select(F.col("owner_id").alias("node")).distinct()
     down = closure(inherits, "contract_id", "inherited_id", owning).select(F.col("ancestor").alias("owner_id"), F.col("node").alias("impl"))
     own = owners.where("concrete").select(F.col("id").alias("owner_id"), F.col("id").alias("impl")).join(owning.select(F.col("node").alias("impl")), "impl", "left_semi")
     reach = cut(own.select("owner_id", "impl").unionByName(down).distinct())
-    target = rows.select(F.col("id").alias("target"), F.col("owner_id").alias("impl"), "name", F.col("again").alias("target_again"))
-    pairs = rows.join(reach, "owner_id").join(target, ["impl", "name"])
-    once = pairs.where("NOT (again OR target_again)").select("id", "target")
-    return once.unionByName(pairs.where("again OR target_again").select("id", "target").distinct())
+
+    def pairs(of: DataFrame, to: DataFrame) -> DataFrame:
+        target = to.select(F.col("id").alias("target"), F.col("owner_id").alias("impl"), "name")
+        return of.join(reach, "owner_id").join(target, ["impl", "name"]).select("id", "target")
+
+    once, again = rows.where("NOT again"), rows.where("again")
+    return _crossed(once, reach).unionByName(pairs(again, rows).unionByName(pairs(once, again)).distinct())
+
+
+def _crossed(rows: DataFrame, reach: DataFrame) -> DataFrame:
+    """Pairs of functions by blocks: a row a pair of blocks is dealt out evenly and made into its pairs where it lies."""
+    size = rows.groupBy("owner_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    blocks = cut(rows.join(size, ["owner_id", "name"]).groupBy("owner_id", "name", block).agg(F.collect_list("id").alias("ids")))
+    target = blocks.select(F.col("owner_id").alias("impl"), "name", F.col("ids").alias("targets"))
+    met = blocks.join(reach, "owner_id").join(target, ["impl", "name"]).select("ids", "targets")
+    total = size.join(reach, "owner_id").join(size.select(F.col("owner_id").alias("impl"), "name", F.col("n").alias("m")), ["impl", "name"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    met = met.repartition(-(-(total or 1) // MADE))
+    tiles = F.transform(F.sequence(F.lit(0), F.expr(f"(size(targets) - 1) div {TILE}").cast("int")), lambda i: F.slice("targets", i * TILE + 1, TILE))
+    return met.select("ids", F.explode(tiles).alias("tile")).select(F.explode("ids").alias("id"), "tile").select("id", F.explode("tile").alias("target"))
 
 
 def inherit_by_name(contracts: DataFrame, bases: DataFrame) -> DataFrame:

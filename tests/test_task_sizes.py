@@ -57,6 +57,18 @@ def test_steps_meet_a_row_a_name(spark):
     assert any("Aggregate [owner" in line for line in lines[inner:])
 
 
+def test_methods_are_made_in_even_tasks(spark, monkeypatch):
+    """Functions of one name and owner: their pairs are made by many tasks, each pair of lists once."""
+    for name, value in {"BLOCK": 64, "TILE": 16, "MADE": 10_000}.items():
+        monkeypatch.setattr(code, name, value, raising=False)
+    functions = spark.range(600).selectExpr("CAST(id AS INT) AS id", "1 AS owner_id", "'m' AS name")
+    inherits, owners = spark.createDataFrame([], "contract_id int, inherited_id int"), spark.createDataFrame([(1, True)], "id int, concrete boolean")
+    got = code.interface_methods(functions, inherits, owners)
+    assert got.distinct().count() == got.count() == 600 * 600
+    made = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(made) >= 20 and max(made) <= 60_000
+
+
 def test_processed_without_links_in_tasks(roles):
     of = [roles["finding_link_status"], roles["sfl"].where("strength = 'High'"), roles["finding_merge"]]
     dealt_the_same(knowledge.processed_without_links(*of), knowledge.processed_without_links(*of, PARTS))
